@@ -73,29 +73,29 @@ def kd_shards(docs: DataFrame, shards: int = 40, key: str = "doc_id") -> DataFra
             # compare widths by position, without the hash; ties go to the first dimension
             widest = max(names, key=lambda n: (b[f"hi_{n}"] // _SPAN - b[f"lo_{n}"] // _SPAN, -names.index(n)))
             k = shares[node][1]
-            goal[node] = (widest, b[f"lo_{widest}"], b[f"hi_{widest}"] + 1, b["w"] * (k // 2) / k)
+            goal[node] = (widest, b[f"lo_{widest}"], b[f"hi_{widest}"] + 1, b["w"] * (k // 2) / k, b["w"])
         for _ in range(ROUNDS):
             open_ = {x: g for x, g in goal.items() if g[2] - g[1] > 1}
             if not open_:
                 break
-            ends = F.create_map(*[c for x, (n, low, high, _) in open_.items() for c in (F.lit(x), F.struct(F.lit(names.index(n) + 1).alias("dim"), F.lit(low).alias("lo"), F.lit(high).alias("hi"), F.lit(max(1, -(-(high - low) // BINS))).alias("step")))])
+            ends = F.create_map(*[c for x, (n, low, high, *_) in open_.items() for c in (F.lit(x), F.struct(F.lit(names.index(n) + 1).alias("dim"), F.lit(low).alias("lo"), F.lit(high).alias("hi"), F.lit(max(1, -(-(high - low) // BINS))).alias("step")))])
             bins = now.withColumn("e", F.try_element_at(ends, F.col("node"))).where("e is not null").select("node", "size", "e.lo", "e.hi", "e.step", F.element_at(F.array(*names), F.col("e.dim")).alias("v"))
             found = bins.where("v >= lo and v < hi").groupBy("node", F.expr("(v - lo) div step").cast("int").alias("bin")).agg(F.sum("size").alias("w")).collect()
             by: dict[int, list] = {}
             for r in found:
                 by.setdefault(r["node"], []).append((r["bin"], r["w"]))
-            for x, (n, low, high, need) in open_.items():
+            for x, (n, low, high, need, _) in open_.items():
                 width, done = max(1, -(-(high - low) // BINS)), 0
                 for b, w in sorted(by.get(x, [])):
                     if done + w >= need:
-                        goal[x] = (n, low + b * width, min(high, low + (b + 1) * width), need - done)
+                        goal[x] = (n, low + b * width, min(high, low + (b + 1) * width), need - done, w)
                         break
                     done += w
                 else:
-                    goal[x] = (n, high, high, 0)
+                    goal[x] = (n, high, high, 0, 0)
         below = []
-        for x, (n, low, high, need) in goal.items():
-            split[x] = (n, high if need > 0 else low)  # rows below the cut go left
+        for x, (n, low, high, need, w) in goal.items():
+            split[x] = (n, high if need > w / 2 else low)  # rows below the cut go left; the last bin to the side that needs it more
             first, k = shares[x]
             for child, own in ((2 * x, (first, k // 2)), (2 * x + 1, (first + k // 2, k - k // 2))):
                 shares[child] = own
