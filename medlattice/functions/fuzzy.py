@@ -5,6 +5,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from .text import words
 
@@ -33,7 +34,7 @@ def ratio(a: str, b: str) -> float:
     return 200.0 * lcs(a, b) / total if total else 100.0
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def sorted_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two token-sorted columns, an Arrow batch at a time."""
     return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b)], dtype="float64")

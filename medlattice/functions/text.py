@@ -9,7 +9,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WS = r"[\s\x1c-\x1f]"
@@ -23,6 +23,17 @@ RANGE = rf"(?U)([+-]?\d+(?:[.,]\d+)?){WS}*(?:-->|->|—|–){WS}*([+-]?\d+(?:[.,
 MATCHES = "array<struct<start:int,end:int,raw:string>>"
 
 
+def bind(rows: DataFrame, **values: Column) -> DataFrame:
+    """Add or replace columns whose values are computed once a row.
+
+    Filters on plain projections are pushed down with the whole expression in them; with chains of text steps that grows
+    without end.  A one-element generator stops it and stays in generated code.
+    """
+    keep = [c for c in rows.columns if c not in values]
+    one = F.explode(F.array(F.struct(*[v.alias(n) for n, v in values.items()]))).alias("_b")
+    return rows.select(*keep, one).select(*keep, *[F.col(f"_b.{n}").alias(n) for n in values])
+
+
 # --- T1-T4: one character to one character
 
 

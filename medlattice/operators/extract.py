@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.config import DRUG, DRUG_INDICATIONS, DRUG_LEAD_INS, LAB_NAME, LAB_RESULT, SECTION_TYPE, Settings
-from ..functions.text import NUMBER, WS, lookup, n_words, strip, trimmed
+from ..functions.text import NUMBER, WS, bind, lookup, n_words, strip, trimmed
 from .context import assertions, leading_negation
 from .sections import BULLET, header_of, line_table, with_sections
 
@@ -45,12 +45,11 @@ def symptom_diagnosis(data: DataFrame, settings: Settings = Settings()) -> DataF
     whole = data.where("not split").withColumn("part_no", F.lit(0)).withColumn("part", F.col("content")).withColumn("part_start", F.col("at"))
     rows = parts(data.where("split"), "[,;]").unionByName(whole)
     text, start = trimmed(F.col("part"), F.col("part_start"))
-    rows = rows.withColumn("_t", text).withColumn("_s", start).where("_t <> ''")
-    rows = rows.withColumn("_t", F.regexp_replace("_t", "(?s):.*$", ""))  # what stands before a colon
-    cut = leading_negation(F.col("_t"), settings)
-    rows = rows.withColumn("_n", cut)
+    rows = bind(rows, _t=text, _s=start).where("_t <> ''")
+    before = F.regexp_replace("_t", "(?s):.*$", "")  # what stands before a colon
+    rows = bind(rows, _t=before, _n=leading_negation(before, settings))
     text, start = trimmed(F.substring(F.col("_t"), F.col("_n") + 1, F.length("_t")), F.col("_s") + F.col("_n"))
-    rows = rows.withColumn("_t", text).withColumn("_s", start)
+    rows = bind(rows, _t=text, _s=start)
     rows = rows.where((F.col("_t") != "") & (F.length("_t") <= settings.max_len) & (n_words(F.col("_t")) <= settings.max_words_symptom))
     marks = assertions(F.col("type"), F.col("line"), F.col("_s") - F.col("line_start"), F.col("section"), F.col("section_header"), F.col("doc_section"), F.col("_n") > 0, settings)
     return _concepts(rows, F.col("_t"), F.col("type"), F.col("_s"), marks, F.lit(0))
@@ -59,12 +58,12 @@ def symptom_diagnosis(data: DataFrame, settings: Settings = Settings()) -> DataF
 def drugs(data: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """E5 over data lines of drug sections: one concept a line."""
     text, start = trimmed(F.col("content"), F.col("at"))
-    rows = data.withColumn("part_no", F.lit(0)).withColumn("_t", text).withColumn("_s", start).where("_t <> ''")
+    rows = bind(data.withColumn("part_no", F.lit(0)), _t=text, _s=start).where("_t <> ''")
     for pattern in (_LEAD_IN, _INDICATION, _BRACKET):
         cut = _size(F.col("_t"), _LEAD_IN) if pattern is _LEAD_IN else F.lit(0)
         text, start = trimmed(F.regexp_replace("_t", pattern, ""), F.col("_s") + cut)
         hit = F.col("_t").rlike(pattern)
-        rows = rows.withColumn("_x", F.struct(F.when(hit, text).otherwise(F.col("_t")).alias("t"), F.when(hit, start).otherwise(F.col("_s")).alias("s"))).withColumn("_t", F.col("_x.t")).withColumn("_s", F.col("_x.s"))
+        rows = bind(rows, _t=F.when(hit, text).otherwise(F.col("_t")), _s=F.when(hit, start).otherwise(F.col("_s")))
     rows = rows.where((F.col("_t") != "") & (F.length("_t") <= settings.max_len) & (n_words(F.col("_t")) <= settings.max_words_drug) & F.col("_t").rlike(f"[A-Za-z]{{{settings.drug_min_ascii},}}"))
     marks = assertions(F.lit(DRUG), F.col("line"), F.col("_s") - F.col("line_start"), F.col("section"), F.col("section_header"), F.col("doc_section"), settings=settings)
     return _concepts(rows, F.col("_t"), F.lit(DRUG), F.col("_s"), marks, F.lit(0))
@@ -74,12 +73,12 @@ def labs(data: DataFrame) -> DataFrame:
     """E6 over lab contents: name before the first number, result from there; parts without a number give nothing."""
     rows = parts(data, ";")
     text, start = trimmed(F.col("part"), F.col("part_start"))
-    rows = rows.withColumn("_t", text).withColumn("_s", start)
+    rows = bind(rows, _t=text, _s=start)
     rows = rows.where(F.col("_t").rlike(NUMBER)).withColumn("_at", F.length(F.regexp_extract("_t", rf"(?s)^(.*?){NUMBER}", 1)))
     name, name_start = trimmed(F.substring(F.col("_t"), F.lit(1), F.col("_at")), F.col("_s"))
     value, value_start = trimmed(F.substring(F.col("_t"), F.col("_at") + 1, F.length("_t")), F.col("_s") + F.col("_at"))
-    rows = rows.withColumn("_n", name).where("_n <> '' and length(_n) <= 60")
-    both = F.array(F.struct(F.lit(0).alias("sub"), F.col("_n").alias("t"), name_start.alias("s"), F.lit(LAB_NAME).alias("k")), F.struct(F.lit(1).alias("sub"), value.alias("t"), value_start.alias("s"), F.lit(LAB_RESULT).alias("k")))
+    rows = bind(rows, _n=name, _ns=name_start, _v=value, _vs=value_start).where("_n <> '' and length(_n) <= 60")
+    both = F.array(F.struct(F.lit(0).alias("sub"), F.col("_n").alias("t"), F.col("_ns").alias("s"), F.lit(LAB_NAME).alias("k")), F.struct(F.lit(1).alias("sub"), F.col("_v").alias("t"), F.col("_vs").alias("s"), F.lit(LAB_RESULT).alias("k")))
     rows = rows.withColumn("_c", F.explode(both)).where("_c.t <> ''")
     return _concepts(rows, F.col("_c.t"), F.col("_c.k"), F.col("_c.s"), F.array().cast("array<string>"), F.col("_c.sub"))
 
@@ -92,13 +91,13 @@ def data_lines(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     bullet = line.rlike(BULLET)
     cut = F.when(kind == "colon", _size(line, rf"(?U)^[^:]*:{WS}*")).when(kind.isNull() & bullet, _size(line, BULLET)).when(kind.isNull() & line.rlike(_LABELLED), _size(line, _LABELLED))
-    typed = rows.withColumn("type", lookup(F.col("section"), SECTION_TYPE)).where("type is not null").withColumn("_c", cut)
+    typed = bind(rows.withColumn("type", lookup(F.col("section"), SECTION_TYPE)).where("type is not null"), _c=cut)
     typed = typed.where((F.col("_c") < F.length(line)) | (kind.isNull() & bullet)).select(*keep, "type", F.substring(line, F.col("_c") + 1, F.length(line)).alias("content"), (F.col("line_start") + F.col("_c")).alias("at"), (~(kind.isNull() & bullet)).alias("split"))
 
     head = F.when(bullet, _size(line, BULLET)).otherwise(0)
     body = F.substring(line, head + 1, F.length(line))
     inner = head + F.when(kind == "colon", _size(body, _LABELLED)).otherwise(0)
-    lab = rows.where("section = 'LAB' and (kind is null or kind = 'colon')").withColumn("_c", inner).where((F.col("_c") < F.length(line)) & (strip(body) != ""))
+    lab = rows.where("section = 'LAB' and (kind is null or kind = 'colon')").transform(bind, _c=inner).where((F.col("_c") < F.length(line)) & (strip(body) != ""))
     return typed, lab.select(*keep, F.substring(line, F.col("_c") + 1, F.length(line)).alias("content"), (F.col("line_start") + F.col("_c")).alias("at"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions.config import OTHER, Settings
 from ..functions.fuzzy import ratio
-from ..functions.text import LINE_BREAK, WS, normalize, strip
+from ..functions.text import LINE_BREAK, WS, bind, normalize, strip
 
 
 def line_table(docs: DataFrame, pattern: str = LINE_BREAK) -> DataFrame:
@@ -75,7 +75,7 @@ def match_canonical(texts: DataFrame, header: str = "header", settings: Settings
     patterns = _patterns(settings)
     table = F.lit(None) if not patterns else F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(c).alias("canonical"), F.lit(p).alias("p")) for i, c, p in patterns])
     h = F.col("_h")
-    rows = texts.withColumn("_h", strip(normalize(F.col(header))))
+    rows = bind(texts, _h=strip(normalize(F.col(header))))
     exact = F.get(F.filter(table, lambda x: x["p"] == h), 0)["canonical"]
     inside = F.filter(table, lambda x: (x["p"] != "") & h.contains(x["p"]))
     longest = F.array_min(F.transform(inside, lambda x: F.struct((-F.length(x["p"])).alias("neg"), x["ord"].alias("ord"), x["canonical"].alias("canonical"))))
@@ -116,9 +116,9 @@ def header_of(lines: DataFrame, settings: Settings = Settings(), fuzzy: bool = T
     longest = max((len(p) for ps in settings.sections.values() for p in ps), default=0)
     # a bare header must be equal to a pattern, be covered by one, or be similar enough: none of these can be much longer
     reach = longest / min(settings.substr_coverage, settings.bare_conf / (2 - settings.bare_conf))
-    rows = lines.withColumn("_k", kind).withColumn("_h", text)
+    rows = bind(lines.withColumn("_k", kind), _k=F.col("_k"), _h=text)
     may = (F.col("_h") != "") & ((F.col("_k") != "bare") | (F.length("_h") <= reach)) & (strip(line) != "")
-    rows = rows.withColumn("_h", F.when(may, F.col("_h")))
+    rows = bind(rows, _h=F.when(may, F.col("_h")))
     joined = match_canonical(rows.withColumnRenamed("_h", "_m"), "_m", settings, fuzzy)
     k, c = F.col("_k"), F.col("canonical")
     is_header = F.when(k == "num", F.col("_m").isNotNull()).when(k == "colon", c.isNotNull()).otherwise(c.isNotNull() & (F.col("confidence") >= settings.bare_conf))

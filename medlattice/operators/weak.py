@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.config import ABBREVIATIONS, ASSERTABLE, DIAGNOSIS, DRUG, FILLERS, LAB_NAME, LINKABLE, SYMPTOM, Settings
-from ..functions.text import TOKEN_LEFT, TOKEN_RIGHT, WS, collapse, find_all, first_match, mark, multi_hot, n_words, normalize, normalize_literal, parse_marked, strip, strip_span, trimmed, words
+from ..functions.text import TOKEN_LEFT, TOKEN_RIGHT, WS, bind, collapse, find_all, first_match, mark, multi_hot, n_words, normalize, normalize_literal, parse_marked, strip, strip_span, trimmed, words
 from .sections import newline_spans
 
 
@@ -154,11 +154,11 @@ def clean_concepts(concepts: DataFrame, docs: DataFrame, drug_kb: DataFrame | No
     rows = concepts.join(docs.select("doc_id", "raw"), "doc_id")
     span = F.substring(F.col("raw"), F.col("start") + 1, F.col("end") - F.col("start"))
     text, start = strip_span(span, F.col("start"))
-    rows = rows.withColumn("_x", F.struct(text.alias("t"), start.alias("s"))).withColumn("text", F.col("_x.t")).withColumn("start", F.col("_x.s")).drop("_x")
+    rows = bind(rows, text=text, start=start)
     if drug_kb is not None:
         rows = kb_trim(rows, drug_kb, disease_kb, settings, fuzzy)
         text, start = strip_span(F.col("text"), F.col("start"))
-        rows = rows.withColumn("_x", F.struct(text.alias("t"), start.alias("s"))).withColumn("text", F.col("_x.t")).withColumn("start", F.col("_x.s")).drop("_x")
+        rows = bind(rows, text=text, start=start)
     rows = rows.where((F.col("text") != "") & ~is_garbage(F.col("text"))).withColumn("end", F.col("start") + F.length("text"))
     w = Window.partitionBy("doc_id", "start", "end", "type").orderBy("ord")
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*concepts.columns)
@@ -180,8 +180,8 @@ def kb_trim(rows: DataFrame, drug_kb: DataFrame, disease_kb: DataFrame, settings
         joined = own.join(best, "text", "left")
         text, start = strip_span(F.col("_best"), F.col("start"))
         shrunk = F.col("_best").isNotNull() & (F.col("_best") != F.col("text"))
-        joined = joined.withColumn("_x", F.struct(F.when(shrunk, text).otherwise(F.col("text")).alias("t"), F.when(shrunk, start).otherwise(F.col("start")).alias("s")))
-        out = out.unionByName(joined.withColumn("text", F.col("_x.t")).withColumn("start", F.col("_x.s")).select(*rows.columns))
+        joined = bind(joined, text=F.when(shrunk, text).otherwise(F.col("text")), start=F.when(shrunk, start).otherwise(F.col("start")))
+        out = out.unionByName(joined.select(*rows.columns))
     return out
 
 
