@@ -51,7 +51,7 @@ def distant_label(docs: DataFrame, index: DataFrame, max_words: int = 8) -> Data
     order = Window.partitionBy("doc_id").orderBy("s")
     placed = placed.select("doc_id", "raw", "s", (F.col("s") + F.length("tok")).alias("e"), F.row_number().over(order).alias("i"))
     ahead = F.collect_list("e").over(order.rowsBetween(0, max_words - 1))
-    runs = placed.select("doc_id", "raw", "s", "i", F.posexplode(ahead).alias("w", "e"))
+    runs = placed.withColumn("ahead", ahead).select("doc_id", "raw", "s", "i", F.posexplode("ahead").alias("w", "e"))
     text, start = trimmed(F.substring(F.col("raw"), F.col("s") + 1, F.col("e") - F.col("s")), F.col("s"), TOKEN_LEFT, TOKEN_RIGHT)
     runs = runs.select("doc_id", "i", "w", F.col("s").alias("tok_start"), start.alias("start"), text.alias("text")).where("text <> ''")
     hits = runs.withColumn("norm", collapse(F.col("text"))).join(index, "norm")

@@ -106,17 +106,17 @@ typed as (select *, case section when 'SYMPTOM' then 'TRIỆU_CHỨNG' when 'DIA
   where section in ('SYMPTOM', 'DIAGNOSIS', 'DRUG') and trim(line) <> ''),
 cut as (select *, case when kind = 'colon' then length(regexp_extract(line, '^[^:]*:\\s*')) when kind is null and bullet then length(regexp_extract(line, '^\\s*[-*•]\\s*'))
     when kind is null and regexp_matches(line, '^\\s*[^:\\n]{{3,60}}?\\s*:') then length(regexp_extract(line, '^\\s*[^:\\n]{{3,60}}?\\s*:\\s*')) end as c from typed),
-data as (select {cols}, type, substr(line, cast(c as int) + 1) as content, line_start + c as at, not (kind is null and bullet) as split from cut where c < length(line) or (kind is null and bullet)),
-split1 as (select {cols}, type, at, unnest(generate_series(1, len(string_split_regex(content, '[,;]')))) as i, unnest(string_split_regex(content, '[,;]')) as part from data where split and type <> 'THUỐC'),
-parts as (select {cols}, type, part, at + coalesce(sum(length(part) + 1) over (partition by doc_id, line_no order by i rows between unbounded preceding and 1 preceding), 0) as s from split1
-  union all select {cols}, type, content, at from data where not split and type <> 'THUỐC'),
+data as (select {cols}, type, substr(line, cast(c as int) + 1) as content, line_start + c as at_, not (kind is null and bullet) as split from cut where c < length(line) or (kind is null and bullet)),
+split1 as (select {cols}, type, at_, unnest(generate_series(1, len(string_split_regex(content, '[,;]')))) as i, unnest(string_split_regex(content, '[,;]')) as part from data where split and type <> 'THUỐC'),
+parts as (select {cols}, type, part, cast(at_ + coalesce(sum(length(part) + 1) over (partition by doc_id, line_no order by i rows between unbounded preceding and 1 preceding), 0) as bigint) as s from split1
+  union all select {cols}, type, content, at_ from data where not split and type <> 'THUỐC'),
 sd1 as (select {cols}, type, {trim('part')} as t, {trim_start('part', 's')} as s from parts),
 sd2 as (select {cols}, type, s, case when contains(t, ':') then string_split(t, ':')[1] else t end as t from sd1 where t <> ''),
 sd3 as (select *, {negation_sql('t')} as n from sd2),
 sd4 as (select {cols}, type, n, {trim('substr(t, n + 1)')} as t, {trim_start('substr(t, n + 1)', 's + n')} as s from sd3),
 sd as (select doc_id, t as text, type, cast(s as int) as start, cast(s + length(t) as int) as end_, {assertions_sql('type', 'line', '(s - line_start)', 'section', 'section_header', 'doc_section', 'n > 0')} as assertions
   from sd4 where t <> '' and length(t) <= 120 and len(list_filter(string_split_regex(t, '\\s+'), lambda x: x <> '')) <= 10),
-dr1 as (select {cols}, {trim('content')} as t, {trim_start('content', 'at')} as s from data where type = 'THUỐC'),
+dr1 as (select {cols}, {trim('content')} as t, {trim_start('content', 'at_')} as s from data where type = 'THUỐC'),
 dr2 as (select {cols}, case when regexp_matches(lower(t), {q(lead)}) then substr(t, length(regexp_extract(lower(t), {q(lead)})) + 1) else t end as t, case when regexp_matches(lower(t), {q(lead)}) then s + length(regexp_extract(lower(t), {q(lead)})) else s end as s from dr1 where t <> ''),
 dr3 as (select {cols}, s, {trim(f"regexp_replace(t, {q(tail)}, '')")} as t from dr2),
 dr4 as (select {cols}, s, {trim("regexp_replace(t, '\\s*\\([^)]*\\)?\\s*$', '')")} as t from dr3),
@@ -124,9 +124,9 @@ dr as (select doc_id, t as text, 'THUỐC' as type, cast(s as int) as start, cas
   from dr4 where t <> '' and length(t) <= 120 and len(list_filter(string_split_regex(t, '\\s+'), lambda x: x <> '')) <= 8 and regexp_matches(t, '[A-Za-z]{{4,}}')),
 lab0 as (select {cols}, case when regexp_matches(line, '^\\s*[-*•]') then length(regexp_extract(line, '^\\s*[-*•]\\s*')) else 0 end as hd, kind from placed where section = 'LAB' and trim(line) <> '' and (kind is null or kind = 'colon')),
 lab1 as (select {cols}, hd + case when kind = 'colon' then length(regexp_extract(substr(line, hd + 1), '^\\s*[^:\\n]{{3,60}}?\\s*:\\s*')) else 0 end as c from lab0),
-lab2 as (select {cols}, line_start + c as at, string_split(substr(line, c + 1), ';') as ps from lab1 where c < length(line)),
-lab3 as (select {cols}, at, unnest(generate_series(1, len(ps))) as i, unnest(ps) as part from lab2),
-lab4 as (select {cols}, part, at + coalesce(sum(length(part) + 1) over (partition by doc_id, line_no order by i rows between unbounded preceding and 1 preceding), 0) as s from lab3),
+lab2 as (select {cols}, line_start + c as at_, string_split(substr(line, c + 1), ';') as ps from lab1 where c < length(line)),
+lab3 as (select {cols}, at_, unnest(generate_series(1, len(ps))) as i, unnest(ps) as part from lab2),
+lab4 as (select {cols}, part, cast(at_ + coalesce(sum(length(part) + 1) over (partition by doc_id, line_no order by i rows between unbounded preceding and 1 preceding), 0) as bigint) as s from lab3),
 lab5 as (select {cols}, {trim('part')} as t, {trim_start('part', 's')} as s from lab4),
 lab6 as (select *, length(regexp_extract(t, '^([^0-9+-]*(?:[+-][^0-9+-]+)*)[+-]?\\d', 1)) as a from lab5 where regexp_matches(t, '\\d')),
 lab7 as (select doc_id, s, a, {trim('substr(t, 1, cast(a as int))')} as name, {trim('substr(t, cast(a as int) + 1)')} as val, {trim_start('substr(t, 1, cast(a as int))', 's')} as ns, {trim_start('substr(t, cast(a as int) + 1)', 's + a')} as vs from lab6),

@@ -368,7 +368,7 @@ def _votes(spark, sf_dir) -> DataFrame:
 _VOTES = "ev as (select user_id as doc_id, cast(event_id % 5 as int) as sample, event_id as ord, cast(event_id % 23 as int) as start, case when event_id % 3 = 0 then 'isNegated' else '' end as a from events), first_ as (select doc_id, start, sample, arg_min(a, ord) as a, min(ord) as ord from ev group by all)".replace("group by all", "group by doc_id, start, sample")
 
 
-@query(f"with {_VOTES}, c as (select doc_id, start, a, count(*) as n, min({{'s': sample, 'o': ord}}) as at from first_ group by doc_id, start, a) select doc_id, start, cast(start + 5 as int) as end_, cast(sum(n) as bigint) as votes, arg_min(a, {{'n': -n, 'at': at}}) as assertions from c group by doc_id, start having sum(n) >= 2")
+@query(f"with {_VOTES}, c as (select doc_id, start, a, count(*) as n, min({{'s': sample, 'o': ord}}) as at_ from first_ group by doc_id, start, a) select doc_id, start, cast(start + 5 as int) as end_, cast(sum(n) as bigint) as votes, arg_min(a, {{'n': -n, 'a': at_}}) as assertions from c group by doc_id, start having sum(n) >= 2")
 def vote_spans(spark, sf_dir):
     v = weak.vote_counts(_votes(spark, sf_dir))
     return v.select("doc_id", "start", F.col("end").alias("end_"), "votes", joined("assertions").alias("assertions"))
@@ -390,7 +390,7 @@ def garbage_tokens(spark, sf_dir):
     return t.select("token", weak.is_garbage(F.col("token")).alias("garbage"))
 
 
-@query(o.with_notes(o.lines_sql("notes"), o.extract_sql(), r"cut as (select doc_id, type, start, regexp_replace(text, '\s*(\s*[(\[][^)\]]*[)\]]\s*)+$', '') as t0 from concepts)", r"edge as (select doc_id, type, start + length(t0) - length(ltrim(t0, ' .,;:-–—([')) as start, trim(rtrim(ltrim(t0, ' .,;:-–—(['), ' .,;:-–—)]')) as t from cut)", select=rf"select distinct doc_id, t as text, type, cast(start as int) as start, cast(start + length(t) as int) as end_ from edge where length(t) > 2 and not regexp_full_match(t, '(?:[^\p{{L}}\p{{N}}_]|\d|_)+') and {o.norm('t')} not in ({_FILL})"))
+@query(o.with_notes(o.lines_sql("notes"), o.extract_sql(), r"cut9 as (select doc_id, type, start, regexp_replace(text, '\s*(\s*[(\[][^)\]]*[)\]]\s*)+$', '') as t0 from concepts)", r"edge as (select doc_id, type, start + length(t0) - length(ltrim(t0, ' .,;:-–—([')) as start, trim(rtrim(ltrim(t0, ' .,;:-–—(['), ' .,;:-–—)]')) as t from cut9)", select=rf"select distinct doc_id, t as text, type, cast(start as int) as start, cast(start + length(t) as int) as end_ from edge where length(t) > 2 and not regexp_full_match(t, '(?:[^\p{{L}}\p{{N}}_]|\d|_)+') and {o.norm('t')} not in ({_FILL})"))
 def denoised_concepts(spark, sf_dir):
     n = notes(spark, sf_dir)
     return _flat(weak.clean_concepts(extract.extract(n), n)).drop("assertions")
