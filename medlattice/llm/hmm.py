@@ -32,6 +32,8 @@ from .shared import shared_table
 
 STATES, HEAD, KNOWN, CLASSES, PIECE = 8, 1e-4, 2e-6, 256, 512
 SAMPLE_TOKENS, SAMPLE_ROUNDS, CORPUS_ROUNDS = 200_000, 15, 2
+#: Tokens of the overall distribution that each state is given beforehand; they keep a small corpus from being learnt by heart.
+PRIOR = 100.0
 END = b""  # no word is empty
 _BLOCK_TOKENS = 400_000
 
@@ -66,7 +68,7 @@ class Hmm:
         """Normalised counts, smoothed: emissions by a little of the symbols' overall shares."""
         states = len(start)
         overall = emit.sum(axis=0) + 1e-6
-        emit = emit + 2.0 * states * (weight[:, None] + 1e-9)
+        emit = emit + PRIOR * (weight[:, None] + 1e-9)
         start, move = start + 0.1, move + 0.1
         return cls(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0), overall / overall.sum())
 
