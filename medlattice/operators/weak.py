@@ -173,7 +173,7 @@ def kb_trim(rows: DataFrame, drug_kb: DataFrame, disease_kb: DataFrame, settings
         own = rows.where(F.col("type") == kind)
         texts = own.select("text").distinct()
         n = n_words(F.col("text"))
-        prefix = F.regexp_extract(F.col("text"), F.concat(F.lit(f"(?U)^(?:{WS}*\\S+){{"), F.col("k").cast("string"), F.lit("}")), 0)
+        prefix = F.regexp_substr(F.col("text"), F.concat(F.lit(f"(?U)^(?:{WS}*\\S+){{"), F.col("k").cast("string"), F.lit("}")))
         tried = texts.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(1), F.greatest(F.col("n"), F.lit(1))))).withColumn("part", F.when(F.col("k") == F.col("n"), F.col("text")).otherwise(prefix))
         linked = link_terms(tried.select(F.col("part").alias("text")), kb, name, settings, fuzzy=fuzzy).where(F.size("codes") > 0).select(F.col("text").alias("part"))
         best = tried.join(linked, "part").groupBy("text").agg(F.max_by("part", "k").alias("_best"))
