@@ -35,7 +35,7 @@ def op3_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = shared_table(warc.write_archives(warc.mark_revisits(table(spark, sf_dir, "pages"))), "warc")
-    return warc.read_archives(written, with_payload=False).where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_archives(written, with_payload=False, whole=True).where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 #: Smaller payloads are always stored in full.
 MIN_REVISIT = 1000
 _SALTS = 8
-_SEGMENT, _ARCHIVE = 1 << 20, 1 << 26
+_ARCHIVE = 1 << 22
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2020-01-01T00:00:00Z"
 
@@ -197,8 +197,11 @@ def mark_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     return keyed.join(revisits, F.expr("page_id <=> own and digest = same"), "left").select("page_id", "url", "html", "refers_to")
 
 
-def write_archives(pages: DataFrame, compress: bool = True, archive_bytes: int = _ARCHIVE) -> DataFrame:
-    """Segments (archive, seq, data) of archives with one record per row of ``mark_revisits``' result; a plain map."""
+def write_archives(pages: DataFrame, compress: bool = True, archive_bytes: int = _ARCHIVE, segment_bytes: int = _ARCHIVE) -> DataFrame:
+    """Segments (archive, seq, data) of archives with one record per row of ``mark_revisits``' result; a plain map.
+
+    By default an archive is one segment, which ``read_archives(..., whole=True)`` takes row by row without a shuffle.
+    """
     from pyspark import TaskContext
 
     target = pa.schema([("archive", pa.string()), ("seq", pa.int64()), ("data", pa.binary())])
@@ -215,7 +218,7 @@ def write_archives(pages: DataFrame, compress: bool = True, archive_bytes: int =
                     record = build_record(page_id, url, html.encode("utf-8", "surrogatepass"), refers_to, compress)
                     held.append(record)
                     size += len(record)
-                    if size >= _SEGMENT:
+                    if size >= segment_bytes:
                         yield segment()
                         written, seq, held, size = written + size, seq + 1, [], 0
                         if written >= archive_bytes:
@@ -226,9 +229,9 @@ def write_archives(pages: DataFrame, compress: bool = True, archive_bytes: int =
     return pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, "archive string, seq bigint, data binary")
 
 
-def read_archives(segments: DataFrame, with_payload: bool = True) -> DataFrame:
+def read_archives(segments: DataFrame, with_payload: bool = True, whole: bool = False) -> DataFrame:
     """Records and gaps of all archives: kind, archive, offset, length, reason, record_type, page_id, url, payload_bytes,
-    payload_digest (hex), refers_to and, if asked for, payload."""
+    payload_digest (hex), refers_to and, if asked for, payload.  ``whole``: each row is an archive of its own."""
     names = ["kind", "archive", "offset", "length", "reason", "record_type", "page_id", "url", "payload_bytes", "payload_digest", "refers_to"]
     types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
     ddl = "kind string, archive string, offset bigint, length bigint, reason string, record_type string, page_id bigint, url string, payload_bytes bigint, payload_digest string, refers_to bigint"
@@ -257,7 +260,8 @@ def read_archives(segments: DataFrame, with_payload: bool = True) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), target)], schema=target)
 
-    return segments.repartition("archive").sortWithinPartitions("archive", "seq").select("archive", "data").mapInArrow(run, ddl)
+    rows = segments if whole else segments.repartition("archive").sortWithinPartitions("archive", "seq")
+    return rows.select("archive", "data").mapInArrow(run, ddl)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -275,7 +279,7 @@ def write_files(segments: DataFrame, directory: str) -> None:
         store.create_dir(root)
         rows = (r for batch in it for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
         for archive, pieces in itertools.groupby(rows, key=lambda r: r[0]):
-            with store.open_output_stream(f"{root}/{archive}") as f:
+            with store.open_output_stream(f"{root}/{archive}", compression=None) as f:
                 for _, data in pieces:
                     f.write(data)
             yield pa.RecordBatch.from_arrays([pa.array([archive])], names=["archive"])
