@@ -250,18 +250,18 @@ def corpus_counts(symbols: DataFrame, model: Hmm) -> tuple[np.ndarray, np.ndarra
     return total[0], total[1 : 1 + states], total[1 + states :]
 
 
-def train(symbols: DataFrame, weight: np.ndarray, states: int = STATES, corpus_rounds: int = CORPUS_ROUNDS) -> Hmm:
+def train(symbols: DataFrame, weight: np.ndarray, training_rows: int, states: int = STATES, corpus_rounds: int = CORPUS_ROUNDS) -> Hmm:
     """A start on at most ``SAMPLE_TOKENS`` tokens of pieces of training rows, then rounds over the whole corpus."""
-    model = Hmm.begin(weight, states)
-    sample = symbols.where("not held_out").select("symbols", "n_tokens").where(f"n_tokens <= {PIECE * 4}")
+    model, rows = Hmm.begin(weight, states), SAMPLE_TOKENS // 256
+    scale = 1 << 30
+    share = int(min(1.0, rows / max(1, training_rows)) * scale)  # about ``rows`` rows, wherever they lie
+    sample = symbols.where(f"not held_out and n_tokens <= {PIECE * 4}").where(F.pmod(F.xxhash64("uid"), F.lit(scale)) < share)
     got, held = 0, []
-    some = sample.withColumn("h", F.xxhash64("symbols")).select(F.struct("h", "symbols").alias("x")).orderBy("x.h").limit(SAMPLE_TOKENS // 256).collect()
-    for r in some:
-        s = np.frombuffer(bytes(r["x"]["symbols"]), np.uint16)
-        if got + len(s) > SAMPLE_TOKENS:
-            break
-        got += len(s)
-        held.append(s)
+    for r in sorted(sample.select("uid", "symbols").collect()):
+        s = np.frombuffer(bytes(r["symbols"]), np.uint16)
+        if got + len(s) <= SAMPLE_TOKENS:
+            got += len(s)
+            held.append(s)
     if not held:
         return model
     seqs, fresh = pieces(held)
@@ -289,7 +289,7 @@ def score(docs: DataFrame, states: int = STATES) -> DataFrame:
     weight = (weight + 0.5) / (weight + 0.5).sum()
 
     symbols = shared_table(symbolise(docs, frequent, head), "lm-symbols")
-    model = train(symbols, weight, states)
+    model = train(symbols, weight, frequent.get(END, 0), states)
     shipped = spark.sparkContext.broadcast((model, np.log10(size), len(head)))
     target = pa.schema([("uid", pa.int64()), ("forward", pa.float64())])
 
