@@ -11,11 +11,13 @@ inside the band of offsets that could still reach the threshold.  For texts with
 it is the Jaccard similarity of their shingles.  Pairs of ``THRESHOLD`` or more are linked; classes are the connected
 components, named by their least document.
 
-Scale: equal texts (by words) are collapsed first, whatever their number.  Within each key the members are compared
-with the key's least member only, and those that fail go on to a next round among themselves, so a group costs its
-size times the number of its unlike texts, and no pair is compared twice; what is left after six rounds must share a
-second key, so texts that have but a passage in common part.  Rounds end when no key has two members.  Members and
-representatives meet in salted groups of at most about ``GROUP`` members, read as a stream.  Classes are found by
+Scale: equal texts (by words) are collapsed first, whatever their number.  Within a key the members are compared with its best connected member only, each member first with the best of its representatives; what
+is connected by then is not compared again, so a large group of near copies costs about one comparison a member.  Members
+that fail, texts whose similarity lies just below the threshold, are compared key by key in blocks, so no link that
+shares a key is lost.  Only this rest of a key costs the
+square of its size, in bounded tasks that emit links alone.  Members and
+representatives meet in salted groups of at most about ``GROUP`` members, read as a stream.  Joins on keys, representatives and
+texts carry numbers only and have one row a key on one side, so adaptive execution can split a hot key.  Classes are found by
 minimum labels with pointer jumping, in tables; nothing about documents is collected to the driver.
 
 Defined results: a null text is a class of its own; equal texts, the empty one too, are one class; texts of fewer than
@@ -23,6 +25,7 @@ five words have one shingle, all their words; rows that share a doc_id are told
 """
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -36,7 +39,7 @@ from .shared import map_rows, shared_table
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS, PICK = 24, 3, 2
-GROUP, REFINE = 256, (6, 12)
+GROUP, BLOCK = 256, 256
 _SEGMENT = 1 << 14
 
 _rng = np.random.default_rng(20240607)
@@ -187,25 +190,15 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
     return map_rows(slim, run, "doc bigint, words_key binary, words binary, bands array<bigint>", slice_rows=256)
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """Inner join on ``key`` where ``right`` has one row per key and the number ``n`` of its rows among ``total`` on the left.
-
-    Keys with a thousandth of the rows or more number 1,000 at most, so they are broadcast; the others are joined by a shuffle.
-    """
-    hot = F.broadcast(right.where(F.col(n) * 1000 >= total))
-    cold = right.where(F.col(n) * 1000 < total)
-    return left.join(hot, key).unionByName(left.join(F.broadcast(right.where(F.col(n) * 1000 >= total).select(key)), key, "left_anti").join(cold, key))
-
-
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(member, rep, ok) for the pairs (member, rep); ``texts`` has cls, words.
 
     Members travel with their words to (rep, salt) groups, and the representative is sent once to each group.
     """
     sizes = pairs.groupBy("rep").agg(F.count("*").alias("n"))
-    salted = hot_join(pairs, sizes, "rep", "n", max(1, pairs.count())).select("rep", "member", F.pmod(F.xxhash64("member"), F.ceil(F.col("n") / GROUP)).cast("int").alias("salt"))
-    members = salted.join(texts, salted["member"] == texts["cls"]).select("rep", "salt", "member", "words")
-    reps = salted.select("rep", "salt").distinct().join(texts, F.col("rep") == texts["cls"]).select("rep", "salt", F.lit(None).cast("bigint").alias("member"), "words")
+    salted = pairs.join(sizes, "rep").select("rep", "member", F.pmod(F.xxhash64("member"), F.ceil(F.col("n") / GROUP)).cast("int").alias("salt"))
+    members = salted.select("rep", "salt", "member", F.col("member").alias("cls"))
+    reps = salted.select("rep", "salt", F.lit(None).cast("bigint").alias("member"), F.col("rep").alias("cls")).distinct()
     target = pa.schema([("member", pa.int64()), ("rep", pa.int64()), ("ok", pa.bool_())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +215,7 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), target)], schema=target)
 
-    both = members.unionByName(reps).repartition("rep", "salt").sortWithinPartitions("rep", "salt", F.col("member").asc_nulls_first())
+    both = members.unionByName(reps).join(texts, "cls").repartition("rep", "salt").sortWithinPartitions("rep", "salt", F.col("member").asc_nulls_first())
     return both.select("rep", "member", "words").mapInArrow(run, "member bigint, rep bigint, ok boolean")
 
 
@@ -241,48 +234,128 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def links(unique: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame | None:
-    """Verified links (member, rep) between different texts; None if no two share a band key."""
-    rows = unique.select("cls", "least", F.explode("bands").alias("band"))
-    total, texts, tested, turn = None, None, None, 0
-    while True:
-        heads = rows.groupBy("band").agg(F.min(F.struct("least", "cls")).alias("head"), F.count("*").alias("n")).where("n > 1").select("band", F.col("head.cls").alias("rep"), "n")
-        total = total or max(1, rows.count())
-        found = shared_table(hot_join(rows, heads, "band", "n", total).select("cls", "least", "band", "rep"), "dedup-open")
-        open_ = found.where("cls <> rep")
-        if open_.isEmpty():
-            break
-        if texts is None:  # only texts that share a key with another are ever compared
-            some = found.select("cls").distinct().join(unique, "cls").select("cls", "words_key", F.col("least").alias("doc"))
-            texts = shared_table(sketched.select("doc", "words_key", "words").join(some, ["words_key", "doc"]).select("cls", "words").dropDuplicates(["cls"]), "dedup-texts")
-        pairs = open_.select(F.col("cls").alias("member"), "rep").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["member", "rep"], "left_anti")
+def discover(rows: DataFrame) -> DataFrame:
+    """Of (cls, least, band) the members of each key with others, beside the key's representative: cls, least, band, rep, degree.
+
+    The representative is the member that shares keys most often, then the least: among copies of a text that is most often
+    the text itself, to which all of them are near even if they are not near to each other.
+    """
+    counts = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = shared_table(rows.join(counts, "band"), "dedup-shared")
+    degree = shared.groupBy(F.col("cls").alias("_c")).agg(F.sum("n").alias("degree"))
+    ranked = shared.join(degree, F.col("cls") == F.col("_c")).drop("_c")
+    heads = ranked.groupBy("band").agg(F.max(F.struct("degree", (-F.col("least")).alias("least"), "cls")).alias("h"))
+    found = shared.drop("n").join(heads.select("band", F.col("h.cls").alias("rep"), F.col("h.degree").alias("degree")), "band")
+    return shared_table(found.where("cls <> rep").select("cls", "least", "band", "rep", "degree"), "dedup-open")
+
+
+class _Linker:
+    """Compares members with their keys' representatives; knows what was tested and what is connected."""
+
+    def __init__(self, texts: DataFrame, threshold: float):
+        self.texts, self.threshold = texts, threshold
+        self.tested: DataFrame | None = None
+        self.labels: DataFrame | None = None
+
+    def _apart(self, rows: DataFrame) -> DataFrame:
+        """Rows (cls, rep) that are not yet in one component."""
+        if self.labels is None:
+            return rows
+        a = self.labels.select("cls", F.col("label").alias("_a"))
+        b = self.labels.select(F.col("cls").alias("rep"), F.col("label").alias("_b"))
+        joined = rows.join(a, "cls", "left").join(b, "rep", "left")
+        return joined.where(F.coalesce("_a", "cls") != F.coalesce("_b", "rep")).select(*rows.columns)
+
+    def _test(self, pairs: DataFrame) -> None:
+        if self.tested is not None:
+            pairs = pairs.join(self.tested.select("member", "rep"), ["member", "rep"], "left_anti")
         pairs = shared_table(pairs, "dedup-pairs")
-        checked = shared_table(verify(pairs, texts, threshold), "dedup-checked")
-        tested = checked if tested is None else tested.unionByName(checked)
-        # a member that is linked to its key's representative is done with the key; the others go on among themselves
-        done = tested.where("ok").select(F.col("member").alias("cls"), "rep")
-        rows, turn, total = open_.join(done, ["cls", "rep"], "left_anti").select("cls", "least", "band"), turn + 1, None
-        if turn in REFINE:  # what is left shares keys with many unlike texts: ask for a second key in common
-            more = rows.join(unique.select("cls", "bands"), "cls").select("cls", "least", "band", F.explode("bands").alias("second")).where("band <> second")
-            rows = more.select("cls", "least", F.xxhash64("band", "second").alias("band"))
-        rows = shared_table(rows, "dedup-rows")
-    return None if tested is None else tested.where("ok").select("member", "rep")
+        if pairs.isEmpty():
+            return
+        checked = shared_table(verify(pairs, self.texts, self.threshold), "dedup-checked")
+        self.tested = checked if self.tested is None else self.tested.unionByName(checked)
+        if not checked.where("ok").isEmpty():
+            self.labels = components(self.tested.where("ok"))
+
+    def compare(self, found: DataFrame) -> DataFrame:
+        """Test what ``discover`` found; returns the rows (cls, least, band) that are still apart from their key's least class.
+
+        First each member meets the most connected of its representatives, which connects large groups; then what that left apart.
+        """
+        first = self._apart(found).groupBy("cls").agg(F.max(F.struct("degree", "rep")).alias("r"))
+        self._test(first.select(F.col("cls").alias("member"), "r.rep"))
+        self._test(self._apart(found).select(F.col("cls").alias("member"), "rep").distinct())
+        return shared_table(self._apart(found).select("cls", "least", "band"), "dedup-rows")
+
+    def finish(self, rows: DataFrame) -> DataFrame | None:
+        """Compare what stars left apart (cls, least, band) block by block; returns the labels."""
+        labelled = rows.select("cls", "band", F.col("cls").alias("label"))
+        if self.labels is not None:
+            labelled = rows.select("cls", "band").join(self.labels, "cls", "left").select("cls", "band", F.coalesce("label", "cls").alias("label"))
+        more = shared_table(blockwise(labelled, self.texts, self.threshold), "dedup-more")
+        if more.isEmpty():
+            return self.labels
+        return components(more if self.tested is None else self.tested.where("ok").select("member", "rep").unionByName(more))
+
+
+def blockwise(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """All links (member, rep) within each band of (cls, band, label) between different labels, compared in blocks.
+
+    A band's members are dealt into chunks of about ``BLOCK``; each pair of chunks is one group of a task, which compares
+    its members and emits only the links.  A pair that shares several bands is compared in the first of them.
+    """
+    bands_of = rows.groupBy("cls").agg(F.array_sort(F.collect_set("band")).alias("own"))
+    sizes = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    many = F.ceil(F.col("n") / BLOCK)
+    dealt = rows.join(sizes, "band").withColumn("c", F.pmod(F.xxhash64("cls", F.lit(1)), many)).withColumn("m", many)
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1))
+    dealt = dealt.select("cls", "label", "band", "c", other.alias("o")).select("cls", "label", "band", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c")
+    full = dealt.join(bands_of, "cls").join(texts, "cls").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "cls")
+    target = pa.schema([("member", pa.int64()), ("rep", pa.int64())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in it for lo in range(0, batch.num_rows, 64) for r in zip(*(c.to_pylist() for c in batch.slice(lo, 64).columns)))
+        for (band, i, j), group in itertools.groupby(rows, key=lambda r: r[:3]):
+            held, out = [], []
+            for _, _, _, chunk, cls, label, own, words in group:
+                s = shingles(np.frombuffer(words, np.uint32))
+                mine = set(own)
+                for chunk2, cls2, label2, own2, s2 in held:
+                    if label == label2 or i != j and chunk == chunk2:
+                        continue
+                    if min(len(s), len(s2)) < threshold * max(len(s), len(s2)) or min(mine.intersection(own2)) != band:
+                        continue
+                    if similarity(s, s2, threshold) >= threshold - 1e-9:
+                        out.append((cls, cls2))
+                held.append((chunk, cls, label, own, s))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), target)], schema=target)
+
+    return full.select("band", "i", "j", "c", "cls", "label", "own", "words").mapInArrow(run, "member bigint, rep bigint")
+
+
+def links(unique: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame | None:
+    """(cls, label) of the connected different texts; None if there are none."""
+    found = discover(unique.select("cls", "least", F.explode("bands").alias("band")))
+    some = found.select("cls").union(found.select("rep"))
+    # only texts that share a key with another are ever compared; a class's words are those of its least document
+    some = some.distinct().join(unique, "cls").select("cls", "words_key", F.col("least").alias("doc"))
+    texts = shared_table(sketched.select("doc", "words_key", "words").join(some, ["words_key", "doc"]).select("cls", "words").dropDuplicates(["cls"]), "dedup-texts")
+    linker = _Linker(texts, threshold)
+    return linker.finish(linker.compare(found))
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row with text: doc, words_key, dup_class (least document of the class), class_texts (different texts in it)."""
     sketched = shared_table(sketches(docs, key, text), "dedup-sketches")
-    unique = sketched.groupBy("words_key").agg(F.min("doc").alias("least"), F.count("*").alias("n"), F.any_value("bands").alias("bands"))
+    unique = sketched.groupBy("words_key").agg(F.min("doc").alias("least"), F.any_value("bands").alias("bands"))
     unique = shared_table(unique.withColumn("cls", F.xxhash64("words_key")), "dedup-unique")
-    found = links(unique, sketched, threshold)
-    named = unique.select("words_key", "cls", "least", "n")
-    if found is None:
-        labels = named.select("words_key", F.col("least").alias("dup_class"), F.lit(1).cast("bigint").alias("class_texts"), "n")
+    connected = links(unique, sketched, threshold)
+    named = unique.select("words_key", "cls", "least")
+    if connected is None:
+        labels = named.select("words_key", F.col("least").alias("dup_class"), F.lit(1).cast("bigint").alias("class_texts"))
     else:
-        joined = named.join(components(found), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        whole = joined.groupBy("label").agg(F.min("least").alias("dup_class"), F.count("*").alias("class_texts"), F.count("*").alias("members"))
-        labels = hot_join(joined, whole, "label", "members", max(1, unique.count())).select("words_key", "dup_class", "class_texts", "n")
-    rows = sketched.select("doc", "words_key")
-    return hot_join(rows, labels, "words_key", "n", max(1, rows.count())).select("doc", "words_key", "dup_class", "class_texts")
+        joined = named.join(connected, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        whole = joined.groupBy("label").agg(F.min("least").alias("dup_class"), F.count("*").alias("class_texts"))
+        labels = joined.join(whole, "label").select("words_key", "dup_class", "class_texts")
+    return sketched.select("doc", "words_key").join(labels, "words_key").select("doc", "words_key", "dup_class", "class_texts")
