@@ -78,7 +78,8 @@ def char_view(raw: Column) -> Column:
 # --- trimming
 
 
-def _class(chars: str) -> str:
+def char_class(chars: str) -> str:
+    """A pattern for one of the characters."""
     return "[" + "".join("\\" + c if c in "[]\\^-&" else c for c in chars) + "]"
 
 
@@ -89,18 +90,18 @@ def strip(c: Column) -> Column:
 
 def lead(c: Column, chars: str) -> Column:
     """How many characters at the beginning are of ``chars``."""
-    return F.length(F.regexp_extract(c, f"^{_class(chars)}*", 0))
+    return F.length(F.regexp_extract(c, f"^{char_class(chars)}*", 0))
 
 
 def trim_edges(c: Column, chars: str = TRIM) -> Column:
-    return F.regexp_replace(c, f"^{_class(chars)}+|{_class(chars)}+\\z", "")
+    return F.regexp_replace(c, f"^{char_class(chars)}+|{char_class(chars)}+\\z", "")
 
 
 def trimmed(text: Column, start: Column, left: str = TRIM, right: str | None = None) -> tuple[Column, Column]:
     """(text without edge characters, its start); T9 and T11."""
     head = lead(text, left)
     rest = F.substring(text, head + 1, F.length(text))
-    return F.regexp_replace(rest, f"{_class(right or left)}+\\z", ""), (start + head).cast("int")
+    return F.regexp_replace(rest, f"{char_class(right or left)}+\\z", ""), (start + head).cast("int")
 
 
 def strip_span(text: Column, start: Column) -> tuple[Column, Column]:
@@ -108,7 +109,7 @@ def strip_span(text: Column, start: Column) -> tuple[Column, Column]:
     head = F.length(F.regexp_extract(text, f"(?U)^{WS}*", 0))
     body = F.regexp_replace(F.substring(text, head + 1, F.length(text)), f"(?U){WS}+\\z", "")
     cut = F.regexp_replace(body, rf"(?U)(?<=.)(?:{WS}*[(（\[][^)）\]]*[)）\]]{WS}*)+\z", "")
-    right = F.regexp_replace(cut, f"{_class(SPAN_RIGHT)}+\\z", "")
+    right = F.regexp_replace(cut, f"{char_class(SPAN_RIGHT)}+\\z", "")
     more = lead(right, SPAN_LEFT)
     return F.substring(right, more + 1, F.length(right)), (start + head + more).cast("int")
 

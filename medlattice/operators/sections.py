@@ -6,6 +6,8 @@ candidates that need the fuzzy tier have a value in the Arrow function, which re
 """
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions.config import OTHER, Settings
 from ..functions.fuzzy import ratio
-from ..functions.text import LINE_BREAK, WS, bind, normalize, strip
+from ..functions.text import LINE_BREAK, WS, bind, lookup, normalize, strip
 
 
 def line_table(docs: DataFrame, pattern: str = LINE_BREAK) -> DataFrame:
@@ -76,10 +78,13 @@ def match_canonical(texts: DataFrame, header: str = "header", settings: Settings
     table = F.lit(None) if not patterns else F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(c).alias("canonical"), F.lit(p).alias("p")) for i, c, p in patterns])
     h = F.col("_h")
     rows = bind(texts, _h=strip(normalize(F.col(header))))
-    exact = F.get(F.filter(table, lambda x: x["p"] == h), 0)["canonical"]
+    first = {p: c for _, c, p in reversed(patterns)}  # equal patterns: the first in order
+    exact = lookup(h, first) if first else F.lit(None).cast("string")
+    # most lines hold no pattern at all: one scan tells, before the patterns are looked at one by one
+    some = h.rlike("|".join(re.escape(p) for _, _, p in patterns if p)) if first else F.lit(False)
     inside = F.filter(table, lambda x: (x["p"] != "") & h.contains(x["p"]))
     longest = F.array_min(F.transform(inside, lambda x: F.struct((-F.length(x["p"])).alias("neg"), x["ord"].alias("ord"), x["canonical"].alias("canonical"))))
-    rows = rows.withColumn("_exact", F.when(h != "", exact)).withColumn("_in", F.when((h != "") & exact.isNull(), longest))
+    rows = rows.withColumn("_exact", F.when(h != "", exact)).withColumn("_in", F.when((h != "") & F.col("_exact").isNull() & some, longest))
     covers = -F.col("_in.neg") >= settings.substr_coverage * F.length(h)
     open_ = (h != "") & F.col("_exact").isNull() & ~F.coalesce(covers, F.lit(False))
     if fuzzy:

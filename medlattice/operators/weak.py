@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.config import ABBREVIATIONS, ASSERTABLE, DIAGNOSIS, DRUG, FILLERS, LAB_NAME, LINKABLE, SYMPTOM, Settings
-from ..functions.text import TOKEN_LEFT, TOKEN_RIGHT, WS, bind, collapse, find_all, first_match, mark, multi_hot, n_words, normalize, normalize_literal, parse_marked, strip, strip_span, trimmed, words
+from ..functions.text import TOKEN_LEFT, TOKEN_RIGHT, WS, bind, char_class, collapse, find_all, first_match, mark, multi_hot, n_words, normalize, normalize_literal, parse_marked, strip, strip_span, trimmed, words
 from .sections import newline_spans
 
 
@@ -45,16 +45,19 @@ def distant_label(docs: DataFrame, index: DataFrame, max_words: int = 8) -> Data
     Tokens are numbered with their offsets by one explode and one window per document; runs of up to ``max_words`` tokens
     meet the dictionary in an equi-join; the few hits of a document are then folded in order.
     """
-    toks = docs.select("doc_id", "raw", F.posexplode(F.split("raw", f"(?U)(?<=\\S)(?={WS})|(?<={WS})(?=\\S)", -1)).alias("n", "tok"))
+    toks = docs.select("doc_id", "raw", F.posexplode(F.split("raw", f"(?U)(?<=\\S)(?={WS})|(?<={WS})(?=\\S)", -1)).alias("n", "tok")).drop("raw")
     before = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     placed = toks.withColumn("s", F.coalesce(F.sum(F.length("tok")).over(before), F.lit(0)).cast("int")).where(~F.col("tok").rlike(f"(?U)^{WS}*\\z"))
     order = Window.partitionBy("doc_id").orderBy("s")
-    placed = placed.select("doc_id", "raw", "s", (F.col("s") + F.length("tok")).alias("e"), F.row_number().over(order).alias("i"))
-    ahead = F.collect_list("e").over(order.rowsBetween(0, max_words - 1))
-    runs = placed.withColumn("ahead", ahead).select("doc_id", "raw", "s", "i", F.posexplode("ahead").alias("w", "e"))
+    ahead = F.collect_list(F.struct("e", "norm")).over(order.rowsBetween(0, max_words - 1))
+    placed = placed.select("doc_id", "s", (F.col("s") + F.length("tok")).alias("e"), normalize(F.col("tok")).alias("norm"))
+    runs = placed.select("doc_id", "s", F.row_number().over(order).alias("i"), ahead.alias("ahead")).select("doc_id", "s", "i", F.posexplode("ahead").alias("w", "x"), "ahead")
+    # the key of a run from its tokens, edges trimmed; the raw text is cut for hits only
+    edges = f"^{char_class(TOKEN_LEFT)}+|{char_class(TOKEN_RIGHT)}+\\z"
+    key = F.regexp_replace(F.array_join(F.transform(F.slice("ahead", F.lit(1), F.col("w") + 1), lambda x: x["norm"]), " "), edges, "")
+    found = runs.select("doc_id", "s", "i", "w", "x.e", key.alias("norm")).where("norm <> ''").join(index, "norm").join(docs.select("doc_id", "raw"), "doc_id")
     text, start = trimmed(F.substring(F.col("raw"), F.col("s") + 1, F.col("e") - F.col("s")), F.col("s"), TOKEN_LEFT, TOKEN_RIGHT)
-    runs = runs.select("doc_id", "i", "w", F.col("s").alias("tok_start"), start.alias("start"), text.alias("text")).where("text <> ''")
-    hits = runs.withColumn("norm", collapse(F.col("text"))).join(index, "norm")
+    hits = found.select("doc_id", "i", "w", F.col("s").alias("tok_start"), start.alias("start"), text.alias("text"), "type", "code")
     longest = hits.groupBy("doc_id", "i").agg(F.max_by(F.struct("tok_start", "start", "text", "type", "code"), "w").alias("h"))
     per = longest.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("hits"))
     kind = per.schema["hits"].dataType.elementType["h"].dataType
