@@ -24,13 +24,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class; of rows with one doc_id and equal words, one stays."""
+    """One document of each class.  Of rows with one doc_id and text one stays; where one doc_id has several texts, all
+    that stand under a class's number stay, so no class is lost."""
     found = neardup.classes(docs)
-    keep = found.where("doc = dup_class").select(F.col("doc").alias("doc_id"), "words_key").distinct()
-    # a class's least document may be shared by several texts under one number: the first by its words stays
-    keep = keep.groupBy("doc_id").agg(F.count("*").alias("n"))
-    rows = docs.where("text is not null").join(keep.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.where("text is null")).select(*docs.columns)
+    keep = found.where("doc = dup_class").select(F.col("doc").alias("doc_id")).distinct()
+    rows = docs.where("text is not null").join(keep, "doc_id", "left_semi").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"])
+    return rows.select(*docs.columns).unionByName(docs.where("text is null")).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
