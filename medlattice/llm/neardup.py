@@ -13,9 +13,9 @@ components, named by their least document.
 
 Scale: equal texts (by words) are collapsed first, whatever their number.  Within a key the members are compared with its best connected member only, each member first with the best of its representatives; what
 is connected by then is not compared again, so a large group of near copies costs about one comparison a member.  Members
-that fail, texts whose similarity lies just below the threshold, are compared key by key in blocks, so no link that
-shares a key is lost.  Only this rest of a key costs the
-square of its size, in bounded tasks that emit links alone.  Members and
+that fail, texts whose similarity lies just below the threshold, are compared in blocks with all members of the key that
+are not yet connected to them, those connected to the representative too, so no link that shares a key is lost.  Such a
+rest of a key costs its size times the key's, in bounded tasks that emit links alone.  Members and
 representatives meet in salted groups of at most about ``GROUP`` members, read as a stream.  Joins on keys, representatives and
 texts carry numbers only and have one row a key on one side, so adaptive execution can split a hot key.  Classes are found by
 minimum labels with pointer jumping, in tables; nothing about documents is collected to the driver.
@@ -278,21 +278,24 @@ class _Linker:
             self.labels = components(self.tested.where("ok"))
 
     def compare(self, found: DataFrame) -> DataFrame:
-        """Test what ``discover`` found; returns the rows (cls, least, band) that are still apart from their key's least class.
+        """Test what ``discover`` found; returns (cls, band, label, apart) of each key with a row that is still apart from the representative.
 
-        First each member meets the most connected of its representatives, which connects large groups; then what that left apart.
+        A link that is still missing has different labels at its ends, so at least one end is apart.  The representative
+        was tested with all that are apart and needs no row.  First each member meets the most connected of its representatives, which connects large groups; then what that left apart.
         """
         first = self._apart(found).groupBy("cls").agg(F.max(F.struct("degree", "rep")).alias("r"))
         self._test(first.select(F.col("cls").alias("member"), "r.rep"))
         self._test(self._apart(found).select(F.col("cls").alias("member"), "rep").distinct())
-        return shared_table(self._apart(found).select("cls", "least", "band"), "dedup-rows")
+        if self.labels is None:
+            return shared_table(found.select("cls", "band", F.col("cls").alias("label"), F.lit(True).alias("apart")), "dedup-rows")
+        open_ = shared_table(self._apart(found).select("cls", "band"), "dedup-apart")
+        rows = found.select("cls", "band").join(open_.select("band").distinct(), "band")
+        rows = rows.join(open_.withColumn("apart", F.lit(True)), ["cls", "band"], "left").join(self.labels, "cls", "left")
+        return shared_table(rows.select("cls", "band", F.coalesce("label", "cls").alias("label"), F.coalesce("apart", F.lit(False)).alias("apart")), "dedup-rows")
 
     def finish(self, rows: DataFrame) -> DataFrame | None:
-        """Compare what stars left apart (cls, least, band) block by block; returns the labels."""
-        labelled = rows.select("cls", "band", F.col("cls").alias("label"))
-        if self.labels is not None:
-            labelled = rows.select("cls", "band").join(self.labels, "cls", "left").select("cls", "band", F.coalesce("label", "cls").alias("label"))
-        more = shared_table(blockwise(labelled, self.texts, self.threshold), "dedup-more")
+        """Compare what stars left apart, as ``compare`` returns it, block by block; returns the labels."""
+        more = shared_table(blockwise(rows, self.texts, self.threshold), "dedup-more")
         if more.isEmpty():
             return self.labels
         return components(more if self.tested is None else self.tested.where("ok").select("member", "rep").unionByName(more))
@@ -302,15 +305,21 @@ def blockwise(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """All links (member, rep) within each band of (cls, band, label) between different labels, compared in blocks.
 
     A band's members are dealt into chunks of about ``BLOCK``; each pair of chunks is one group of a task, which compares
-    its members and emits only the links.  A pair that shares several bands is compared in the first of them.
+    its members and emits only the links.  A pair that shares several bands is compared in the first of them.  If ``rows``
+    has a column ``apart``, members without it are only compared with those that have it.
     """
+    if "apart" not in rows.columns:
+        rows = rows.withColumn("apart", F.lit(True))
     bands_of = rows.groupBy("cls").agg(F.array_sort(F.collect_set("band")).alias("own"))
-    sizes = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    many = F.ceil(F.col("n") / BLOCK)
-    dealt = rows.join(sizes, "band").withColumn("c", F.pmod(F.xxhash64("cls", F.lit(1)), many)).withColumn("m", many)
-    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1))
+    sizes = rows.groupBy("band").agg(F.count("*").alias("n"), F.count_if("apart").alias("a")).where("n > 1 and a > 0")
+    # chunks from 0 hold the apart and meet all chunks, those after them hold the others and meet the apart only
+    first, rest = F.ceil(F.col("a") / BLOCK), F.ceil((F.col("n") - F.col("a")) / BLOCK)
+    dealt = rows.join(sizes, "band").withColumn("m", first).withColumn("r", rest)
+    own = F.xxhash64("cls", F.lit(1))
+    dealt = dealt.withColumn("c", F.when(F.col("apart"), F.pmod(own, F.col("m"))).otherwise(F.col("m") + F.pmod(own, F.greatest("r", F.lit(1)))))
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1 + F.when(F.col("apart"), F.col("r")).otherwise(F.lit(0))))
     dealt = dealt.select("cls", "label", "band", "c", other.alias("o")).select("cls", "label", "band", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c")
-    full = dealt.join(bands_of, "cls").join(texts, "cls").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "cls")
+    full = dealt.join(bands_of, "cls").join(texts, "cls").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "c", "cls")
     target = pa.schema([("member", pa.int64()), ("rep", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,7 +336,8 @@ def blockwise(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                         continue
                     if similarity(s, s2, threshold) >= threshold - 1e-9:
                         out.append((cls, cls2))
-                held.append((chunk, cls, label, own, s))
+                if chunk == i:  # the other chunk's members come after and only meet these
+                    held.append((chunk, cls, label, own, s))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), target)], schema=target)
 

@@ -219,6 +219,30 @@ def test_blocks_find_every_link(spark):
         assert len(got) == len(set(got)) and set(got) == want and want
 
 
+def members(spark, docs, keys):
+    """Runs the comparison of (cls, words), where keys maps a band to its members and its representative; returns the labels."""
+    texts = spark.createDataFrame([(i, bytearray(neardup.word_hashes(w).tobytes())) for i, w in docs], "cls bigint, words binary")
+    found = spark.createDataFrame([(i, i, band, rep, degree) for band, (own, rep, degree) in keys.items() for i in own if i != rep], "cls bigint, least bigint, band bigint, rep bigint, degree bigint")
+    linker = neardup._Linker(shared_table(texts, "t"), 0.8)
+    labels = linker.finish(linker.compare(shared_table(found, "f")))
+    return {r["cls"]: r["label"] for r in labels.collect()}
+
+
+@pytest.mark.parametrize("block", (256, 2))
+def test_links_of_members_connected_to_the_representative(spark, block, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    base = [f"w{i}" for i in range(120)]
+    changed = lambda *at: [f"x{i}" if i in at else w for i, w in enumerate(base)]
+    # a chain: 1 - 2 and 2 - 3 are linked, 1 - 3 is not; 1 stands for the key
+    chain = [(1, changed(10, 30)), (2, changed()), (3, changed(60, 90))]
+    assert members(spark, chain, {7: ([1, 2, 3], 1, 9)}) == {1: 1, 2: 1, 3: 1}
+    # two families, connected by a bridge between members alone; 1 and 11 stand for the keys that the families have
+    other = lambda *at: [f"y{i}" if i in at else w for i, w in enumerate(changed(60, 90))]
+    families = [*chain[:1], (2, changed()), (4, changed(10)), (5, changed(30)), (11, other(5, 40)), (12, other()), (14, other(5)), (15, other(40))]
+    keys = {7: ([1, 2, 4, 5, 11, 12, 14, 15], 1, 9), 8: ([11, 12, 14, 15], 11, 8)}
+    assert set(members(spark, families, keys).values()) == {1}
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_alignment_against_the_table(seed):
     rng = random.Random(seed)
