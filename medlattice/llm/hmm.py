@@ -250,22 +250,25 @@ def corpus_counts(symbols: DataFrame, model: Hmm) -> tuple[np.ndarray, np.ndarra
     return total[0], total[1 : 1 + states], total[1 + states :]
 
 
-def train(symbols: DataFrame, weight: np.ndarray, training_rows: int, states: int = STATES, corpus_rounds: int = CORPUS_ROUNDS) -> Hmm:
+def train(symbols: DataFrame, weight: np.ndarray, states: int = STATES, corpus_rounds: int = CORPUS_ROUNDS) -> Hmm:
     """A start on at most ``SAMPLE_TOKENS`` tokens of pieces of training rows, then rounds over the whole corpus."""
-    model, rows = Hmm.begin(weight, states), SAMPLE_TOKENS // 256
-    scale = 1 << 30
-    share = int(min(1.0, rows / max(1, training_rows)) * scale)  # about ``rows`` rows, wherever they lie
-    sample = symbols.where(f"not held_out and n_tokens <= {PIECE * 4}").where(F.pmod(F.xxhash64("uid"), F.lit(scale)) < share)
-    got, held = 0, []
-    for r in sorted(sample.select("uid", "symbols").collect()):
+    model, scale = Hmm.begin(weight, states), 1 << 30
+    training = symbols.where("not held_out")
+    tokens = training.agg(F.sum("n_tokens")).first()[0] or 0
+    share = max(1, int(min(1.0, SAMPLE_TOKENS / max(1, tokens)) * scale))  # pieces are drawn alike, wherever they lie and however long their text is
+    drawn = lambda p: F.pmod(F.xxhash64("uid", p), F.lit(scale))
+    every = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_tokens") - 1) / PIECE))
+    # a text's pieces are cut from it only after the draw
+    own = F.transform(F.filter(every, lambda p: drawn(p) < share), lambda p: F.struct(drawn(p).alias("h"), p.alias("piece"), F.substring("symbols", (p * (2 * PIECE) + 1).cast("int"), F.lit(2 * PIECE)).alias("symbols")))
+    sample = training.select("uid", F.explode(own).alias("s")).select("s.h", "uid", "s.piece", "s.symbols")
+    got, seqs, fresh = 0, [], []
+    for r in sorted(sample.collect()):
         s = np.frombuffer(bytes(r["symbols"]), np.uint16)
         if got + len(s) <= SAMPLE_TOKENS:
             got += len(s)
-            held.append(s)
-    if not held:
-        return model
-    seqs, fresh = pieces(held)
-    for _ in range(SAMPLE_ROUNDS):
+            seqs.append(s)
+            fresh.append(r["piece"] == 0)
+    for _ in range(SAMPLE_ROUNDS if seqs else 0):
         model = Hmm.from_counts(*expected_counts(model, seqs, fresh), weight)
     for _ in range(corpus_rounds):
         model = Hmm.from_counts(*corpus_counts(symbols, model), weight)
@@ -289,7 +292,7 @@ def score(docs: DataFrame, states: int = STATES) -> DataFrame:
     weight = (weight + 0.5) / (weight + 0.5).sum()
 
     symbols = shared_table(symbolise(docs, frequent, head), "lm-symbols")
-    model = train(symbols, weight, frequent.get(END, 0), states)
+    model = train(symbols, weight, states)
     shipped = spark.sparkContext.broadcast((model, np.log10(size), len(head)))
     target = pa.schema([("uid", pa.int64()), ("forward", pa.float64())])
 

@@ -132,6 +132,15 @@ def test_scores(spark):
     assert hmm.score(d.limit(0)).count() == 0
 
 
+def test_long_texts_are_trained_on(spark):
+    rng = random.Random(9)
+    vocabulary = {lang: text_of(rng, lang, 80).split() for lang in SYLLABLES}
+    rows = [(i, i % 4 == 3, " ".join(rng.choices(vocabulary[("en", "fr", "de")[i % 3]], k=2600))) for i in range(12)]
+    got = hmm.score(spark.createDataFrame(rows, "doc_id bigint, held_out boolean, text string")).collect()
+    # the languages' states part, so a word costs much less than by the shares of all words
+    assert min(r["score"] - r["base_score"] for r in got) > 0.2 * 2600
+
+
 # --- near-duplicates
 
 
