@@ -1,7 +1,7 @@
 """From raw documents to a tokenised training corpus: four stages, each written as Parquet and read again by the next.
 
 1. language_id  drops the documents without letters, whose language cannot be told.
-2. near_dedup   keeps one document, that of the least doc_id, of each class of near-duplicates.
+2. near_dedup   keeps one document, that of the least doc_id (null last), of each class of near-duplicates.
 3. mix          repeats the documents of smaller sources by temperature; every document stays at least once.
 4. bpe          encodes every whole text.
 """
@@ -24,11 +24,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class.  Of rows with one doc_id and text one stays; where one doc_id has several texts, all
-    that stand under a class's number stay, so no class is lost."""
-    found = neardup.classes(docs)
-    keep = found.where("doc = dup_class").select(F.col("doc").alias("doc_id")).distinct()
-    rows = docs.where("text is not null").join(keep, "doc_id", "left_semi").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"])
+    """One document of each class, found by its doc_id and text, so no class is lost where ids are null or stand for several texts."""
+    keep = neardup.classes(docs).where("kept").select("doc", "text_key").distinct()
+    rows = docs.where("text is not null").withColumn("_h", F.xxhash64("text"))
+    rows = rows.join(keep, F.col("doc_id").cast("bigint").eqNullSafe(F.col("doc")) & (F.col("_h") == F.col("text_key")), "left_semi").dropDuplicates(["doc_id", "_h"])
     return rows.select(*docs.columns).unionByName(docs.where("text is null")).select(*docs.columns)
 
 

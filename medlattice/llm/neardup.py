@@ -21,7 +21,8 @@ texts carry numbers only and have one row a key on one side, so adaptive executi
 minimum labels with pointer jumping, in tables; nothing about documents is collected to the driver.
 
 Defined results: a null text is a class of its own; equal texts, the empty one too, are one class; texts of fewer than
-five words have one shingle, all their words; rows that share a doc_id are told apart by their words.
+five words have one shingle, all their words; rows that share a doc_id are told apart by their words; rows without a
+doc_id are compared like all others, and a class of such rows alone has no least document, so its name is null.
 """
 from __future__ import annotations
 
@@ -173,21 +174,20 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
 
 
 def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc, words_key (digest of the words), words (their packed hashes), bands; rows without text are left out."""
+    """doc, text_key (hash of the text), words_key (digest of the words), words (their packed hashes), bands; rows without text are left out."""
 
     def run(cols):
-        out: dict[str, list] = {"doc": [], "words_key": [], "words": [], "bands": []}
-        for k, t in zip(cols["k"], cols["t"]):
+        out: dict[str, list] = {"doc": cols["k"], "text_key": cols["h"], "words_key": [], "words": [], "bands": []}
+        for t in cols["t"]:
             words = words_of(t)
             h = word_hashes(words)
-            out["doc"].append(k)
             out["words_key"].append(xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")))
             out["words"].append(h.tobytes())
             out["bands"].append(bands(shingles(h)))
         return out
 
-    slim = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).where("t is not null")
-    return map_rows(slim, run, "doc bigint, words_key binary, words binary, bands array<bigint>", slice_rows=256)
+    slim = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h")).where("t is not null")
+    return map_rows(slim, run, "doc bigint, text_key bigint, words_key binary, words binary, bands array<bigint>", slice_rows=256)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -349,23 +349,30 @@ def links(unique: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame
     found = discover(unique.select("cls", "least", F.explode("bands").alias("band")))
     some = found.select("cls").union(found.select("rep"))
     # only texts that share a key with another are ever compared; a class's words are those of its least document
-    some = some.distinct().join(unique, "cls").select("cls", "words_key", F.col("least").alias("doc"))
-    texts = shared_table(sketched.select("doc", "words_key", "words").join(some, ["words_key", "doc"]).select("cls", "words").dropDuplicates(["cls"]), "dedup-texts")
+    some = some.distinct().join(unique, "cls").select("cls", F.col("words_key").alias("_k"), "least")
+    same = (F.col("words_key") == F.col("_k")) & F.col("doc").eqNullSafe(F.col("least"))
+    texts = shared_table(sketched.select("doc", "words_key", "words").join(some, same).select("cls", "words").dropDuplicates(["cls"]), "dedup-texts")
     linker = _Linker(texts, threshold)
     return linker.finish(linker.compare(found))
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row with text: doc, words_key, dup_class (least document of the class), class_texts (different texts in it)."""
+    """One row per row with text: doc, text_key, words_key, dup_class (least document of the class), class_texts (different texts in it), kept.
+
+    ``kept`` marks one (doc, text_key) of each class: the least doc, null last, then the least words_key, then the least text_key.
+    """
     sketched = shared_table(sketches(docs, key, text), "dedup-sketches")
-    unique = sketched.groupBy("words_key").agg(F.min("doc").alias("least"), F.any_value("bands").alias("bands"))
-    unique = shared_table(unique.withColumn("cls", F.xxhash64("words_key")), "dedup-unique")
+    row = F.struct(F.col("doc").isNull().alias("none"), "doc", "text_key")
+    unique = sketched.groupBy("words_key").agg(F.min(row).alias("r"), F.any_value("bands").alias("bands"))
+    unique = shared_table(unique.select("words_key", F.col("r.doc").alias("least"), F.col("r.text_key").alias("least_text"), "bands", F.xxhash64("words_key").alias("cls")), "dedup-unique")
     connected = links(unique, sketched, threshold)
-    named = unique.select("words_key", "cls", "least")
+    named = unique.select("words_key", "cls", "least", "least_text")
     if connected is None:
-        labels = named.select("words_key", F.col("least").alias("dup_class"), F.lit(1).cast("bigint").alias("class_texts"))
+        labels = named.select("words_key", F.col("least").alias("dup_class"), F.lit(1).cast("bigint").alias("class_texts"), F.lit(True).alias("first"), "least_text")
     else:
         joined = named.join(connected, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        whole = joined.groupBy("label").agg(F.min("least").alias("dup_class"), F.count("*").alias("class_texts"))
-        labels = joined.join(whole, "label").select("words_key", "dup_class", "class_texts")
-    return sketched.select("doc", "words_key").join(labels, "words_key").select("doc", "words_key", "dup_class", "class_texts")
+        order = F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("doc"), "words_key")
+        whole = joined.groupBy("label").agg(F.min(order).alias("h"), F.count("*").alias("class_texts"))
+        labels = joined.join(whole, "label").select("words_key", F.col("h.doc").alias("dup_class"), "class_texts", (F.col("words_key") == F.col("h.words_key")).alias("first"), "least_text")
+    kept = F.col("first") & F.col("doc").eqNullSafe(F.col("dup_class")) & (F.col("text_key") == F.col("least_text"))
+    return sketched.select("doc", "text_key", "words_key").join(labels, "words_key").select("doc", "text_key", "words_key", "dup_class", "class_texts", kept.alias("kept"))

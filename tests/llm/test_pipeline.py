@@ -31,6 +31,22 @@ def test_stages(spark):
     assert empty.count() == 0
 
 
+def test_rows_without_an_id_stay(spark):
+    rng = random.Random(21)
+    own = [text_of(rng, "en", 60) for _ in range(6)]
+    edited = lambda t, w: " ".join([*t.split()[:30], w, *t.split()[31:]])
+    rows = [(1, own[0]), (None, own[1]), (None, own[2]), (None, edited(own[2], "anders")), (None, own[2]), (2, own[3]), (None, edited(own[3], "anders")), (3, own[4]), (3, own[5]), (None, None)]
+    docs = spark.createDataFrame([(*r, "en", "hot", 0) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    found = {r["text_key"]: r for r in neardup.classes(docs).collect()}
+    key = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    assert [found[key[t]]["class_texts"] for t in (own[1], own[2], rows[3][1], rows[6][1])] == [1, 2, 2, 2]
+    assert found[key[rows[6][1]]]["dup_class"] == 2 and found[key[own[1]]]["dup_class"] is None
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    third = [r for r in got if r in (rows[2], rows[3])]
+    assert len(third) == 1
+    assert sorted(got, key=str) == sorted([rows[0], rows[1], *third, rows[5], rows[7], rows[8], rows[9]], key=str)
+
+
 def test_shingles_are_of_five_words():
     a = neardup.shingles(neardup.word_hashes("a b c d e f".split()))
     b = neardup.shingles(neardup.word_hashes("b c d e f".split()))
