@@ -1,6 +1,7 @@
 """From raw documents to a tokenised training corpus: four stages, each written as Parquet and read again by the next.
 
-1. language_id  drops the documents without letters, whose language cannot be told.
+1. language_id  drops the documents without letters and no others; where lang is null it becomes the predicted language,
+                if any row is labelled.
 2. near_dedup   keeps one document, that of the least doc_id (null last), of each class of near-duplicates.
 3. mix          repeats the documents of smaller sources by temperature; every document stays at least once.
 4. bpe          encodes every whole text.
@@ -18,9 +19,15 @@ from medlattice.llm.shared import shared_table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; their columns are left as they are."""
+    """Documents with letters; a null lang is filled with the prediction, other columns and labels are left as they are.
+
+    Without any labelled row nothing is predicted, and lang stays null.
+    """
     model = langid.train(docs.where("lang is not null"))
-    return langid.predict(docs, model, docs.columns).where("lang_pred <> 'und'").select(*docs.columns)
+    if not model.langs:
+        return langid.with_letters(docs)
+    told = langid.predict(docs, model, docs.columns).where("lang_pred <> 'und'")
+    return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

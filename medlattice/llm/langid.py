@@ -168,3 +168,13 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text",
         return {c: cols[c] for c in keep} | {n: [r[i] for r in rows] for i, n in enumerate(("lang_pred", "score", "langs", "proportions"))}
 
     return map_rows(docs.select(*dict.fromkeys([*keep, text])), run, schema)
+
+
+def with_letters(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows whose text has a letter: those that a model of any languages would not call ``und``."""
+
+    def run(cols):
+        own = [i for i, t in enumerate(cols[text]) if any(map(str.isalpha, (t or "").lower()))]
+        return {c: [v[i] for i in own] for c, v in cols.items()}
+
+    return map_rows(docs, run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes))

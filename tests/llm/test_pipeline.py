@@ -31,6 +31,16 @@ def test_stages(spark):
     assert empty.count() == 0
 
 
+def test_unlabelled_rows_stay(spark):
+    rng = random.Random(22)
+    rows = [(i, text_of(rng, ("en", "fr")[i % 2], 60), ("en", "fr")[i % 2], "hot", 0) for i in range(40)]
+    docs = spark.createDataFrame([*rows, (40, "12 34", None, "hot", 0), (41, None, None, "hot", 0)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    none = corpus_pipeline.language_id(spark, docs.withColumn("lang", F.lit(None).cast("string")), "")
+    assert sorted((r["doc_id"], r["text"], r["lang"]) for r in none.collect()) == [(i, t, None) for i, t, *_ in rows]
+    some = corpus_pipeline.language_id(spark, docs.withColumn("lang", F.when(F.col("doc_id") < 30, F.col("lang"))), "")
+    assert sorted((r["doc_id"], r["lang"]) for r in some.collect()) == [(i, lang) for i, _, lang, *_ in rows]
+
+
 def test_rows_without_an_id_stay(spark):
     rng = random.Random(21)
     own = [text_of(rng, "en", 60) for _ in range(6)]
