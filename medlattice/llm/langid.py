@@ -2,7 +2,7 @@
 
 A document is a mixture of languages.  Each word (a run of letters) has one likelihood per language, the product of
 smoothed letter-trigram probabilities; expectation-maximisation over the words estimates the document's language
-proportions.  Nested language sets (the most probable 1, 2, ... languages) are compared by log-likelihood less a
+proportions.  Nested language sets (the most probable 1, 2, ... languages, up to all) are compared by log-likelihood less a
 penalty of ``0.5 * penalty * (set size - 1) * log(words)``; the best set gives the prediction.
 
 Cost and scale: training reads a bounded sample (``rows_per_lang`` labelled rows per language, at most
@@ -61,7 +61,7 @@ class Model:
         self.logp = np.ascontiguousarray(np.log((counts + smooth) / total).T, dtype=np.float32)
         self.prior = np.log((rows + 1.0) / (rows.sum() + len(langs))) if langs else np.zeros(0)
 
-    def predict(self, texts: list[str | None], max_set: int, rounds: int, penalty: float):
+    def predict(self, texts: list[str | None], max_set: int | None, rounds: int, penalty: float):
         """Per text: (language, score, languages of the chosen set, their proportions)."""
         out: list[tuple[str, float, list[str], list[float]]] = []
         for lo, hi in blocks(texts, _BLOCK_CHARS):
@@ -98,7 +98,7 @@ class Model:
         order = np.argsort(-(theta + 1e-9 * np.exp(self.prior)), axis=1, kind="stable")
         cost = 0.5 * penalty * np.log(np.maximum(words, 2))
         chosen, value = np.zeros((len(docs), n)), np.full(len(docs), -np.inf)
-        for k in range(1, min(n, max_set) + 1):
+        for k in range(1, (n if max_set is None else min(n, max_set)) + 1):
             # no mixture beats the sum of each word's best language: sets that could not win even then need no fit
             use = every if k == 1 else np.flatnonzero(base - cost * (k - 1) > value)
             if not len(use):
@@ -157,7 +157,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     return Model(langs, counts, np.array([n[v] for v in langs], float))
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text", max_set: int = 3, rounds: int = 8, penalty: float = 1.0) -> DataFrame:
+def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text", max_set: int | None = None, rounds: int = 8, penalty: float = 1.0) -> DataFrame:
     """Columns ``keep`` of ``docs`` plus lang_pred, score, langs, proportions; one row per row."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # languages x 256 KB, independent of the corpus
     types = dict(docs.dtypes)

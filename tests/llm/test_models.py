@@ -57,6 +57,18 @@ def test_mixture_does_not_depend_on_neighbours():
         assert alone[0] == whole[0] and abs(alone[1] - whole[1]) < 1e-4
 
 
+def test_more_than_three_languages(spark):
+    rng = random.Random(8)
+    letters = {"aa": "abcd", "bb": "efgh", "cc": "ijkl", "dd": "mnop", "ee": "qrst"}
+    words = lambda lang, n: ["".join(rng.choices(letters[lang], k=6)) for _ in range(n)]
+    rows = [(i, " ".join(words(lang, 50)), lang) for i, lang in enumerate(list(letters) * 20)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    for langs in (list(letters), list(letters)[:4]):
+        text = " ".join(w for lang in langs for w in words(lang, 40))
+        r = langid.predict(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), model, ["doc_id"]).first()
+        assert sorted(r["langs"]) == langs and np.allclose(r["proportions"], 1 / len(langs), atol=0.02) and abs(r["score"] - 1 / len(langs)) < 0.02
+
+
 # --- HMM
 
 
