@@ -8,7 +8,7 @@ fixed shape (``POOL``, ``MELS``), its frames averaged into ``POOL`` equal parts,
 
 Samples are worked through in blocks, so memory does not grow with a clip beyond its bytes and one float row a frame;
 each clip is computed by itself, so equal clips give equal values.  Defined results: an empty or null payload is padded
-to 64 zero bytes; a clip shorter than one frame is padded with silence to one frame.
+to 64 zero bytes; a clip is padded with silence to whole frames, at least one, so that its last samples are in a frame.
 """
 from __future__ import annotations
 
@@ -102,8 +102,8 @@ _BANKS: dict[tuple[int, int], np.ndarray] = {}
 
 def log_mel(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log-mel frames (frames x MELS) and frame energies in decibels."""
-    if len(y) < FRAME:
-        y = np.concatenate((y, np.zeros(FRAME - len(y), np.float32)))
+    whole = FRAME + max(0, -(-(len(y) - FRAME) // HOP)) * HOP
+    y = np.concatenate((y, np.zeros(whole - len(y), np.float32)))
     frames = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP]
     mels, energy = [], []
     for lo in range(0, len(frames), 1024):

@@ -369,3 +369,13 @@ def test_mixture(spark):
         assert sorted((r["doc_id"], r["pass"]) for r in mixing.mix(d).collect()) == sorted((r["doc_id"], r["pass"]) for r in got)
     finally:
         mixing.BROADCAST_BLOCKS = old
+
+
+def test_last_samples_are_in_a_frame():
+    rng = np.random.default_rng(6)
+    for n in (704, 1024, 64 * 37):
+        payload = rng.integers(0, 256, n).astype(np.uint8)
+        changed = payload.copy()
+        changed[-40:] = 255 - changed[-40:]
+        one, two = (audio.summary(audio.clip_features(audio.write_wav(x.tobytes()))) for x in (payload, changed))
+        assert one != two
