@@ -3,26 +3,33 @@
 The k-mers of a document are its shingles of five words, each labelled with its occurrence number.  One sketch takes the
 ``PICK`` k-mers of least hash and keeps them in text order, so two documents agree on it only if they share those
 k-mers in the same order.  ``ROWS`` sketches make a band key; documents that share one of ``BANDS`` keys are candidates.
-At a similarity of 0.8 a sketch agrees with probability of about 0.64, so a pair is missed with (1 - 0.64**3)**24 =
-0.0007; pairs at 0.3 share a key with probability 0.02.
-
-Similarity of a pair: s / (a + b - s) for a and b shingles, of which s are matched, in order, by the best alignment
-inside the band of offsets that could still reach the threshold.  For texts without repeats and with their order kept
-it is the Jaccard similarity of their shingles.  Pairs of ``THRESHOLD`` or more are linked; classes are the connected
-components, named by their least document.
-
-Scale: equal texts (by words) are collapsed first, whatever their number.  Within a key the members are compared with its best connected member only, each member first with the best of its representatives; what
-is connected by then is not compared again, so a large group of near copies costs about one comparison a member.  Members
-that fail, texts whose similarity lies just below the threshold, are compared in blocks with all members of the key that
-are not yet connected to them, those connected to the representative too, so no link that shares a key is lost.  Such a
-rest of a key costs its size times the key's, in bounded tasks that emit links alone.  Members and
-representatives meet in salted groups of at most about ``GROUP`` members, read as a stream.  Joins on keys, representatives and
-texts carry numbers only and have one row a key on one side, so adaptive execution can split a hot key.  Classes are found by
-minimum labels with pointer jumping, in tables; nothing about documents is collected to the driver.
+
+Similarity of a pair: s / (a + b - s) for a and b words, of which s are matched, in order, by the best alignment inside
+the band of offsets that could still reach the threshold: an edit similarity over words.  Pairs of ``THRESHOLD`` (0.8) or
+more are linked; classes are the connected components, named by their least document.  Texts whose shingles match in order
+with a similarity of 0.8 are linked too, as their words match at least as well.
+
+Recall: a pair whose shingles have the Jaccard similarity J shares a key with probability of about 1 - (1 - J**4)**36:
+0.9999 at 0.7, 0.99 at 0.6, 0.90 at 0.5, 0.25 at 0.3.  A copy with 5 % of its words changed has J of about 0.63 to its
+original, two such copies 0.43 to each other; they meet through the original.  ``tests/llm`` measure it on planted edits.
+
+Scale: equal texts (by words) are collapsed first, whatever their number.  Within a key the members are compared with its
+best connected member only, each member first with the best of its representatives; what is connected by then is not
+compared again, so a large group of near copies costs about one comparison a member.  Members that fail are compared in
+blocks with all members of the key that are not yet connected to them, those connected to the representative too, so no
+link that shares a key is lost.  Such a rest of a key costs its size times the key's, in bounded tasks that emit links
+alone; within a block one matrix product of word counts bounds every pair's matches, and only pairs that can reach the
+threshold are aligned.  Members and representatives meet in salted groups of at most about ``GROUP`` members, read as a
+stream.  What bands and representatives are joined with is a written table with one row a key: small ones need no shuffle
+of the other side, and adaptive execution splits a hot key of large ones.  Classes are found by minimum labels with
+pointer jumping, in tables; nothing about documents is collected to the driver.  Different texts are numbered in a
+written table, so no two of them can collide; words are compared by 32-bit hashes, equality by 128-bit digests.
 
 Defined results: a null text is a class of its own; equal texts, the empty one too, are one class; texts of fewer than
-five words have one shingle, all their words; rows that share a doc_id are told apart by their words; rows without a
-doc_id are compared like all others, and a class of such rows alone has no least document, so its name is null.
+five words have one shingle, all their words; very long texts are aligned whole, in time of length x band / 64; ties of
+representatives go to the least document; repeated rows have equal results; rows that share a doc_id are told apart by
+their words; rows without a doc_id are compared like all others, and a class of such rows alone has no least document,
+so its name is null; an empty table gives no rows; other columns are not read and cannot clash.
 """
 from __future__ import annotations
 
@@ -36,10 +43,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_rows, shared_table
+from .shared import drop_shared, map_rows, shared_table
 
 WORDS, THRESHOLD = 5, 0.8
-BANDS, ROWS, PICK = 24, 3, 2
+BANDS, ROWS, PICK = 36, 2, 2
 GROUP, BLOCK = 256, 256
 _SEGMENT = 1 << 14
 
@@ -82,7 +89,9 @@ def shingles(h: np.ndarray, k: int = WORDS) -> np.ndarray:
 
 
 def labelled(s: np.ndarray) -> np.ndarray:
-    """32-bit hashes of (shingle, how many equal ones came before)."""
+    """32-bit hashes of (item, how many equal ones came before)."""
+    if not len(s):
+        return np.empty(0, np.uint32)
     order = np.argsort(s, kind="stable")
     ranked = s[order]
     new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
@@ -90,7 +99,7 @@ def labelled(s: np.ndarray) -> np.ndarray:
     nth = np.empty(len(s), np.uint64)
     nth[order] = at - np.maximum.accumulate(np.where(new, at, 0))
     with np.errstate(over="ignore"):
-        x = (s + nth * np.uint64(_MIX[6])) * np.uint64(_MIX[7])
+        x = (s.astype(np.uint64) + nth * np.uint64(_MIX[6])) * np.uint64(_MIX[7])
     return (x >> np.uint64(32)).astype(np.uint32)
 
 
@@ -127,7 +136,7 @@ def bands(s: np.ndarray) -> np.ndarray:
 
 
 def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """Most shingles matched in order with offsets of at most ``band``: bit-parallel longest common subsequence."""
+    """Most items matched in order with offsets of at most ``band``: bit-parallel longest common subsequence."""
     n = min(len(a), len(b))
     same = a[:n] == b[:n]
     head = n if same.all() else int(same.argmin())
@@ -155,21 +164,46 @@ def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
     return head + tail + len(a) - v.bit_count()
 
 
+def needed(na: int, nb: int, threshold: float) -> float:
+    """Matches that the threshold asks for."""
+    return threshold * (na + nb) / (1 + threshold) - 1e-9
+
+
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
-    """Similarity of two shingle sequences; 0.0 if the threshold is out of reach."""
+    """Similarity of two sequences; 0.0 if the threshold is out of reach."""
     na, nb = len(a), len(b)
-    need = threshold * (na + nb) / (1 + threshold)  # matches that the threshold asks for
-    if min(na, nb) < need - 1e-9:
+    need = needed(na, nb, threshold)
+    if min(na, nb) < need:
         return 0.0
+    if not na and not nb:
+        return 1.0
     ua, ca = np.unique(a, return_counts=True)
     ub, cb = np.unique(b, return_counts=True)
     _, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
-    if np.minimum(ca[ia], cb[ib]).sum() < need - 1e-9:
+    if np.minimum(ca[ia], cb[ib]).sum() < need:
         return 0.0
     s = aligned(a, b, int(max(na, nb) - need) + 1)
     return s / (na + nb - s)
 
 
+def overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many labelled items each of ``xs`` has in common with each of ``ys``: one matrix product a slice of items."""
+    out = np.zeros((len(xs), len(ys)), np.float32)
+    both = np.intersect1d(np.concatenate(xs), np.concatenate(ys)) if xs and ys else np.empty(0, np.uint32)
+    for lo in range(0, len(both), 2048):
+        part = both[lo : lo + 2048]
+
+        def grid(own: list[np.ndarray], part=part) -> np.ndarray:
+            g = np.zeros((len(own), len(part)), np.float32)
+            for i, x in enumerate(own):
+                at = np.minimum(np.searchsorted(part, x), len(part) - 1)
+                g[i, at[part[at] == x]] = 1
+            return g
+
+        out += grid(xs) @ grid(ys).T
+    return out
+
+
 # --- over DataFrames
 
 
@@ -195,7 +229,7 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
     Members travel with their words to (rep, salt) groups, and the representative is sent once to each group.
     """
-    sizes = pairs.groupBy("rep").agg(F.count("*").alias("n"))
+    sizes = shared_table(pairs.groupBy("rep").agg(F.count("*").alias("n")), "dedup-reps")
     salted = pairs.join(sizes, "rep").select("rep", "member", F.pmod(F.xxhash64("member"), F.ceil(F.col("n") / GROUP)).cast("int").alias("salt"))
     members = salted.select("rep", "salt", "member", F.col("member").alias("cls"))
     reps = salted.select("rep", "salt", F.lit(None).cast("bigint").alias("member"), F.col("rep").alias("cls")).distinct()
@@ -207,7 +241,7 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
             rep, member, data = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
             out = []
             for i in range(batch.num_rows):
-                s = shingles(np.frombuffer(data[i].as_py(), np.uint32))
+                s = np.frombuffer(data[i].as_py(), np.uint32)
                 if member[i] is None:
                     held, mine = rep[i], s
                 elif held == rep[i]:
@@ -223,15 +257,18 @@ def components(links: DataFrame) -> DataFrame:
     """(cls, label): the least number of each connected component of (member, rep); only linked ones appear."""
     both = links.select(F.col("member").alias("a"), F.col("rep").alias("b")).unionByName(links.select(F.col("rep").alias("a"), F.col("member").alias("b")))
     edges = shared_table(both.distinct(), "dedup-edges")
-    labels = shared_table(edges.groupBy(F.col("a").alias("cls")).agg(F.least(F.col("cls"), F.min("b")).alias("label")), "dedup-labels")
+    table = shared_table(edges.groupBy(F.col("a").alias("cls")).agg(F.least(F.col("cls"), F.min("b")).alias("label")), "dedup-labels")
     while True:
+        labels = table.select("cls", "label")
         near = edges.join(labels, edges["b"] == labels["cls"]).groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, labels["cls"] == near["a"], "left").select("cls", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
         jump = labels.select(F.col("cls").alias("at"), F.col("label").alias("far"))
         moved = shared_table(step.join(jump, step["label"] == jump["at"], "left").select("cls", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "dedup-labels")
-        labels = moved.select("cls", "label")
+        drop_shared(table)
+        table = moved
         if moved.where("label <> old").isEmpty():
-            return labels
+            drop_shared(edges)
+            return moved.select("cls", "label")
 
 
 def discover(rows: DataFrame) -> DataFrame:
@@ -240,13 +277,15 @@ def discover(rows: DataFrame) -> DataFrame:
     The representative is the member that shares keys most often, then the least: among copies of a text that is most often
     the text itself, to which all of them are near even if they are not near to each other.
     """
-    counts = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    counts = shared_table(rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "dedup-counts")
     shared = shared_table(rows.join(counts, "band"), "dedup-shared")
     degree = shared.groupBy(F.col("cls").alias("_c")).agg(F.sum("n").alias("degree"))
     ranked = shared.join(degree, F.col("cls") == F.col("_c")).drop("_c")
-    heads = ranked.groupBy("band").agg(F.max(F.struct("degree", (-F.col("least")).alias("least"), "cls")).alias("h"))
-    found = shared.drop("n").join(heads.select("band", F.col("h.cls").alias("rep"), F.col("h.degree").alias("degree")), "band")
-    return shared_table(found.where("cls <> rep").select("cls", "least", "band", "rep", "degree"), "dedup-open")
+    heads = shared_table(ranked.groupBy("band").agg(F.max(F.struct("degree", (-F.col("least")).alias("least"), "cls")).alias("h")).select("band", F.col("h.cls").alias("rep"), F.col("h.degree").alias("degree")), "dedup-heads")
+    found = shared_table(shared.drop("n").join(heads, "band").where("cls <> rep").select("cls", "least", "band", "rep", "degree"), "dedup-open")
+    for t in (counts, shared, heads):
+        drop_shared(t)
+    return found
 
 
 class _Linker:
@@ -289,7 +328,8 @@ class _Linker:
         if self.labels is None:
             return shared_table(found.select("cls", "band", F.col("cls").alias("label"), F.lit(True).alias("apart")), "dedup-rows")
         open_ = shared_table(self._apart(found).select("cls", "band"), "dedup-apart")
-        rows = found.select("cls", "band").join(open_.select("band").distinct(), "band")
+        keys = shared_table(open_.select("band").distinct(), "dedup-open-keys")
+        rows = found.select("cls", "band").join(keys, "band")
         rows = rows.join(open_.withColumn("apart", F.lit(True)), ["cls", "band"], "left").join(self.labels, "cls", "left")
         return shared_table(rows.select("cls", "band", F.coalesce("label", "cls").alias("label"), F.coalesce("apart", F.lit(False)).alias("apart")), "dedup-rows")
 
@@ -311,7 +351,7 @@ def blockwise(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     if "apart" not in rows.columns:
         rows = rows.withColumn("apart", F.lit(True))
     bands_of = rows.groupBy("cls").agg(F.array_sort(F.collect_set("band")).alias("own"))
-    sizes = rows.groupBy("band").agg(F.count("*").alias("n"), F.count_if("apart").alias("a")).where("n > 1 and a > 0")
+    sizes = shared_table(rows.groupBy("band").agg(F.count("*").alias("n"), F.count_if("apart").alias("a")).where("n > 1 and a > 0"), "dedup-sizes")
     # chunks from 0 hold the apart and meet all chunks, those after them hold the others and meet the apart only
     first, rest = F.ceil(F.col("a") / BLOCK), F.ceil((F.col("n") - F.col("a")) / BLOCK)
     dealt = rows.join(sizes, "band").withColumn("m", first).withColumn("r", rest)
@@ -322,22 +362,34 @@ def blockwise(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     full = dealt.join(bands_of, "cls").join(texts, "cls").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "c", "cls")
     target = pa.schema([("member", pa.int64()), ("rep", pa.int64())])
 
+    def linked(band, i, j, old: list, new: list) -> Iterator[tuple[int, int]]:
+        """Links between members (chunk, cls, label, bands, words, labelled words) held and those that came after them."""
+        if not old or not new:
+            return
+        size, size2 = np.array([len(m[4]) for m in old]), np.array([len(m[4]) for m in new])
+        reach = overlaps([m[5] for m in old], [m[5] for m in new]) >= needed(size[:, None], size2[None, :], threshold)
+        for x, y in zip(*np.nonzero(reach)):
+            (chunk, cls, label, own, words, _), (chunk2, cls2, label2, own2, words2, _) = old[x], new[y]
+            if label == label2 or i != j and chunk == chunk2 or cls >= cls2 and i == j or min(own.intersection(own2)) != band:
+                continue
+            if similarity(words, words2, threshold) >= threshold - 1e-9:
+                yield cls, cls2
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for batch in it for lo in range(0, batch.num_rows, 64) for r in zip(*(c.to_pylist() for c in batch.slice(lo, 64).columns)))
         for (band, i, j), group in itertools.groupby(rows, key=lambda r: r[:3]):
             held, out = [], []
-            for _, _, _, chunk, cls, label, own, words in group:
-                s = shingles(np.frombuffer(words, np.uint32))
-                mine = set(own)
-                for chunk2, cls2, label2, own2, s2 in held:
-                    if label == label2 or i != j and chunk == chunk2:
-                        continue
-                    if min(len(s), len(s2)) < threshold * max(len(s), len(s2)) or min(mine.intersection(own2)) != band:
-                        continue
-                    if similarity(s, s2, threshold) >= threshold - 1e-9:
-                        out.append((cls, cls2))
-                if chunk == i:  # the other chunk's members come after and only meet these
-                    held.append((chunk, cls, label, own, s))
+            while some := list(itertools.islice(group, 64)):
+                new = []
+                for _, _, _, chunk, cls, label, own, data in some:
+                    words = np.frombuffer(data, np.uint32)
+                    new.append((chunk, cls, label, set(own), words, labelled(words)))
+                if i == j:
+                    held += new
+                    out += linked(band, i, j, held, new)
+                else:  # the other chunk's members come after and only meet these
+                    held += [m for m in new if m[0] == i]
+                    out += linked(band, i, j, held, [m for m in new if m[0] != i])
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), target)], schema=target)
 
@@ -364,7 +416,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     sketched = shared_table(sketches(docs, key, text), "dedup-sketches")
     row = F.struct(F.col("doc").isNull().alias("none"), "doc", "text_key")
     unique = sketched.groupBy("words_key").agg(F.min(row).alias("r"), F.any_value("bands").alias("bands"))
-    unique = shared_table(unique.select("words_key", F.col("r.doc").alias("least"), F.col("r.text_key").alias("least_text"), "bands", F.xxhash64("words_key").alias("cls")), "dedup-unique")
+    # numbers of the written table: unlike hashes they never collide, and they are read, not computed, from here on
+    unique = shared_table(unique.select("words_key", F.col("r.doc").alias("least"), F.col("r.text_key").alias("least_text"), "bands", F.monotonically_increasing_id().alias("cls")), "dedup-unique")
     connected = links(unique, sketched, threshold)
     named = unique.select("words_key", "cls", "least", "least_text")
     if connected is None:

@@ -1,30 +1,56 @@
-"""Helpers that the operators of this subpackage share: tables in the shared folder, null-safe columns, blocks of texts.
+"""Helpers that the operators of this subpackage share: tables in the shared folder, free names, blocks of texts.
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir``, which every executor of a cluster can read, so a lost
-executor only costs the re-reading of files.  Machine-local folders are used only where that setting is absent (tests).
+executor only costs the re-reading of files.  A machine-local folder is used only where driver and executors are one
+process and that setting is absent (tests); a cluster without the setting is an error.
 """
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only when spark.checkpoint.dir is unset, as in tests.
+#: Used only when spark.checkpoint.dir is unset and everything runs in this process, as in tests.
 FALLBACK_DIR = "file:///tmp/checkpoints/medlattice"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return FALLBACK_DIR
 
 
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of the files."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._shared_path = path
+    return table
+
+
+def drop_shared(table: DataFrame | None) -> None:
+    """Remove a table of ``shared_table`` that no later plan reads."""
+    path = getattr(table, "_shared_path", None)
+    if path:
+        jvm, conf = table.sparkSession._jvm, table.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores added until it is none of ``taken`` (case ignored, as Spark does)."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
