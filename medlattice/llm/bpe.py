@@ -3,14 +3,17 @@
 Merging a prefix of a word settles its tokens once enough of what follows is known.  ``lookahead`` computes how much
 that is from the merge list alone, in one pass in rank order: whether a token survives up to rule *i* can only hang on
 an earlier rule that takes it as its left part, whose right part in turn must have survived until then, and so on; the
-longest such chain, in symbols, bounds what can still change.  ``WordStream`` keeps that many symbols and a fixed block,
-and emits every token that ends before them; ``TextStream`` does the same for normalisation and pre-tokens, so memory
-does not grow with a text or with a run that has no white space.  Decoding feeds the tokens' bytes through an
-incremental UTF-8 machine.
+longest such chain, in symbols, bounds what can still change.  ``WordStream`` takes a word in strides, keeps that many
+symbols and at most one stride more, and emits every token that ends before them; ``TextStream`` does the same for
+normalisation and pre-tokens, so memory does not grow with a text or with a run that has no white space.  Every word of
+every text goes through these two; only the ids of words that have ended are remembered.  Decoding feeds the tokens' bytes
+through an incremental byte-to-text machine.
 
 The tokenizer file is read once on the driver and shipped with the code (about 1 MB); executors need no such file.
 Defined results: null text encodes as the empty text, no ids; special strings inside a text give their special ids, as
-the library does.  Rows are independent.
+the library does; texts and words of any length are streamed.  Rows are independent: repeated rows and null keys give equal
+rows; an empty table gives no rows; columns that are not kept are not read, and where a kept one has the name of a result,
+the result's name gets underscores (``free_name``).
 """
 from __future__ import annotations
 
@@ -25,11 +28,12 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .shared import map_rows
+from .shared import free_name, map_rows
 
-_BLOCK = 2048
-_PIECE = 1 << 16
+#: Symbols that a word is fed by, ids that are decoded together, characters that a text is fed by.
+_STRIDE, _BLOCK, _PIECE = 64, 2048, 1 << 14
 _CACHE = 300_000
 
 
@@ -85,10 +89,9 @@ class Tokenizer:
         self.longest_special = max(map(len, self.special), default=1)
         self.words = regex.compile(splits[0]["pattern"]["Regex"])
         self.byte_level = spec.get("decoder") is not None
-        self.piece: dict[int, str] = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
-        if self.byte_level:
-            back = {c: b for b, c in enumerate(alphabet)}
-            self.raw = {i: bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for i, t in self.piece.items()}
+        piece: dict[int, str] = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        back = {c: b for b, c in enumerate(alphabet)} if self.byte_level else {}
+        self.raw = {i: bytes(back[c] for c in t) if back and all(c in back for c in t) else t.encode() for i, t in piece.items()}
         self.cache: dict[str, bytes] = {}
 
     # --- encoding
@@ -128,38 +131,28 @@ class Tokenizer:
         return [t for t, a in zip(ids, alive) if a]
 
     def word(self, word: str) -> bytes:
-        """Packed ids of a whole word."""
-        data = word.encode("utf-8", "surrogatepass")
-        if len(data) > _BLOCK:
-            stream, out = WordStream(self), []
-            for lo in range(0, len(word), _BLOCK):
-                out += stream.feed(word[lo : lo + _BLOCK])
-            return pack(out + stream.finish())
-        return pack(self.merge([self.inner[b] for b in data[:-1]] + [self.last[data[-1]]]))
+        """Packed ids of a whole word, through the stream."""
+        stream, out = WordStream(self), []
+        for lo in range(0, len(word), _BLOCK):
+            out += stream.feed(word[lo : lo + _BLOCK])
+        return pack(out + stream.finish())
 
     def packed(self, text: str | None) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        stream = TextStream(self)
-        if text is None or len(text) <= _PIECE:
-            return stream.feed(text or "") + stream.finish()
+        stream, text = TextStream(self), text or ""
         return b"".join(stream.feed(text[lo : lo + _PIECE]) for lo in range(0, len(text), _PIECE)) + stream.finish()
 
     # --- decoding
 
     def decoded(self, ids: Iterable[int]) -> Iterator[str]:
-        """Text of the ids, in pieces.  Without a decoder the file asks for the tokens' own text, joined by spaces."""
-        if self.byte_level:
-            machine = Utf8Machine()
-            for i in ids:
-                if i in self.raw:
-                    yield machine.feed(self.raw[i])
-            yield machine.finish()
-            return
-        piece, first, ids = self.piece, True, iter(ids)
+        """Text of the ids, in pieces, through the machine.  Without a decoder the file asks for the tokens' own text, joined by spaces."""
+        machine, raw, ids, between = Utf8Machine(), self.raw, iter(ids), b"" if self.byte_level else b" "
+        lead = b""
         while some := list(itertools.islice(ids, _BLOCK)):
-            if held := " ".join([piece[i] for i in some if i in piece]):
-                yield held if first else " " + held
-                first = False
+            if held := [raw[i] for i in some if i in raw]:
+                yield machine.feed(lead + between.join(held))
+                lead = between
+        yield machine.finish()
 
 
 _NONE = 1 << 60
@@ -170,7 +163,7 @@ def pack(ids: list[int]) -> bytes:
 
 
 class WordStream:
-    """Merges one word fed in pieces; keeps the lookahead and a block of symbols.
+    """Merges one word fed in pieces; keeps the lookahead and a stride of symbols.
 
     Dropping what was emitted is sound: no merge crossed the cut, so what follows merges by itself as it did before.
     """
@@ -179,25 +172,29 @@ class WordStream:
         self.tok, self.held, self.final = tok, [], None
 
     def feed(self, text: str) -> list[int]:
-        data = text.encode("utf-8", "surrogatepass")
+        data, out, inner, most = text.encode("utf-8", "surrogatepass"), [], self.tok.inner, self.tok.ahead + _STRIDE
         if not data:
-            return []
+            return out
         if self.final is not None:
-            self.held.append(self.tok.inner[self.final])
-        self.held += [self.tok.inner[b] for b in data[:-1]]
+            self.held.append(inner[self.final])
         self.final = data[-1]  # it may be the word's last byte, whose symbol differs
-        return self._stable() if len(self.held) > self.tok.ahead + _BLOCK else []
+        for lo in range(0, len(data) - 1, _STRIDE):
+            self.held += [inner[b] for b in data[lo : min(lo + _STRIDE, len(data) - 1)]]
+            if len(self.held) >= most:
+                out += self._stable()
+        return out
 
     def _stable(self) -> list[int]:
-        merged, out, used = self.tok.merge(list(self.held)), [], 0
+        """Emit what the lookahead settles: the tokens that end before the last symbols that can still decide on them."""
+        merged, used, n = self.tok.merge(list(self.held)), 0, 0
         limit = len(self.held) - self.tok.ahead
         for t in merged:
             if used + self.tok.length[t] > limit:
                 break
             used += self.tok.length[t]
-            out.append(t)
+            n += 1
         del self.held[:used]
-        return out
+        return merged[:n]
 
     def finish(self) -> list[int]:
         if self.final is None:
@@ -335,15 +332,17 @@ def load(definition: str) -> Tokenizer:
 
 
 def encode(docs: DataFrame, tokenizer_path: str, keep: list[str], text: str = "text", with_ids: bool = True) -> DataFrame:
-    """Columns ``keep`` plus ids (array<int>, if asked for), n_tokens, ids_sha256, decoded_sha256; a plain map."""
+    """Columns ``keep`` plus ids (array<int>, if asked for), n_tokens, ids_sha256, decoded_sha256 (or the next free names); a plain map."""
     with open(tokenizer_path, encoding="utf-8") as f:
         shipped = docs.sparkSession.sparkContext.broadcast(f.read())
     types = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + (", ids array<int>" if with_ids else "") + ", n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    made = {n: free_name(n, keep) for n in ("ids", "n_tokens", "ids_sha256", "decoded_sha256")}
+    kinds = {"ids": "array<int>", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
+    schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + [f"`{made[n]}` {t}" for n, t in kinds.items() if with_ids or n != "ids"])
 
     def run(cols):
         tok = load(shipped.value)
-        out = {c: cols[c] for c in keep} | {"ids": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+        new: dict[str, list] = {n: [] for n in made.values()}
         for t in cols[text]:
             packed = tok.packed(t)
             ids = np.frombuffer(packed, "<u4")
@@ -351,10 +350,10 @@ def encode(docs: DataFrame, tokenizer_path: str, keep: list[str], text: str = "t
             for piece in tok.decoded(ids.tolist()):
                 digest.update(piece.encode("utf-8", "surrogatepass"))
             if with_ids:
-                out["ids"].append(ids.astype(np.int32))
-            out["n_tokens"].append(len(ids))
-            out["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
-            out["decoded_sha256"].append(digest.hexdigest())
-        return out
+                new[made["ids"]].append(ids.astype(np.int32))
+            new[made["n_tokens"]].append(len(ids))
+            new[made["ids_sha256"]].append(hashlib.sha256(packed).hexdigest())
+            new[made["decoded_sha256"]].append(digest.hexdigest())
+        return {c: cols[c] for c in keep} | new
 
-    return map_rows(docs.select(*dict.fromkeys([*keep, text])), run, schema, slice_rows=256)
+    return map_rows(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])]), run, schema, slice_rows=256)

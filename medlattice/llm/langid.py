@@ -5,13 +5,16 @@ smoothed letter-trigram probabilities; expectation-maximisation over the words e
 proportions.  Nested language sets (the most probable 1, 2, ... languages, up to all) are compared by log-likelihood less a
 penalty of ``0.5 * penalty * (set size - 1) * log(words)``; the best set gives the prediction.
 
-Cost and scale: training reads a bounded sample (``rows_per_lang`` labelled rows per language, at most
-``max_languages`` languages) and gathers at most languages x 65,536 counts, whatever the corpus size; prediction is one
-map over the documents without any shuffle.
-
-Defined results: null text, text without letters -> ``und`` with score 0 and empty mixture; text of letters never seen
-in training -> the most frequent training language is preferred (ties go to the first language by name); no labelled
-rows at all -> every row is ``und``.  Rows are independent: repeated rows get equal results, extra columns are kept out.
+Cost and scale: training reads a bounded sample (``rows_per_lang`` labelled rows per language, chosen by a hash of the
+key) and gathers languages x 65,536 counts, whatever the corpus size; every language that has a label is learnt, and more
+than ``MAX_LANGUAGES`` of them, too many for a table of 256 KB each, are an error and not a cut.  Prediction is one map
+over the documents without any shuffle.
+
+Defined results: null or empty text, text without letters -> ``und`` with score 0 and empty mixture; text of letters never
+seen in training -> the most frequent training language is preferred (ties go to the first language by name); no labelled
+rows at all -> every row is ``und``.  Texts of any length are read whole.  Rows are independent: repeated rows get equal
+results, null keys are sampled like others.  An empty table gives no rows.  Kept columns stay as they are: where one has
+the name of a result, the result's name gets underscores (``free_name``); other columns are not read.
 """
 from __future__ import annotations
 
@@ -19,9 +22,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import blocks, map_rows
+from .shared import blocks, free_name, map_rows
 
-BUCKETS = 1 << 16
+BUCKETS, MAX_LANGUAGES = 1 << 16, 2048
 _BLOCK_CHARS = 1_000_000
 _letters: np.ndarray | None = None
 
@@ -125,14 +128,16 @@ class Model:
         return out
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows_per_lang: int = 1500, max_languages: int = 256) -> Model:
-    """Learn from at most about ``rows_per_lang`` rows of each of the ``max_languages`` most frequent languages.
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows_per_lang: int = 1500) -> Model:
+    """Learn from at most about ``rows_per_lang`` rows of each language.
 
     The sample is the rows whose key hashes below a per-language threshold, so it is spread over all partitions.
     Rows without a language or text teach nothing.
     """
     labelled = labelled.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null")
-    n = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_languages).collect()}
+    n = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(n) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     langs = sorted(n)
     if not langs:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
@@ -158,16 +163,17 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text", max_set: int | None = None, rounds: int = 8, penalty: float = 1.0) -> DataFrame:
-    """Columns ``keep`` of ``docs`` plus lang_pred, score, langs, proportions; one row per row."""
+    """Columns ``keep`` of ``docs`` plus lang_pred, score, langs, proportions (or the next free names); one row per row."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # languages x 256 KB, independent of the corpus
     types = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", lang_pred string, score double, langs array<string>, proportions array<double>"
+    names = [free_name(n, keep) for n in ("lang_pred", "score", "langs", "proportions")]
+    made = [f"`{n}` {t}" for n, t in zip(names, ("string", "double", "array<string>", "array<double>"))]
 
     def run(cols):
         rows = shipped.value.predict(cols[text], max_set, rounds, penalty)
-        return {c: cols[c] for c in keep} | {n: [r[i] for r in rows] for i, n in enumerate(("lang_pred", "score", "langs", "proportions"))}
+        return {c: cols[c] for c in keep} | {n: [r[i] for r in rows] for i, n in enumerate(names)}
 
-    return map_rows(docs.select(*dict.fromkeys([*keep, text])), run, schema)
+    return map_rows(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])]), run, ", ".join([*[f"`{c}` {types[c]}" for c in keep], *made]))
 
 
 def with_letters(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -189,6 +189,7 @@ def test_bpe_equals_the_library(both, seed):
 def test_streaming_needs_no_whole_text(both, block, piece, monkeypatch):
     monkeypatch.setattr(bpe, "_BLOCK", block)
     monkeypatch.setattr(bpe, "_PIECE", piece)
+    monkeypatch.setattr(bpe, "_STRIDE", max(1, block // 16))
     rng = random.Random(block)
     for _ in range(40):
         n = rng.randint(300, 3000)
@@ -203,7 +204,22 @@ def test_stream_keeps_little(both, monkeypatch):
     for _ in range(200):
         stream.feed("abcabcde" * 64)
         most = max(most, len(stream.held))
-    assert most <= tok.ahead + bpe._BLOCK + 512
+    assert most <= tok.ahead + 2 * bpe._STRIDE
+
+
+def test_short_texts_go_through_the_streams(both, monkeypatch):
+    """Every word is merged by the stream and every token's text leaves the machine; long words leave in parts."""
+    tok, lib = both
+    fed, emitted, decoded = [], [], []
+    feed, stable, machine = bpe.WordStream.feed, bpe.WordStream._stable, bpe.Utf8Machine.feed
+    monkeypatch.setattr(bpe.WordStream, "feed", lambda self, t: fed.append(t) or feed(self, t))
+    monkeypatch.setattr(bpe.WordStream, "_stable", lambda self: emitted.append(out := stable(self)) or out)
+    monkeypatch.setattr(bpe.Utf8Machine, "feed", lambda self, d: decoded.append(d) or machine(self, d))
+    tok.cache.clear()
+    agree(both, "Some plain, short words")
+    assert fed == ["some", "plain", ",", "short", "words"] and b"".join(decoded).count(b" ") == len(lib.encode("Some plain, short words", add_special_tokens=False).ids) - 1
+    agree(both, "abcde" * 80)
+    assert sum(map(len, emitted)) > 0
 
 
 def test_lookahead():
