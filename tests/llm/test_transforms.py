@@ -1,5 +1,6 @@
 """Fingerprints, WARC, shards, BPE, chat, audio, mixing: round trips, brute force and edge cases."""
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -123,34 +124,67 @@ def test_warc_round_trip(spark, tmp_path):
 # --- shards
 
 
+def brute_tree(rows, leaves, first=0):
+    """shard of each row (number, size, positions, tie), by plain recursion over sorted lists."""
+    if leaves == 1 or not rows:
+        return {r[0]: first for r in rows}
+    dim = max(range(4), key=lambda d: (max(r[2][d] for r in rows) - min(r[2][d] for r in rows), -d))
+    at = lambda r: (r[2][dim], r[3])
+    need, done, cut = sum(r[1] for r in rows) * (leaves // 2) / leaves, 0, None
+    for place, group in itertools.groupby(sorted(rows, key=at), key=at):
+        w = sum(r[1] for r in group)
+        if done + w >= need:
+            cut = (*place, 1) if need - done > w / 2 else (*place, 0)  # the last place goes to the side that needs it more
+            break
+        done += w
+    left = [r for r in rows if (*at(r), 0.5) < cut]
+    right = [r for r in rows if (*at(r), 0.5) >= cut]
+    return brute_tree(left, leaves // 2, first) | brute_tree(right, leaves - leaves // 2, first + leaves // 2)
+
+
 def test_shards(spark):
     rng = random.Random(3)
-    rows = [(i, "x" * rng.randint(0, 300), rng.choice(["en", "fr", None]), "hot" if i % 3 else f"s{i % 7}") for i in range(3000)]
-    rows += [(5000, None, None, None), (5001, "é" * 10, "en", "hot"), (0, "dup", "en", "hot"), (0, "dup", "en", "hot")]
-    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").withColumn("size", F.lit("clash"))
-    got = shard.kd_shards(d, 40).collect()
-    assert len(got) == len(rows)
+    rows = [(i, "x" * rng.randint(0, 300), rng.choice(["en", "fr", None]), "hot" if i % 3 else f"common_{i % 7}") for i in range(3000)]
+    rows += [(5000, None, None, None), (5001, "é" * 10, "en", "hot"), (0, "dup", "en", "hot"), (0, "dup", "en", "hot"), (None, "y" * 20000, "en", "hot")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").withColumn("size", F.lit("clash")).withColumn("node", F.lit("clash"))
+    slim = [(i, r["size"], [r[f"p{k}"] for k in range(4)], r["tie"], (r["doc_id"], r["size"], r["text_crc32"])) for i, r in enumerate(shard.positions(d).collect())]
+    for shards in (40, 7, 1):
+        got = shard.kd_shards(d, shards).collect()
+        want = brute_tree(slim, shards)
+        assert Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"]) for r in got) == Counter((*r[4], want[r[0]]) for r in slim)
+        for s in range(shards):
+            slots = sorted(r["slot"] for r in got if r["shard"] == s)
+            assert slots == list(range(len(slots)))
     size = Counter()
-    for r in got:
+    for r in shard.kd_shards(d.where("doc_id is not null"), 40).collect():
         size[r["shard"]] += r["size"]
     assert set(size) == set(range(40)) and max(size.values()) - min(size.values()) <= 2 * 316
-    for s in range(40):
-        slots = sorted(r["slot"] for r in got if r["shard"] == s)
-        assert slots == list(range(len(slots)))
+    assert len({r["shard"] for r in shard.kd_shards(d, target_bytes=50_000).collect()}) == round(sum(r[1] for r in slim) / 50_000)
     by = {r["doc_id"]: r for r in got}
     assert by[5000]["size"] == 16 and by[5000]["text_crc32"] == 0 and by[5001]["size"] == 36 and by[5001]["text_crc32"] == zlib.crc32(("é" * 10).encode())
     same = spark.createDataFrame([(1, "abc", "en", "s")] * 50, "doc_id bigint, text string, lang string, source string")
     assert shard.kd_shards(same, 4).count() == 50
     assert shard.kd_shards(same.limit(0), 4).count() == 0 and shard.kd_shards(same.limit(1), 1).count() == 1
-    old = shard._ROWS_PER_BUCKET
-    try:
-        shard._ROWS_PER_BUCKET = 7
-        few = shard.kd_shards(d, 4).collect()
-        for s in range(4):
-            slots = sorted(r["slot"] for r in few if r["shard"] == s)
-            assert slots == list(range(len(slots)))
-    finally:
-        shard._ROWS_PER_BUCKET = old
+
+
+def test_slots_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(shard, "_ROWS_PER_BUCKET", 7)
+    d = spark.createDataFrame([(i // 3, "x" * (i % 50), "en", "s") for i in range(600)], "doc_id bigint, text string, lang string, source string")
+    few = shard.kd_shards(d, 4).collect()
+    for s in range(4):
+        slots = sorted(r["slot"] for r in few if r["shard"] == s)
+        assert len(slots) > 100 and slots == list(range(len(slots)))
+
+
+@pytest.mark.parametrize("bounds", [512, 5])
+def test_ranks_of_whole_strings(spark, bounds, monkeypatch):
+    monkeypatch.setattr(shard, "_BOUNDS", bounds)
+    rng = random.Random(5)
+    own = {(k, f"https://example.org/{'x' * rng.randrange(30)}{rng.randrange(90)}") for k in (0, 1) for _ in range(80)}
+    got = shard.string_ranks(spark.createDataFrame([*own, *own, (0, None)], "dim int, value string")).collect()
+    for k in (0, 1):
+        values = sorted(v for d, v in own if d == k)
+        assert sorted((r["rank"], r["value"], r["n"]) for r in got if r["dim"] == k) == [(i + 1, v, len(values)) for i, v in enumerate(values)]
 
 
 # --- BPE
@@ -379,12 +413,49 @@ def test_mixture(spark):
     few = mixing.mix(d, budget=sum(total.values()) / 4.0).collect()
     assert abs(sum(len((r["text"] or "").split()) for r in few) / (sum(total.values()) / 4) - 1) < 0.1
     assert mixing.mix(d.limit(0)).count() == 0
-    old = mixing.BROADCAST_BLOCKS
-    try:
-        mixing.BROADCAST_BLOCKS = 0
-        assert sorted((r["doc_id"], r["pass"]) for r in mixing.mix(d).collect()) == sorted((r["doc_id"], r["pass"]) for r in got)
-    finally:
-        mixing.BROADCAST_BLOCKS = old
+    named = mixing.mix(d.withColumn("pass", F.lit("p")).withColumn("mix_at", F.lit("m")).withColumn("s", F.lit(1)).withColumn("row", F.lit(2)))
+    assert named.columns[-2:] == ["pass_", "mix_at_"] and {(r["pass"], r["mix_at"], r["s"], r["row"]) for r in named.collect()} == {("p", "m", 1, 2)}
+
+
+def test_mixture_against_lists(spark, monkeypatch):
+    """Which documents are taken, how often and in which order, by sorting each source's blocks."""
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 5)
+    rng = random.Random(19)
+    rows = [(i, rng.choice(["big"] * 8 + ["small", "tiny", None]), " ".join("w" * rng.randint(0, 30))) for i in range(900)] + [(None, "big", f"x {i}") for i in range(20)]
+    d = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    tokens = {}
+    for _, s, t in rows:
+        tokens[s] = tokens.get(s, 0) + len(t.split())
+    names = sorted(tokens, key=lambda s: "n" if s is None else f"s{s}")
+    share = mixing.weights([float(tokens[s]) for s in names], mixing.bisect_exponent([float(tokens[s]) for s in names], 3.0))
+    budget = max(tokens[s] / w for s, w in zip(names, share))
+    want, n_blocks = {}, {s: -(-sum(r[1] == s for r in rows) // 5) for s in names}
+    hashed = d.select("doc_id", "source", "text", F.xxhash64("doc_id", "text", F.lit(mixing.SEED)).alias("h")).collect()
+    order = spark.createDataFrame([("n" if s is None else f"s{s}", b, t) for s in names for b in range(n_blocks[s]) for t in range(9)], "s string, b bigint, t int")
+    place = {(r["s"], r["b"], r["t"]): r["at"] for r in order.select("s", "b", "t", mixing._order(F.col("s"), F.col("b"), F.col("t")).alias("at")).collect()}
+    for s, w in zip(names, share):
+        blocks = {}
+        for r in hashed:
+            if r["source"] == s:
+                blocks.setdefault(r["h"] % n_blocks[s], []).append((r["doc_id"], r["text"]))
+        left, turn = w * budget, 0
+        while left > 1e-6:
+            for b in sorted(blocks, key=lambda b: place["n" if s is None else f"s{s}", b, turn]):
+                own = sum(len(t.split()) for _, t in blocks[b])
+                if left < own / 2 or left <= 1e-6 and own:
+                    left = 0
+                    break
+                left -= own
+                for doc in blocks[b]:
+                    want.setdefault((s, turn), []).append(doc)
+            turn += 1
+    got = {}
+    for r in sorted(mixing.mix(d, max_repeat=3.0).collect(), key=lambda r: r["mix_at"]):
+        got.setdefault((r["source"], r["pass"]), []).append((r["doc_id"], r["text"]))
+    assert {k: Counter(v) for k, v in got.items()} == {k: Counter(v) for k, v in want.items()}
+    for k, docs in got.items():  # blocks follow each other in the order of the permutation; cells of equal sums may tie
+        spot = {doc: i for i, doc in enumerate(want[k])}
+        assert np.mean([abs(spot[doc] - i) < 12 for i, doc in enumerate(docs)]) > 0.95
 
 
 def test_last_samples_are_in_a_frame():
