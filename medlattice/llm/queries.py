@@ -34,8 +34,11 @@ def op3_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as its archived record says; a gap in the archives that were just written is an error."""
     written = shared_table(warc.write_archives(warc.mark_revisits(table(spark, sf_dir, "pages"))), "warc")
-    return warc.read_archives(written, with_payload=False, whole=True).where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    read = warc.read_archives(written, with_payload=False, whole=True)
+    whole = F.when(F.col("kind") == "record", F.col("record_type")).otherwise(F.raise_error(F.concat(F.lit("a gap in "), F.col("archive"))))
+    return read.select("page_id", "payload_bytes", "payload_digest", whole.alias("record_type"), "refers_to")
 
 
 def op5_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -98,6 +99,36 @@ def test_salvage_recovers_undamaged_records(seed):
     assert {f"<urn:page:{i}>" for i in range(len(records)) if i not in bad} <= found
 
 
+@pytest.mark.parametrize("packed", [False, True])
+def test_salvage_is_linear(packed):
+    """Twice the bytes, about twice the time, whole or in pieces, with and without damage; a search takes far below the square."""
+    def seconds(n, step):
+        data = bytearray(b"".join(warc.build_record(i, "u", bytes([i % 251]) * 2000 + str(i).encode(), None, packed) for i in range(n)))
+        data[len(data) // 2] ^= 1
+        begun, got = time.perf_counter(), 0
+        for kind, *_ in warc.salvage([bytes(data[i : i + step]) for i in range(0, len(data), step)]):
+            got += kind == "record"
+        assert got >= n - 2
+        return time.perf_counter() - begun
+
+    n = 5000 if not packed else 8000
+    for step in (1 << 30, 1 << 16):
+        small = min(seconds(n // 2, step) for _ in range(2))
+        assert seconds(n, step) < 3.5 * small + 0.3
+
+
+def test_long_candidates_are_gaps():
+    good = warc.build_record(1, "u", b"x" * 300, None, False)
+    claim = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: a\r\nWARC-Date: b\r\nContent-Length: 99999999999999\r\n\r\n"
+    got = list(warc.salvage([claim + b"y" * 500 + good, good]))
+    assert [g[0] for g in got] == ["gap", "record", "record"] and got[0][2] == len(claim) + 500
+    header = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: a\r\nWARC-Date: b\r\nX: " + b"z" * 200_000 + b"\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
+    assert [g[:3] for g in warc.salvage([header[:7], header[7:100_000], header[100_000:], good])] == [("record", 0, len(header)), ("record", len(header), len(good))]
+    assert [g[0] for g in warc.salvage([header[:60_000], header[60_000:], good], most=50_000)] == ["gap", "record"]
+    bomb = warc.build_record(2, "u", b"0" * 3_000_000, None)
+    assert [g[0] for g in warc.salvage([bomb, good], most=1 << 20)] == ["gap", "record"]
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "é" * 600
     rows = [(1, "u", big), (2, "u", big), (5, None, big), (3, "u", "small"), (4, "u", "small"), (6, "u", None), (7, "u", ""), (8, "http://a b\r\nX: y", "z" * 2000), (8, "q", "z" * 2000)]
@@ -115,7 +146,8 @@ def test_warc_round_trip(spark, tmp_path):
             if r["record_type"] == "response":
                 assert bytes(r["payload"]) == want
     warc.write_files(warc.write_archives(marked), str(tmp_path / "out"))
-    assert warc.read_archives(warc.read_files(spark, str(tmp_path / "out"))).where("kind = 'record'").count() == len(rows)
+    for block in (1 << 23, 100):
+        assert warc.read_archives(warc.read_files(spark, str(tmp_path / "out"), block)).where("kind = 'record'").count() == len(rows)
     assert warc.read_archives(warc.write_archives(warc.mark_revisits(p.limit(0)))).count() == 0
     junk = spark.createDataFrame([("a", 0, bytearray(b"no archive at all"))], "archive string, seq bigint, data binary")
     assert [(r["kind"], r["length"]) for r in warc.read_archives(junk).collect()] == [("gap", 17)]
