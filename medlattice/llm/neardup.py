@@ -423,9 +423,10 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     if connected is None:
         labels = named.select("words_key", F.col("least").alias("dup_class"), F.lit(1).cast("bigint").alias("class_texts"), F.lit(True).alias("first"), "least_text")
     else:
-        joined = named.join(connected, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         order = F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("doc"), "words_key")
-        whole = joined.groupBy("label").agg(F.min(order).alias("h"), F.count("*").alias("class_texts"))
-        labels = joined.join(whole, "label").select("words_key", F.col("h.doc").alias("dup_class"), "class_texts", (F.col("words_key") == F.col("h.words_key")).alias("first"), "least_text")
+        whole = shared_table(named.join(connected, "cls").groupBy("label").agg(F.min(order).alias("h"), F.count("*").alias("class_texts")), "dedup-classes")
+        joined = named.join(connected, "cls", "left").join(whole, "label", "left")
+        alone = F.col("h").isNull()
+        labels = joined.select("words_key", F.when(alone, F.col("least")).otherwise(F.col("h.doc")).alias("dup_class"), F.coalesce("class_texts", F.lit(1)).alias("class_texts"), (alone | (F.col("words_key") == F.col("h.words_key"))).alias("first"), "least_text")
     kept = F.col("first") & F.col("doc").eqNullSafe(F.col("dup_class")) & (F.col("text_key") == F.col("least_text"))
     return sketched.select("doc", "text_key", "words_key").join(labels, "words_key").select("doc", "text_key", "words_key", "dup_class", "class_texts", kept.alias("kept"))
