@@ -1,20 +1,22 @@
 """Language-model scoring by a hidden Markov model over words.
 
-States emit symbols: a frequent word (at least ``HEAD`` of all training tokens, so at most 1 / HEAD words) is a symbol of
-its own, any other word belongs to one of ``CLASSES`` classes by its last two characters and has there the probability
-(count + 1) / (class tokens + class words + 1), the one left over being that of unseen words.  Baum-Welch expected
-counts are computed per block of sequences, added up across partitions, and normalised; after a start on a bounded
-sample every round runs over all training tokens.  The score is the exact log10 likelihood from the scaled forward
-recursion over the whole text and its end.
+States emit symbols: the end of a text and every frequent word (at least ``HEAD`` of all training tokens, so at most
+1 / HEAD words) are symbols of their own; any other word belongs to one of ``CLASSES`` classes by its last two characters
+and has there the probability (count + 1) / (class tokens + class words + 1), the one left over being that of unseen words.
+Baum-Welch expected counts are computed per block of sequences, added up across partitions, and normalised; after a start
+on a bounded sample every round runs over all training tokens.  The score is the exact log10 likelihood from the scaled
+forward recursion over the whole text and its end.
 
 Scale: word counts come from one shuffle of per-task counts.  Words of at least ``KNOWN`` of the tokens (at most
 1 / KNOWN of them) are looked up in a broadcast table; the rest of each text's words are joined to the counts by
 word.  Texts are split into words twice, then kept as packed symbols.  What a task sends for a round is states x
-symbols numbers, at most 8 x 10,257, whatever the corpus.
+symbols numbers, at most 8 x 10,258, whatever the corpus.
 
-Training splits sequences into pieces of ``PIECE`` tokens, later pieces beginning from the states' overall distribution;
-scoring never splits.  Defined results: null text is the empty text, only an end; without training rows every count is
-0, the base score is 0 and all symbols are equally likely; repeated rows are scored alike.
+Training counts each token and each transition once, in pieces of ``PIECE`` tokens so that memory is bounded; a piece is
+read with ``CONTEXT`` tokens on both sides, which are not counted in it but let its states settle.  Scoring never splits.
+Defined results: null and empty texts are only an end; very long texts are scored whole; without training rows every count
+is 0, the base score is 0 and all symbols are equally likely; repeated rows, null ids too, are scored alike; equal counts
+(ties) need no order; an empty table gives no rows; columns other than doc_id, held_out and text are not read.
 """
 from __future__ import annotations
 
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .shared import shared_table
 
-STATES, HEAD, KNOWN, CLASSES, PIECE = 8, 1e-4, 2e-6, 256, 512
-SAMPLE_TOKENS, SAMPLE_ROUNDS, CORPUS_ROUNDS = 200_000, 15, 2
+STATES, HEAD, KNOWN, CLASSES, PIECE, CONTEXT = 8, 1e-4, 2e-6, 256, 1024, 16
+SAMPLE_TOKENS, SAMPLE_ROUNDS, CORPUS_ROUNDS = 200_000, 15, 3
 #: Tokens of the overall distribution that each state is given beforehand; they keep a small corpus from being learnt by heart.
 PRIOR = 100.0
 END = b""  # no word is empty
@@ -113,13 +115,18 @@ def log_likelihoods(model: Hmm, seqs: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def expected_counts(model: Hmm, seqs: list[np.ndarray], fresh: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch counts (start, move, emit) of sequences; those that are not ``fresh`` are later pieces of a text."""
+def expected_counts(model: Hmm, seqs: list[np.ndarray], fresh: list[bool], spans: list[tuple[int, int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Baum-Welch counts (start, move, emit) of sequences; those that are not ``fresh`` are later pieces of a text.
+
+    Of each sequence the tokens within its span are counted, and the transitions into them; all of it without spans.
+    """
     states, symbols = len(model.start), len(model.emit)
     start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states))
+    spans = spans or [(0, len(s)) for s in seqs]
     for block in in_blocks(seqs):
         grid, alive, order = _padded([seqs[i] for i in block])
         new = np.array([fresh[block[i]] for i in order])
+        lo, hi = np.array([spans[block[i]] for i in order]).T
         a = np.where(new[:, None], model.start, model.overall)
         forward, scale = [], []
         for t in range(len(grid)):
@@ -129,15 +136,16 @@ def expected_counts(model: Hmm, seqs: list[np.ndarray], fresh: list[bool]) -> tu
             a = a / c[:, None]
             forward.append(a)
             scale.append(c)
+        counted = [(lo[:n] <= t) & (t < hi[:n]) for t, n in enumerate(alive)]
         b = np.ones((alive[-1], states))
-        gammas = [forward[-1]]
+        gammas = [forward[-1] * counted[-1][:, None]]
         for t in range(len(grid) - 2, -1, -1):
             n, later = alive[t], alive[t + 1]
             x = b * model.emit[grid[t + 1, :later]] / scale[t + 1][:, None]
-            move += (forward[t][:later].T @ x) * model.move
+            move += (forward[t][:later].T @ (x * counted[t + 1][:, None])) * model.move
             b = np.ones((n, states))
             b[:later] = x @ model.move.T
-            gammas.append(forward[t] * b)
+            gammas.append(forward[t] * b * counted[t][:, None])
         start += gammas[-1][new].sum(axis=0)
         symbol = np.concatenate([grid[t, : alive[t]] for t in range(len(grid) - 1, -1, -1)])
         gamma = np.concatenate(gammas)
@@ -146,13 +154,16 @@ def expected_counts(model: Hmm, seqs: list[np.ndarray], fresh: list[bool]) -> tu
     return start, move, emit
 
 
-def pieces(seqs: list[np.ndarray]) -> tuple[list[np.ndarray], list[bool]]:
-    out, fresh = [], []
+def pieces(seqs: list[np.ndarray]) -> tuple[list[np.ndarray], list[bool], list[tuple[int, int]]]:
+    """Pieces with their context, whether each begins its text, and the span of each that counts."""
+    out, fresh, spans = [], [], []
     for s in seqs:
         for lo in range(0, len(s), PIECE):
-            out.append(s[lo : lo + PIECE])
+            begin = max(0, lo - CONTEXT)
+            out.append(s[begin : lo + PIECE + CONTEXT])
             fresh.append(lo == 0)
-    return out, fresh
+            spans.append((lo - begin, min(lo + PIECE, len(s)) - begin))
+    return out, fresh, spans
 
 
 # --- over DataFrames
@@ -233,9 +244,9 @@ def corpus_counts(symbols: DataFrame, model: Hmm) -> tuple[np.ndarray, np.ndarra
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, total = shipped.value, None
         for part in _slices(it, 1024):
-            seqs, fresh = pieces([np.frombuffer(x, np.uint16) for x in part.column(0).to_pylist()])
-            if seqs:
-                start, move, emit = expected_counts(m, seqs, fresh)
+            cut = pieces([np.frombuffer(x, np.uint16) for x in part.column(0).to_pylist()])
+            if cut[0]:
+                start, move, emit = expected_counts(m, *cut)
                 all_ = np.concatenate((start[None, :], move, emit))
                 total = all_ if total is None else total + all_
         if total is not None:
@@ -258,18 +269,22 @@ def train(symbols: DataFrame, weight: np.ndarray, states: int = STATES, corpus_r
     share = max(1, int(min(1.0, SAMPLE_TOKENS / max(1, tokens)) * scale))  # pieces are drawn alike, wherever they lie and however long their text is
     drawn = lambda p: F.pmod(F.xxhash64("uid", p), F.lit(scale))
     every = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_tokens") - 1) / PIECE))
-    # a text's pieces are cut from it only after the draw
-    own = F.transform(F.filter(every, lambda p: drawn(p) < share), lambda p: F.struct(drawn(p).alias("h"), p.alias("piece"), F.substring("symbols", (p * (2 * PIECE) + 1).cast("int"), F.lit(2 * PIECE)).alias("symbols")))
+    # a text's pieces are cut from it only after the draw, with their context
+    before = lambda p: F.when(p > 0, F.lit(CONTEXT)).otherwise(F.lit(0))
+    part = lambda p: F.substring("symbols", ((p * PIECE - before(p)) * 2 + 1).cast("int"), ((before(p) + PIECE + CONTEXT) * 2).cast("int"))
+    own = F.transform(F.filter(every, lambda p: drawn(p) < share), lambda p: F.struct(drawn(p).alias("h"), p.alias("piece"), part(p).alias("symbols")))
     sample = training.select("uid", F.explode(own).alias("s")).select("s.h", "uid", "s.piece", "s.symbols")
-    got, seqs, fresh = 0, [], []
+    got, seqs, fresh, spans = 0, [], [], []
     for r in sorted(sample.collect()):
-        s = np.frombuffer(bytes(r["symbols"]), np.uint16)
-        if got + len(s) <= SAMPLE_TOKENS:
-            got += len(s)
+        s, lead = np.frombuffer(bytes(r["symbols"]), np.uint16), CONTEXT if r["piece"] else 0
+        span = (lead, min(len(s), lead + PIECE))
+        if got + span[1] - lead <= SAMPLE_TOKENS:
+            got += span[1] - lead
             seqs.append(s)
             fresh.append(r["piece"] == 0)
+            spans.append(span)
     for _ in range(SAMPLE_ROUNDS if seqs else 0):
-        model = Hmm.from_counts(*expected_counts(model, seqs, fresh), weight)
+        model = Hmm.from_counts(*expected_counts(model, seqs, fresh, spans), weight)
     for _ in range(corpus_rounds):
         model = Hmm.from_counts(*corpus_counts(symbols, model), weight)
     return model
@@ -281,35 +296,37 @@ def score(docs: DataFrame, states: int = STATES) -> DataFrame:
     counts = shared_table(count_words(docs.where("not held_out")), "lm-counts")
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = sums["n"], sums["v"]
-    frequent = {r["word"].encode(): r["c"] for r in counts.where(F.col("c") >= max(1.0, KNOWN * n)).collect()}  # at most 1 / KNOWN rows
-    head = {w: i for i, w in enumerate(sorted(w for w, c in frequent.items() if c >= HEAD * n))}
-    outside = counts if not head else counts.where(F.col("c") < HEAD * n)
+    least = max(1.0, KNOWN * n)
+    rare_word = (F.col("c") < least) & (F.col("word") != "")
+    frequent = {r["word"].encode(): r["c"] for r in counts.where(~rare_word).collect()}  # at most 1 / KNOWN rows, and the end
+    head = {w: i for i, w in enumerate(sorted({w for w, c in frequent.items() if c >= HEAD * n} | {END}))}  # the end is always a symbol
+    outside = counts.where(F.col("c") < HEAD * n)
     cls = F.pmod(F.crc32(F.encode(F.right("word", F.lit(2)), "UTF-8")), F.lit(CLASSES)).cast("int")
     per_class = {r["k"]: (r["c"], r["v"]) for r in outside.where(F.col("word") != "").groupBy(cls.alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()}
     tokens = np.array([per_class.get(k, (0, 0))[0] for k in range(CLASSES)], float)
     size = np.array([sum(per_class.get(k, (0, 0))) + 1 for k in range(CLASSES)], float)  # tokens + words + 1
-    weight = np.array([frequent[w] for w in head] + tokens.tolist(), float)
+    weight = np.array([frequent.get(w, 0) for w in head] + tokens.tolist(), float)
     weight = (weight + 0.5) / (weight + 0.5).sum()
 
     symbols = shared_table(symbolise(docs, frequent, head), "lm-symbols")
     model = train(symbols, weight, states)
     shipped = spark.sparkContext.broadcast((model, np.log10(size), len(head)))
-    target = pa.schema([("uid", pa.int64()), ("forward", pa.float64())])
+    names = ["uid", "doc_id", "held_out", "n_tokens", "known_n", "known_log", "known_tail"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, log_size, base = shipped.value
-        for batch in it:
-            seqs = [np.frombuffer(x, np.uint16) for x in batch.column(1).to_pylist()]
+        for part in _slices(it, 1024):
+            seqs = [np.frombuffer(x, np.uint16) for x in part.column(len(names)).to_pylist()]
             ll = log_likelihoods(m, seqs) / math.log(10)
             within = np.array([log_size[s[s >= base] - base].sum() for s in seqs])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ll - within)], schema=target)
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(ll - within)], names=[*names, "forward"])
 
-    scored = symbols.select("uid", "symbols").mapInArrow(run, "uid bigint, forward double")
-    rest = symbols.select("uid", F.explode("rest").alias("word")).join(counts.where(F.col("c") < max(1.0, KNOWN * n)), "word")
+    scored = symbols.select(*names, "symbols").mapInArrow(run, "uid bigint, doc_id bigint, held_out boolean, n_tokens bigint, known_n bigint, known_log double, known_tail double, forward double")
+    rest = symbols.select("uid", F.explode("rest").alias("word")).join(counts.where(rare_word), "word")
     rare = rest.groupBy("uid").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("rare_log"), F.count("*").alias("rare_n"))
     base = math.log10(n + v + 1)
     some = lambda c: F.coalesce(c, F.lit(0))
-    return symbols.drop("symbols", "rest").join(scored, "uid").join(rare, "uid", "left").select(
+    return scored.join(rare, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known_n") + some(F.col("rare_n"))).alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
         (F.col("known_log") + some(F.col("rare_log")) - F.col("n_tokens") * F.lit(base)).alias("base_score"),
         (F.col("forward") + F.col("known_tail") + some(F.col("rare_log"))).alias("score"),

@@ -153,6 +153,28 @@ def test_long_texts_are_trained_on(spark):
     assert min(r["score"] - r["base_score"] for r in got) > 0.2 * 2600
 
 
+def test_pieces_count_everything_once(monkeypatch):
+    """Counts in pieces with context are those of whole sequences, transitions over the cuts included."""
+    monkeypatch.setattr(hmm, "PIECE", 40)
+    rng = np.random.default_rng(4)
+    s, v = 3, 6
+    norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
+    m = hmm.Hmm(norm(rng.random(s), 0), norm(rng.random((s, s)) + np.eye(s), 1), norm(rng.random((v, s)), 0), np.full(s, 1 / s))
+    seqs = [rng.integers(0, v, n).astype(np.uint16) for n in (1, 39, 40, 41, 500, 173)]
+    whole, cut = hmm.expected_counts(m, seqs, [True] * len(seqs)), hmm.expected_counts(m, *hmm.pieces(seqs))
+    assert abs(cut[2].sum() - sum(map(len, seqs))) < 1e-6 and abs(cut[1].sum() - sum(len(x) - 1 for x in seqs)) < 1e-6
+    assert all(np.allclose(a, b, rtol=2e-3, atol=1e-2) for a, b in zip(whole, cut))
+
+
+def test_the_end_is_a_symbol_of_long_texts(spark):
+    """Ends that are rarer than any frequent word keep a probability of their own; the model's distribution sums to one."""
+    rng = random.Random(10)
+    rows = [(i, False, " ".join(rng.choices("abcdefghij", k=12_000))) for i in range(4)] + [(9, True, "a"), (10, True, "")]
+    got = {r["doc_id"]: r for r in hmm.score(spark.createDataFrame(rows, "doc_id bigint, held_out boolean, text string")).collect()}
+    assert got[10]["n_known"] == 1 and got[10]["score"] < -3 and got[9]["score"] < -4  # an end after one word is as rare as in training
+    assert got[0]["score"] > got[0]["base_score"] - 20
+
+
 # --- near-duplicates
 
 
