@@ -6,8 +6,16 @@ bytes, a loose mask beyond, a forced cut at ``MAX``; so chunk lengths gather rou
 boundaries only near itself.  The fingerprint is the sorted set of (digest, length) of the distinct chunks; the
 containment of A in B is the share, by length, of A's chunks that B has too.
 
+Scale: fingerprints are a map.  What needs the next text in order of the key moves every text once, to ranges of (key, hash
+of the text) whose bounds come from two levels of bounded samples, so a key that holds a third of the table is split too,
+and the number of tasks grows with the bytes.  At most about ``MAX_RANGES`` bounds and first rows are broadcast, 64 MB; more
+than MAX_RANGES x 1024 rows only make ranges longer, and a range is read as a stream.
+
 Defined results: null or empty text has the empty fingerprint; an empty set is contained in an empty one with 1.0 and
-in any other with 0.0.  Equal texts have equal fingerprints.
+in any other with 0.0.  Equal texts have equal fingerprints, repeated rows too; a single row is its own next.  Ties of the
+key are ordered by a hash of the text, null keys come first.  Very long texts are hashed in bounded segments.  An empty table
+gives no rows.  Columns that are not kept are not read, and where a kept one has the name of a result, the result's name
+gets underscores (``free_name``).
 """
 from __future__ import annotations
 
@@ -17,17 +25,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import map_rows
+from .shared import free_name, map_rows, shared_table
 
 #: Chunk lengths in bytes.
 MIN, NORMAL, MAX = 16, 48, 256
 #: Seven and five of the high bits, which have seen 24 bytes and more.
 _STRICT, _LOOSE = np.uint32(0x3F800000), np.uint32(0x1F000000)
-#: Ranges of the key at most, so that their bounds stay a small literal in the plan whatever the table's size.
-MAX_RANGES = 10_000
+#: Ranges at most, so that their bounds can be broadcast; rows of a text range; bytes of a task.
+MAX_RANGES, RANGE_ROWS, TASK_BYTES = 1 << 20, 1024, 1 << 26
 _GEAR = np.frombuffer(hashlib.shake_256(b"gear").digest(256 * 4), np.uint32)
 _SEGMENT = 1 << 20
 
@@ -104,57 +112,81 @@ def containment(a: dict[int, int], b: dict[int, int]) -> float:
 
 def fingerprints(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """Columns ``keep`` plus fingerprint and n_chunks, one row per row; a plain map."""
-    types = dict(docs.dtypes)
+    types, names = dict(docs.dtypes), [free_name(n, keep) for n in ("fingerprint", "n_chunks")]
 
     def run(cols):
         sets = [chunk_set(t) for t in cols[text]]
-        return {c: cols[c] for c in keep} | {"fingerprint": [serialise(s) for s in sets], "n_chunks": [len(s) for s in sets]}
+        return {c: cols[c] for c in keep} | {names[0]: [serialise(s) for s in sets], names[1]: [len(s) for s in sets]}
+
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in keep], f"`{names[0]}` string, `{names[1]}` int"])
+    return map_rows(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])]), run, schema)
+
+
+def _located(p: Column, groups: Column, width: int) -> Column:
+    """How many of the bounds lie below ``p``; they are in order, in groups of ``width``, and none are empty."""
+    group = F.size(F.filter(F.transform(groups, lambda g: F.get(g, 0)), lambda b: b < p))
+    inside = F.size(F.filter(F.get(groups, group - 1), lambda b: b < p))
+    return F.when(group == 0, 0).otherwise((group - 1) * width + inside)
+
 
-    schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", fingerprint string, n_chunks int"
-    return map_rows(docs.select(*dict.fromkeys([*keep, text])), run, schema)
+def _grouped(bounds: Column, width: int) -> Column:
+    """An ordered array as groups of ``width``."""
+    n = F.ceil(F.size(bounds) / width).cast("int")
+    every = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.slice(bounds, i * width + 1, F.lit(width)))
+    return F.filter(every, lambda g: F.size(g) > 0)
 
 
-def with_next(docs: DataFrame, key: str, text: str, rows_per_bucket: int = 4096) -> DataFrame:
-    """Rows dealt into ranges of ``key`` and sorted within them, each range ending with a copy (``spare``) of the next one's first rows.
+def with_next(docs: DataFrame, key: str, text: str, rows_per_bucket: int = RANGE_ROWS) -> DataFrame:
+    """Rows (k, t) dealt into ranges ``b`` and sorted within them, each range ending with a copy (``spare``) of the next one's first rows.
 
-    The ranges come from approximate quantiles, fixed before the shuffle, so a retried task sees the same ranges; the
-    whole table is shuffled once and no task sees more than a few ranges.  The last range ends with the table's first row.
+    The ranges are fixed before the shuffle, so a retried task sees the same ones.  The last range ends with the table's
+    first row.
     """
-    slim = docs.select(F.col(key).cast("bigint").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    rows = slim.count()
-    n = min(MAX_RANGES, max(1, -(-rows // rows_per_bucket)))
-    bounds = slim.select(F.percentile_approx("k", [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else []
-    bounds = sorted(set(bounds or []))
-    width = int(len(bounds) ** 0.5) + 1
-    heads, groups = bounds[::width], [bounds[i : i + width] for i in range(0, len(bounds), width)]
-
-    def bucket(k):
-        """How many bounds lie below k, found in two levels; null comes first."""
-        if not bounds:
-            return F.lit(0)
-        group = F.size(F.filter(F.lit(heads), lambda b: b < k))
-        inside = F.size(F.filter(F.get(F.array(*[F.lit(g) for g in groups]), group - 1), lambda b: b < k))
-        return F.when(k.isNull() | (group == 0), 0).otherwise((group - 1) * width + inside)
-
-    placed = slim.withColumn("b", bucket(F.col("k")).cast("int"))
-    firsts = {r["b"]: r["k"] for r in placed.groupBy("b").agg(F.when(F.count("k") < F.count("*"), None).otherwise(F.min("k")).alias("k")).collect()}
-    if not firsts:
-        return placed.withColumn("spare", F.lit(0)).limit(0)
-    order = sorted(firsts)
-    before = {b: order[i - 1] for i, b in enumerate(order)}  # the range before; before the first, the last
-    first = F.create_map(*[F.lit(x) for b in order for x in (b, firsts[b])])
-    prior = F.create_map(*[F.lit(x) for b in order for x in (b, before[b])])
-    ends = F.col("k").eqNullSafe(F.element_at(first, F.col("b")))
+    spark = docs.sparkSession
+    plain = docs.select(F.col(key).cast("bigint").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    place = F.struct(F.coalesce("k", F.lit(-(1 << 63))).alias("k"), F.xxhash64("t").alias("h")).alias("p")
+    slim = shared_table(plain.select(place, F.octet_length("t").alias("bytes")), "next-places")
+    whole = slim.agg(F.count("*").alias("rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    n = min(MAX_RANGES, max(1, -(-whole["rows"] // rows_per_bucket)))
+    outer = int(n**0.5) + 1
+    inner, scale = -(-n // outer), 1 << 30
+    wide, deep = int(outer**0.5) + 1, int(inner**0.5) + 1
+    drawn = lambda seed, k: F.pmod(F.xxhash64("p.k", "p.h", F.lit(seed)), F.lit(scale)) < int(min(1.0, k / max(1, whole["rows"])) * scale)
+    # every 16th of a sample of 16 rows a range: first of the whole table, on the driver, then of each outer range
+    found = sorted({(r["p"]["k"], r["p"]["h"]) for r in slim.where(drawn(1, 16 * outer)).select("p").collect()})[::16]
+    kind = "array<array<struct<k:bigint,h:bigint>>>"
+    first = F.broadcast(spark.createDataFrame([(0, [found[i : i + wide] for i in range(0, len(found), wide)])], f"one int, bounds {kind}"))  # a single row
+    outer_range = lambda rows: rows.withColumn("one", F.lit(0)).join(first, "one").withColumn("b1", _located(F.col("p"), F.col("bounds"), wide)).drop("bounds", "one")
+
+    held = outer_range(slim.where(drawn(2, 16 * n)).select("p")).groupBy("b1").agg(F.array_sort(F.collect_set("p")).alias("x"))
+    second = shared_table(held.select("b1", _grouped(F.filter("x", lambda p, i: i % 16 == 0), deep).alias("bounds")), "next-bounds")
+
+    def ranged(rows: DataFrame) -> DataFrame:
+        inside = outer_range(rows).join(F.broadcast(second), "b1", "left")  # at most about MAX_RANGES bounds
+        b2 = F.when(F.col("bounds").isNull(), 0).otherwise(_located(F.col("p"), F.col("bounds"), deep))
+        return inside.withColumn("b", F.col("b1").cast("bigint") * (1 << 32) + b2).drop("bounds")
+
+    firsts = shared_table(ranged(slim.select("p")).groupBy("b1", "b").agg(F.min("p").alias("first")), "next-firsts")
+    last = {r["b1"]: r["b"] for r in firsts.groupBy("b1").agg(F.max("b").alias("b")).collect()}  # at most ``outer`` rows
+    if not last:
+        return plain.select(F.lit(0).cast("bigint").alias("b"), F.lit(0).alias("spare"), "k", "t").limit(0)
+    order = sorted(last)
+    before = F.create_map(*[F.lit(x) for i, b1 in enumerate(order) for x in (b1, last[order[i - 1]])])  # before the first range comes the last
+    prior = F.coalesce(F.lag("b").over(Window.partitionBy("b1").orderBy("b")), F.element_at(before, F.col("b1")))
+    ends = shared_table(firsts.select("b", "first", prior.alias("prior")), "next-ends")
+
+    placed = ranged(plain.withColumn("p", place)).join(F.broadcast(ends), "b")  # at most about MAX_RANGES rows
     here = F.struct(F.col("b").alias("b"), F.lit(0).alias("spare"))
-    there = F.struct(F.element_at(prior, F.col("b")).alias("b"), F.lit(1).alias("spare"))
-    dealt = placed.select("k", "t", F.explode(F.when(ends, F.array(here, there)).otherwise(F.array(here))).alias("x")).select("x.b", "x.spare", "k", "t")
-    return dealt.repartition(max(n // 4, docs.sparkSession.sparkContext.defaultParallelism), "b").sortWithinPartitions("b", "spare", F.col("k").asc_nulls_first(), "t")
+    there = F.struct(F.col("prior").alias("b"), F.lit(1).alias("spare"))
+    dealt = placed.select("k", "t", "p", F.explode(F.when(F.col("p") == F.col("first"), F.array(here, there)).otherwise(F.array(here))).alias("x")).select("x.b", "x.spare", "k", "t", "p")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-whole["bytes"] // TASK_BYTES))
+    return dealt.repartition(tasks, "b").sortWithinPartitions("b", "spare", "p").select("b", "spare", "k", "t")
 
 
 def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited form, and its likeness to that and to the next text.
 
-    The edited form replaces the last half of the code points by as many of the next text, in order of key (then text).
+    The edited form replaces the last half of the code points by as many of the next text, in order of key (ties: of a hash of the text).
     """
     schema = pa.schema([(key, pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,10 +53,19 @@ def test_edited_pairs_against_a_loop(spark):
             assert got[k]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and got[k]["n_chars"] == len(t)
             assert got[k]["fingerprint"] == fingerprint.serialise(fingerprint.chunk_set(t))
             assert got[k]["near_next"] == fingerprint.containment(fingerprint.chunk_set(t), fingerprint.chunk_set(nxt))
+    hot = [(None if i % 3 else 7, f"text {i} " * rng.randint(0, 9)) for i in range(300)] + [(i, f"own {i}") for i in range(100, 130)]
+    order = {r["t"]: r["h"] for r in spark.createDataFrame(hot, "k bigint, t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    hot.sort(key=lambda r: (r[0] is not None, r[0] or 0, order[r[1]]))
+    texts = Counter((k, hashlib.sha256((t[: len(t) - len(t) // 2] + u[: len(t) // 2]).encode()).hexdigest()) for (k, t), (_, u) in zip(hot, hot[1:] + hot[:1]))
+    for per in (4096, 4):
+        ranged = spark.createDataFrame(hot, "doc_id bigint, text string").repartition(4)
+        assert Counter((r["doc_id"], r["edited_sha256"]) for r in _pairs(ranged, per).collect()) == texts
+    assert fingerprint.with_next(ranged, "doc_id", "text", 4).where("spare = 0").groupBy("b").count().agg(F.max("count")).first()[0] < 60  # keys that many rows share are split
     twice = spark.createDataFrame([(1, "a" * 50), (1, "a" * 50), (None, "b" * 50)], "doc_id bigint, text string")
     assert fingerprint.edited_pairs(twice).count() == 3
     assert fingerprint.edited_pairs(d.limit(0)).count() == 0
-    assert fingerprint.fingerprints(d, ["doc_id"]).count() == len(rows)
+    clash = fingerprint.fingerprints(d.withColumn("fingerprint", F.lit("mine")), ["doc_id", "fingerprint"])
+    assert clash.columns == ["doc_id", "fingerprint", "fingerprint_", "n_chunks"] and {r["fingerprint"] for r in clash.collect()} == {"mine"} and clash.count() == len(rows)
 
 
 def _pairs(d, per):
@@ -405,12 +415,59 @@ def test_features(spark):
     n, payload = audio.text_payload(t)
     assert got[1]["payload_sha256"] == hashlib.sha256(payload).hexdigest() and got[1]["tail_crc32"] == zlib.crc32(payload[-64:]) and got[1]["n_bytes"] == n
     assert got[1]["media_sha256"] == hashlib.sha256(bytes(got[1]["media"])).hexdigest()
+    assert all(r["feature"] == audio.clip_summary(bytes(r["media"])) for r in got.values())  # what was stored and read back is what was computed
     tensors = audio.tensor_array([s["tensor"] for s in got[1]["segments"]])
     assert tensors.type.shape == [audio.POOL, audio.MELS] and len(tensors) == len(got[1]["segments"])
     assert all(s["start_ms"] < s["end_ms"] for s in got[1]["segments"])
     assert audio.features(d.limit(0), ["doc_id"]).count() == 0
 
 
+def test_tensors_are_stored_as_arrow_tensors(spark):
+    d = spark.createDataFrame([(i, "".join(chr(40 + (i * j * j) % 80) for j in range(900 * i))) for i in range(6)], "doc_id bigint, text string")
+    media = audio.store_media(d.select(F.struct("doc_id").alias("kept"), "text"), "text")
+    rows = audio.store_tensors(media, False).collect()
+    segments = [audio.unpacked(bytes(r["segments"])) for r in rows]
+    assert all(s.column("tensor").type == pa.fixed_shape_tensor(pa.float16(), [audio.POOL, audio.MELS]) for s in segments)
+    assert sum(s.num_rows for s in segments) == sum(sum(audio.unpacked(bytes(r["clips"])).column("segments").to_pylist()) for r in rows) >= 6
+    assert sorted(k["doc_id"] for r in rows for k in r["kept"]) == list(range(6))
+    clash = audio.features(d.withColumn("feature", F.lit("mine")), ["doc_id", "feature"], with_media=False)
+    assert clash.columns[:2] == ["doc_id", "feature"] and clash.columns[-1] == "feature_" and {r["feature"] for r in clash.collect()} == {"mine"}
+
+
+def test_log_mel_and_pooling_by_definition():
+    """Frames, Fourier sums, triangles in mels and means of parts, written out as sums."""
+    rng = np.random.default_rng(3)
+    y = rng.standard_normal(audio.FRAME + 7 * audio.HOP - 30).astype(np.float32)
+    mels, energy = audio.log_mel(y)
+    padded, bins = np.concatenate((y, np.zeros(30))), audio.FFT // 2 + 1
+    assert len(mels) == len(energy) == 8
+    to_mel = lambda f: 2595 * math.log10(1 + f / 700)
+    low, high = to_mel(20.0), to_mel(audio.TARGET / 2)
+    edge = [700 * (10 ** ((low + (high - low) * i / (audio.MELS + 1)) / 2595) - 1) for i in range(audio.MELS + 2)]
+    for k in range(8):
+        x = padded[k * audio.HOP : k * audio.HOP + audio.FRAME]
+        assert abs(energy[k] - 10 * math.log10(sum(v * v for v in x) / audio.FRAME + 1e-10)) < 1e-3
+        w = [x[n] * (0.5 - 0.5 * math.cos(2 * math.pi * n / audio.FRAME)) for n in range(audio.FRAME)]
+        power = [abs(sum(w[n] * complex(math.cos(2 * math.pi * f * n / audio.FFT), -math.sin(2 * math.pi * f * n / audio.FFT)) for n in range(audio.FRAME))) ** 2 for f in range(bins)]
+        for m in range(audio.MELS):
+            total = 0.0
+            for f in range(bins):
+                hz = f * audio.TARGET / audio.FFT
+                total += power[f] * max(0.0, min((hz - edge[m]) / (edge[m + 1] - edge[m]), (edge[m + 2] - hz) / (edge[m + 2] - edge[m + 1])))
+            assert abs(mels[k, m] - math.log10(total + 1e-10)) < 1e-3
+    media = audio.write_wav(bytes(rng.integers(0, 256, 6400).astype(np.uint8)))
+    f = audio.clip_features(media)
+    x = (np.frombuffer(audio.read_wav(media)[1], np.uint8).astype(np.float32) - 128) / 128
+    mels, energy = audio.log_mel(audio.resample(x, 1, 2, audio.polyphase(1, 2)))
+    assert np.allclose(f["mean"], mels.mean(axis=0), atol=1e-3) and f["frames"] == len(mels)
+    for s, (a, b) in zip(f["segments"], audio.segments(energy)):
+        assert s["start_ms"] == a * 10 and s["end_ms"] == (b - 1) * 10 + 25
+        for p in range(audio.POOL):
+            lo, hi = a + (b - a) * p // audio.POOL, a + (b - a) * (p + 1) // audio.POOL
+            own = mels[lo : max(hi, lo + 1)].mean(axis=0)
+            assert np.allclose(s["tensor"].reshape(audio.POOL, audio.MELS)[p], own, atol=1e-3)
+
+
 # --- mixing
 
 
@@ -496,5 +553,5 @@ def test_last_samples_are_in_a_frame():
         payload = rng.integers(0, 256, n).astype(np.uint8)
         changed = payload.copy()
         changed[-40:] = 255 - changed[-40:]
-        one, two = (audio.summary(audio.clip_features(audio.write_wav(x.tobytes()))) for x in (payload, changed))
+        one, two = (audio.clip_summary(audio.write_wav(x.tobytes())) for x in (payload, changed))
         assert one != two
