@@ -1,14 +1,15 @@
-"""Rule extraction of typed concepts from lines with sections (E1-E8), as filters, projections and one explode.
+"""Rule extraction of typed concepts from lines with sections (E1-E8), in one pass.
 
-Concept rows are doc_id, ord, text, type, start, end, assertions, candidates; every one satisfies
-substring(raw, start, end) = text.
+Every line is in at most one branch: symptoms and diagnoses, drugs, or labs.  The branch decides how the line is cut, split
+and trimmed within the same projections, so the lines are made and matched once whatever is extracted.  Concept rows are
+doc_id, ord, text, type, start, end, assertions, candidates; every one satisfies substring(raw, start, end) = text.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.config import DRUG, DRUG_INDICATIONS, DRUG_LEAD_INS, LAB_NAME, LAB_RESULT, SECTION_TYPE, Settings
+from ..functions.config import DIAGNOSIS, DRUG, DRUG_INDICATIONS, DRUG_LEAD_INS, LAB_NAME, LAB_RESULT, SECTION_TYPE, SYMPTOM, Settings
 from ..functions.text import NUMBER, WS, bind, lookup, n_words, strip, trimmed
 from .context import assertions, leading_negation
 from .sections import BULLET, header_of, line_table, with_sections
@@ -23,90 +24,77 @@ def _size(c: Column, pattern: str) -> Column:
     return F.length(F.regexp_extract(c, pattern, 0))
 
 
-def parts(rows: DataFrame, separator: str) -> DataFrame:
-    """Pieces of ``content`` (begins at ``at``) between separators; adds part_no, part, part_start.
+def data_lines(placed: DataFrame) -> DataFrame:
+    """Lines of typed sections and of lab sections (``lab``), each with content, at (its offset) and split."""
+    line, kind = F.col("line"), F.col("kind")
+    keep = [c for c in placed.columns if c not in ("kind", "header", "canonical")]
+    bullet = line.rlike(BULLET)
+    listed = kind.isNull() & bullet
+    lab = (F.col("section") == "LAB") & (kind.isNull() | (kind == "colon"))
+    rows = bind(placed.where(strip(line) != ""), type=lookup(F.col("section"), SECTION_TYPE), lab=lab).where("lab or type is not null")
+
+    cut = F.when(kind == "colon", _size(line, rf"(?U)^[^:]*:{WS}*")).when(listed, _size(line, BULLET)).when(kind.isNull() & line.rlike(_LABELLED), _size(line, _LABELLED))
+    head = F.when(bullet, _size(line, BULLET)).otherwise(0)
+    body = F.substring(line, head + 1, F.length(line))
+    inner = F.when(strip(body) != "", head + F.when(kind == "colon", _size(body, _LABELLED)).otherwise(0))
+    rows = bind(rows, _c=F.when(F.col("lab"), inner).otherwise(cut))
+    rows = rows.where((F.col("_c") < F.length(line)) | (~F.col("lab") & listed))
+    return rows.select(*keep, "type", "lab", F.substring(line, F.col("_c") + 1, F.length(line)).alias("content"), (F.col("line_start") + F.col("_c")).alias("at"), (~listed).alias("split"))
+
+
+def parts(rows: DataFrame, pieces: Column) -> DataFrame:
+    """The pieces of ``content`` (begins at ``at``), which one character separates; adds part_no, part, part_start.
 
     Offsets come from a window within the line; its partitioning is the document's, so nothing is shuffled.
     """
-    split = rows.select("*", F.posexplode(F.split("content", separator, -1)).alias("part_no", "part"))
+    split = rows.select("*", F.posexplode(pieces).alias("part_no", "part"))
     before = Window.partitionBy("doc_id", "line_no").orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
     return split.withColumn("part_start", (F.col("at") + F.coalesce(F.sum(F.length("part") + 1).over(before), F.lit(0))).cast("int"))
 
 
-def _concepts(rows: DataFrame, text: Column, kind: Column, start: Column, marks: Column, sub: Column) -> DataFrame:
+def extract_placed(placed: DataFrame, settings: Settings = Settings(), types: list[str] | None = None) -> DataFrame:
+    """E4, E5, E6 and E8 from lines with sections; of ``types`` only, if given."""
+    t, s, lab, kind = F.col("_t"), F.col("_s"), F.col("lab"), F.col("type")
+    rows = data_lines(placed)
+    if types is not None:
+        rows = rows.where(kind.isin(types) | (lab & F.lit(bool({LAB_NAME, LAB_RESULT} & set(types)))))
+    spoken, drug = kind.isin(SYMPTOM, DIAGNOSIS), F.coalesce(kind == DRUG, F.lit(False))
+    pieces = F.when(lab, F.split("content", ";", -1)).when(F.col("split") & ~drug, F.split("content", "[,;]", -1)).otherwise(F.array("content"))
+    text, start = trimmed(F.col("part"), F.col("part_start"))
+    rows = bind(parts(rows, pieces), _t=text, _s=start).where((t != "") & (~lab | t.rlike(NUMBER)))
+
+    # What stands before a colon, without a leading negation
+    before = F.when(spoken, F.regexp_replace(t, "(?s):.*$", "")).otherwise(t)
+    rows = bind(rows, _t=before, _n=F.when(spoken, leading_negation(before, settings)).otherwise(0))
+    text, start = trimmed(F.substring(t, F.col("_n") + 1, F.length(t)), s + F.col("_n"))
+    rows = bind(rows, _t=F.when(spoken, text).otherwise(t), _s=F.when(spoken, start).otherwise(s))
+    # E5: one concept a line, without lead-in, indication and trailing bracket
+    for pattern in (_LEAD_IN, _INDICATION, _BRACKET):
+        text, start = trimmed(F.regexp_replace(t, pattern, ""), s + (_size(t, _LEAD_IN) if pattern is _LEAD_IN else F.lit(0)))
+        hit = drug & t.rlike(pattern)
+        rows = bind(rows, _t=F.when(hit, text).otherwise(t), _s=F.when(hit, start).otherwise(s))
+    # The name before the first number, the result from there; parts without a number were left out
+    at = F.when(lab, F.length(F.regexp_extract(t, rf"(?s)^(.*?){NUMBER}", 1))).otherwise(0)
+    name, name_start = trimmed(F.substring(t, F.lit(1), F.col("_at")), s)
+    value, value_start = trimmed(F.substring(t, F.col("_at") + 1, F.length(t)), s + F.col("_at"))
+    one = lambda i, text, start, kind: F.struct(F.lit(i).alias("sub"), text.alias("t"), start.alias("s"), kind.alias("k"))
+    both = F.array(one(0, name, name_start, F.lit(LAB_NAME)), one(1, value, value_start, F.lit(LAB_RESULT)))
+    rows = bind(rows.withColumn("_at", at), _c=F.when(lab, both).otherwise(F.array(one(0, t, s, kind))))
+    fits = (t != "") & (F.length(t) <= settings.max_len)
+    fits_drug = fits & (n_words(t) <= settings.max_words_drug) & t.rlike(f"[A-Za-z]{{{settings.drug_min_ascii},}}")
+    head = F.get("_c", 0)["t"]
+    rows = rows.where(F.when(lab, (head != "") & (F.length(head) <= 60)).when(drug, fits_drug).otherwise(fits & (n_words(t) <= settings.max_words_symptom)))
+    rows = rows.withColumn("_c", F.explode("_c")).where("_c.t <> ''")
+    if types is not None:
+        rows = rows.where(F.col("_c.k").isin(types))
+    text, start = F.col("_c.t"), F.col("_c.s")
+    marks = assertions(F.col("_c.k"), F.col("line"), start - F.col("line_start"), F.col("section"), F.col("section_header"), F.col("doc_section"), F.col("_n") > 0, settings)
     return rows.select(
-        "doc_id", F.struct("line_no", "part_no", sub.alias("sub")).alias("ord"), text.alias("text"), kind.alias("type"), start.cast("int").alias("start"),
+        "doc_id", F.struct("line_no", "part_no", "_c.sub").alias("ord"), text.alias("text"), F.col("_c.k").alias("type"), start.cast("int").alias("start"),
         (start + F.length(text)).cast("int").alias("end"), marks.alias("assertions"), F.array().cast("array<string>").alias("candidates"),
     )
 
 
-def symptom_diagnosis(data: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """E4 over data lines (content, at, split, type, line, line_start, section columns)."""
-    whole = data.where("not split").withColumn("part_no", F.lit(0)).withColumn("part", F.col("content")).withColumn("part_start", F.col("at"))
-    rows = parts(data.where("split"), "[,;]").unionByName(whole)
-    text, start = trimmed(F.col("part"), F.col("part_start"))
-    rows = bind(rows, _t=text, _s=start).where("_t <> ''")
-    before = F.regexp_replace("_t", "(?s):.*$", "")  # what stands before a colon
-    rows = bind(rows, _t=before, _n=leading_negation(before, settings))
-    text, start = trimmed(F.substring(F.col("_t"), F.col("_n") + 1, F.length("_t")), F.col("_s") + F.col("_n"))
-    rows = bind(rows, _t=text, _s=start)
-    rows = rows.where((F.col("_t") != "") & (F.length("_t") <= settings.max_len) & (n_words(F.col("_t")) <= settings.max_words_symptom))
-    marks = assertions(F.col("type"), F.col("line"), F.col("_s") - F.col("line_start"), F.col("section"), F.col("section_header"), F.col("doc_section"), F.col("_n") > 0, settings)
-    return _concepts(rows, F.col("_t"), F.col("type"), F.col("_s"), marks, F.lit(0))
-
-
-def drugs(data: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """E5 over data lines of drug sections: one concept a line."""
-    text, start = trimmed(F.col("content"), F.col("at"))
-    rows = bind(data.withColumn("part_no", F.lit(0)), _t=text, _s=start).where("_t <> ''")
-    for pattern in (_LEAD_IN, _INDICATION, _BRACKET):
-        cut = _size(F.col("_t"), _LEAD_IN) if pattern is _LEAD_IN else F.lit(0)
-        text, start = trimmed(F.regexp_replace("_t", pattern, ""), F.col("_s") + cut)
-        hit = F.col("_t").rlike(pattern)
-        rows = bind(rows, _t=F.when(hit, text).otherwise(F.col("_t")), _s=F.when(hit, start).otherwise(F.col("_s")))
-    rows = rows.where((F.col("_t") != "") & (F.length("_t") <= settings.max_len) & (n_words(F.col("_t")) <= settings.max_words_drug) & F.col("_t").rlike(f"[A-Za-z]{{{settings.drug_min_ascii},}}"))
-    marks = assertions(F.lit(DRUG), F.col("line"), F.col("_s") - F.col("line_start"), F.col("section"), F.col("section_header"), F.col("doc_section"), settings=settings)
-    return _concepts(rows, F.col("_t"), F.lit(DRUG), F.col("_s"), marks, F.lit(0))
-
-
-def labs(data: DataFrame) -> DataFrame:
-    """E6 over lab contents: name before the first number, result from there; parts without a number give nothing."""
-    rows = parts(data, ";")
-    text, start = trimmed(F.col("part"), F.col("part_start"))
-    rows = bind(rows, _t=text, _s=start)
-    rows = rows.where(F.col("_t").rlike(NUMBER)).withColumn("_at", F.length(F.regexp_extract("_t", rf"(?s)^(.*?){NUMBER}", 1)))
-    name, name_start = trimmed(F.substring(F.col("_t"), F.lit(1), F.col("_at")), F.col("_s"))
-    value, value_start = trimmed(F.substring(F.col("_t"), F.col("_at") + 1, F.length("_t")), F.col("_s") + F.col("_at"))
-    rows = bind(rows, _n=name, _ns=name_start, _v=value, _vs=value_start).where("_n <> '' and length(_n) <= 60")
-    both = F.array(F.struct(F.lit(0).alias("sub"), F.col("_n").alias("t"), F.col("_ns").alias("s"), F.lit(LAB_NAME).alias("k")), F.struct(F.lit(1).alias("sub"), F.col("_v").alias("t"), F.col("_vs").alias("s"), F.lit(LAB_RESULT).alias("k")))
-    rows = rows.withColumn("_c", F.explode(both)).where("_c.t <> ''")
-    return _concepts(rows, F.col("_c.t"), F.col("_c.k"), F.col("_c.s"), F.array().cast("array<string>"), F.col("_c.sub"))
-
-
-def data_lines(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lines of typed sections, lines of lab sections), each with content, at (its offset) and split."""
-    line, kind = F.col("line"), F.col("kind")
-    rows = placed.where(strip(line) != "")
-    keep = [c for c in placed.columns if c not in ("kind", "header", "canonical")]
-
-    bullet = line.rlike(BULLET)
-    cut = F.when(kind == "colon", _size(line, rf"(?U)^[^:]*:{WS}*")).when(kind.isNull() & bullet, _size(line, BULLET)).when(kind.isNull() & line.rlike(_LABELLED), _size(line, _LABELLED))
-    typed = bind(rows.withColumn("type", lookup(F.col("section"), SECTION_TYPE)).where("type is not null"), _c=cut)
-    typed = typed.where((F.col("_c") < F.length(line)) | (kind.isNull() & bullet)).select(*keep, "type", F.substring(line, F.col("_c") + 1, F.length(line)).alias("content"), (F.col("line_start") + F.col("_c")).alias("at"), (~(kind.isNull() & bullet)).alias("split"))
-
-    head = F.when(bullet, _size(line, BULLET)).otherwise(0)
-    body = F.substring(line, head + 1, F.length(line))
-    inner = head + F.when(kind == "colon", _size(body, _LABELLED)).otherwise(0)
-    lab = rows.where("section = 'LAB' and (kind is null or kind = 'colon')").transform(bind, _c=inner).where((F.col("_c") < F.length(line)) & (strip(body) != ""))
-    return typed, lab.select(*keep, F.substring(line, F.col("_c") + 1, F.length(line)).alias("content"), (F.col("line_start") + F.col("_c")).alias("at"))
-
-
-def extract_placed(placed: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """E8 from lines with sections."""
-    typed, lab = data_lines(placed)
-    return symptom_diagnosis(typed.where(F.col("type") != DRUG), settings).unionByName(drugs(typed.where(F.col("type") == DRUG), settings)).unionByName(labs(lab))
-
-
 def extract(docs: DataFrame, settings: Settings = Settings(), fuzzy: bool = True) -> DataFrame:
     """All concepts of documents (doc_id, raw), in document order within ``ord``."""
     return extract_placed(with_sections(header_of(line_table(docs), settings, fuzzy)), settings)

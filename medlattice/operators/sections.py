@@ -18,22 +18,26 @@ from ..functions.fuzzy import ratio
 from ..functions.text import LINE_BREAK, WS, bind, lookup, normalize, strip
 
 
-def line_table(docs: DataFrame, pattern: str = LINE_BREAK) -> DataFrame:
-    """doc_id, line_no, line_start, line (without its break); empty trailing piece dropped."""
+def line_table(docs: DataFrame, pattern: str = LINE_BREAK, whole: bool = False) -> DataFrame:
+    """doc_id, line_no, line_start, line (without its break); empty trailing piece dropped.
+
+    ``whole`` adds size, the document's length, and keeps the one empty line of an empty document.
+    """
     pieces = F.split("raw", pattern, -1)
     breaks = F.regexp_extract_all("raw", F.lit(pattern), F.lit(0))
-    both = docs.select("doc_id", F.posexplode(F.arrays_zip(pieces.alias("line"), breaks.alias("brk"))).alias("line_no", "x"))
+    more = [F.length("raw").alias("size")] if whole else []
+    both = docs.select("doc_id", *more, F.posexplode(F.arrays_zip(pieces.alias("line"), breaks.alias("brk"))).alias("line_no", "x"))
     before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     size = F.length("x.line") + F.coalesce(F.length("x.brk"), F.lit(0))
-    rows = both.select("doc_id", "line_no", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("int").alias("line_start"), F.col("x.line").alias("line"), F.col("x.brk").isNull().alias("last"))
-    return rows.where("not (last and line = '')").drop("last")
+    rows = both.select("doc_id", "line_no", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("int").alias("line_start"), F.col("x.line").alias("line"), F.col("x.brk").isNull().alias("last"), *["size"] * whole)
+    return rows.where("not (last and line = '')" + " or line_no = 0" * whole).drop("last")
 
 
 def newline_spans(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, start, end of lines that end at line feeds only, the feed included."""
-    lines = line_table(docs, "\n")
     nxt = F.lead("line_start").over(Window.partitionBy("doc_id").orderBy("line_no"))
-    return lines.join(docs.select("doc_id", F.length("raw").alias("n")), "doc_id").select("doc_id", "line_no", F.col("line_start").alias("start"), F.coalesce(nxt, F.col("n")).cast("int").alias("end"))
+    lines = line_table(docs, "\n", whole=True)
+    return lines.select("doc_id", "line_no", F.col("line_start").alias("start"), F.coalesce(nxt, F.col("size")).cast("int").alias("end"), "size").where("size > 0").drop("size")
 
 
 # --- G1: canonical section of a header text
@@ -145,14 +149,16 @@ def with_sections(headed: DataFrame) -> DataFrame:
 
 def segment(docs: DataFrame, settings: Settings = Settings(), fuzzy: bool = True) -> DataFrame:
     """doc_id, canonical, char_start, char_end, header_text, doc_section; contiguous, covering each document."""
-    placed = with_sections(header_of(line_table(docs), settings, fuzzy))
-    opening = placed.where("kind is not null").select("doc_id", F.col("line_start").alias("char_start"), F.col("section").alias("canonical"), F.col("section_header").alias("header_text"), "doc_section")
-    lengths = docs.select("doc_id", F.length("raw").alias("n"))
-    first = lengths.select("doc_id", F.lit(-1).alias("char_start"), F.lit(OTHER).alias("canonical"), F.lit("").alias("header_text"), F.when(F.col("n") > 0, OTHER).otherwise("").alias("doc_section"))
+    placed = with_sections(header_of(line_table(docs, whole=True), settings, fuzzy))
+    fields = lambda *c: F.struct(*[x.alias(n) for n, x in zip(("char_start", "canonical", "header_text", "doc_section"), c)])
+    first = fields(F.lit(-1), F.lit(OTHER), F.lit(""), F.when(F.col("size") > 0, OTHER).otherwise(""))  # what stands before any header
+    opening = fields(F.col("line_start"), F.col("section"), F.col("section_header"), F.col("doc_section"))
+    begin, opens = F.col("line_no") == 0, F.col("kind").isNotNull()
+    here = F.when(begin & opens, F.array(first, opening)).when(begin, F.array(first)).otherwise(F.array(opening))
     w = Window.partitionBy("doc_id").orderBy("char_start")
-    spans = opening.unionByName(first).join(lengths, "doc_id").withColumn("char_end", F.coalesce(F.lead("char_start").over(w), F.col("n")).cast("int"))
-    spans = spans.withColumn("char_start", F.greatest(F.col("char_start"), F.lit(0)))
-    return spans.where("char_end > char_start or n = 0").select("doc_id", "canonical", "char_start", "char_end", "header_text", "doc_section")
+    spans = placed.where(begin | opens).select("doc_id", "size", F.explode(here).alias("s")).select("doc_id", "size", "s.*")
+    spans = spans.withColumn("char_end", F.coalesce(F.lead("char_start").over(w), F.col("size")).cast("int")).withColumn("char_start", F.greatest("char_start", F.lit(0)))
+    return spans.where("char_end > char_start or size = 0").select("doc_id", "canonical", "char_start", "char_end", "header_text", "doc_section")
 
 
 def section_at(points: DataFrame, spans: DataFrame, pos: str = "pos") -> DataFrame:

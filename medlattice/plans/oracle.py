@@ -61,15 +61,15 @@ cand as (select *, case when regexp_matches(line, '^\\s*\\d+\\s*[.)]\\s*.+') the
     when regexp_matches(regexp_replace(line, '^\\s*[-*•]\\s*', ''), '^\\s*[^:\\n]{{3,60}}?\\s*:') then 'colon' else 'bare' end as k,
   regexp_replace(line, '^\\s*[-*•]\\s*', '') as body from lines),
 cand2 as (select *, trim(case when k = 'num' then regexp_extract(line, '^\\s*\\d+\\s*[.)]\\s*(.+?)\\s*$', 1) when k = 'colon' then regexp_extract(body, '^\\s*([^:\\n]{{3,60}}?)\\s*:', 1) else trim(body) end) as header_ from cand),
-hs as (select distinct header_ from cand2 where length(header_) between 1 and 90),
-scored as (select header_, p, canon, ord, {norm('header_')} as h from hs, patterns),
-best as (select header_, arg_min(canon, (ord)) filter (h = p) as exact_, arg_min(canon, {{'l': -length(p), 'o': ord}}) filter (contains(h, p)) as sub_, max(length(p)) filter (contains(h, p)) as sublen, any_value(length(h)) as hl from scored group by header_),
+hs as materialized (select header_, {norm('header_')} as h from (select distinct header_ from cand2 where length(header_) between 1 and 90)),
+scored as (select header_, p, canon, ord, h from hs, patterns),
+best as materialized (select header_, arg_min(canon, (ord)) filter (h = p) as exact_, arg_min(canon, {{'l': -length(p), 'o': ord}}) filter (contains(h, p)) as sub_, max(length(p)) filter (contains(h, p)) as sublen, any_value(length(h)) as hl from scored group by header_),
 canon_ as (select header_, coalesce(exact_, sub_) as c, case when exact_ is not null then 1.0 when sublen >= 0.6 * hl then 0.99 when sub_ is not null then 0.6 end as conf from best),
 headed as (select l.doc_id, l.line_no, l.line_start, l.line, case when k = 'num' or (k = 'colon' and c is not null) or (c is not null and conf >= 0.95) then k end as kind,
     case when k = 'num' or (k = 'colon' and c is not null) or (c is not null and conf >= 0.95) then l.header_ end as header,
     case when k = 'num' then coalesce(c, 'OTHER') when k = 'colon' then c when conf >= 0.95 then c end as canonical
   from cand2 l left join canon_ on l.header_ = canon_.header_),
-placed as (select *, coalesce(last_value(canonical ignore nulls) over w, 'OTHER') as section, coalesce(last_value(header ignore nulls) over w, '') as section_header,
+placed as materialized (select *, coalesce(last_value(canonical ignore nulls) over w, 'OTHER') as section, coalesce(last_value(header ignore nulls) over w, '') as section_header,
     coalesce(last_value(case when kind = 'num' then canonical end ignore nulls) over w, 'OTHER') as doc_section
   from headed window w as (partition by doc_id order by line_no rows between unbounded preceding and current row))"""
 
@@ -106,7 +106,7 @@ typed as (select *, case section when 'SYMPTOM' then 'TRIỆU_CHỨNG' when 'DIA
   where section in ('SYMPTOM', 'DIAGNOSIS', 'DRUG') and trim(line) <> ''),
 cut as (select *, case when kind = 'colon' then length(regexp_extract(line, '^[^:]*:\\s*')) when kind is null and bullet then length(regexp_extract(line, '^\\s*[-*•]\\s*'))
     when kind is null and regexp_matches(line, '^\\s*[^:\\n]{{3,60}}?\\s*:') then length(regexp_extract(line, '^\\s*[^:\\n]{{3,60}}?\\s*:\\s*')) end as c from typed),
-data as (select {cols}, type, substr(line, cast(c as int) + 1) as content, line_start + c as at_, not (kind is null and bullet) as split from cut where c < length(line) or (kind is null and bullet)),
+data as materialized (select {cols}, type, substr(line, cast(c as int) + 1) as content, line_start + c as at_, not (kind is null and bullet) as split from cut where c < length(line) or (kind is null and bullet)),
 split1 as (select {cols}, type, at_, unnest(generate_series(1, len(string_split_regex(content, '[,;]')))) as i, unnest(string_split_regex(content, '[,;]')) as part from data where split and type <> 'THUỐC'),
 parts as (select {cols}, type, part, cast(at_ + coalesce(sum(length(part) + 1) over (partition by doc_id, line_no order by i rows between unbounded preceding and 1 preceding), 0) as bigint) as s from split1
   union all select {cols}, type, content, at_ from data where not split and type <> 'THUỐC'),

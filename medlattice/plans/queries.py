@@ -164,34 +164,31 @@ def cover_check(spark, sf_dir):
 
 # --- extraction and context
 
-_CONCEPTS = "select doc_id, text, type, start, end_, assertions from concepts"
+_CONCEPTS = "select doc_id, text, type, start, end_, assertions from "
 
 
 def _flat(c: DataFrame) -> DataFrame:
     return c.select("doc_id", "text", "type", "start", F.col("end").alias("end_"), joined("assertions").alias("assertions"))
 
 
-@query(o.with_notes(o.lines_sql("notes"), o.extract_sql(), select=_CONCEPTS))
+@query(o.with_notes(o.lines_sql("notes"), o.extract_sql(), select=_CONCEPTS + "concepts"))
 def extract_all(spark, sf_dir):
     return _flat(extract.extract(notes(spark, sf_dir)))
 
 
-@query(o.with_notes(o.lines_sql("notes"), o.extract_sql(), select=_CONCEPTS + " where type in ('TRIỆU_CHỨNG', 'CHẨN_ĐOÁN')"))
+@query(o.with_notes(o.lines_sql("notes"), o.extract_sql(), select=_CONCEPTS + "sd"))
 def extract_symptom_diagnosis(spark, sf_dir):
-    typed, _ = extract.data_lines(_placed(spark, sf_dir))
-    return _flat(extract.symptom_diagnosis(typed.where(F.col("type") != "THUỐC")))
+    return _flat(extract.extract_placed(_placed(spark, sf_dir), types=["TRIỆU_CHỨNG", "CHẨN_ĐOÁN"]))
 
 
-@query(o.with_notes(o.lines_sql("notes"), o.extract_sql(), select=_CONCEPTS + " where type = 'THUỐC'"))
+@query(o.with_notes(o.lines_sql("notes"), o.extract_sql(), select=_CONCEPTS + "dr"))
 def extract_drug(spark, sf_dir):
-    typed, _ = extract.data_lines(_placed(spark, sf_dir))
-    return _flat(extract.drugs(typed.where(F.col("type") == "THUỐC")))
+    return _flat(extract.extract_placed(_placed(spark, sf_dir), types=["THUỐC"]))
 
 
-@query(o.with_notes(o.lines_sql("notes"), o.extract_sql(), select=_CONCEPTS + " where type in ('TÊN_XÉT_NGHIỆM', 'KẾT_QUẢ_XÉT_NGHIỆM')"))
+@query(o.with_notes(o.lines_sql("notes"), o.extract_sql(), select=_CONCEPTS + "lab"))
 def extract_lab(spark, sf_dir):
-    _, lab = extract.data_lines(_placed(spark, sf_dir))
-    return _flat(extract.labs(lab))
+    return _flat(extract.extract_placed(_placed(spark, sf_dir), types=["TÊN_XÉT_NGHIỆM", "KẾT_QUẢ_XÉT_NGHIỆM"]))
 
 
 def _placed(spark, sf_dir) -> DataFrame:
