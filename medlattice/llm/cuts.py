@@ -11,17 +11,24 @@ from pyspark.sql import functions as F
 
 from .shared import drop_shared, shared_table
 
-BINS = 4096
+BINS = 1 << 14
+#: Rows of one file of a table that has a row a group.
+_GROUPS = 100_000
 
 
-def weighted_cuts(rows: DataFrame, goals: DataFrame, span: int) -> DataFrame:
+def per_group(df: DataFrame, groups: int, name: str) -> DataFrame:
+    """A written table of one row a group, in as few files as that number asks for."""
+    return shared_table(df.repartition(1 + groups // _GROUPS), name)
+
+
+def weighted_cuts(rows: DataFrame, goals: DataFrame, span: int, groups: int) -> DataFrame:
     """(node, cut) for each row of ``goals`` (node, lo, hi, need): rows (node, v, w) with v < cut weigh about ``need``.
 
-    v, lo and hi are integers with lo <= v < hi and hi - lo <= ``span``.  The rows of the value that the goal falls into go
+    v, lo and hi are integers with lo <= v < hi and hi - lo <= ``span``; ``goals`` has at most ``groups`` rows.  The rows of the value that the goal falls into go
     to the side that needs them more; where all rows weigh less than the goal the cut is hi.
     """
     width = F.ceil((F.col("hi") - F.col("lo")) / F.lit(BINS)).cast("bigint")
-    open_ = shared_table(goals.select("node", F.col("lo").cast("bigint").alias("lo"), F.col("hi").cast("bigint").alias("hi"), F.col("need").cast("double").alias("need"), F.lit(0.0).alias("last")), "cuts-goals")
+    open_ = per_group(goals.select("node", F.col("lo").cast("bigint").alias("lo"), F.col("hi").cast("bigint").alias("hi"), F.col("need").cast("double").alias("need"), F.lit(0.0).alias("last")), groups, "cuts-goals")
     while span > 0:
         step = open_.withColumn("step", F.greatest(width, F.lit(1).cast("bigint")))
         held = rows.join(step, "node").where("v >= lo and v < hi")
@@ -35,7 +42,7 @@ def weighted_cuts(rows: DataFrame, goals: DataFrame, span: int) -> DataFrame:
             "node", F.when(none, F.col("hi")).otherwise(lo).alias("lo"), F.when(none, F.col("hi")).otherwise(F.least(F.col("hi"), lo + F.col("step"))).alias("hi"),
             F.when(none, 0.0).otherwise(F.col("need") - (F.col("h.upto") - F.col("h.w"))).alias("need"), F.when(none, 0.0).otherwise(F.col("h.w")).alias("last"),
         )
-        before, open_ = open_, shared_table(narrowed, "cuts-goals")
+        before, open_ = open_, per_group(narrowed, groups, "cuts-goals")
         drop_shared(before)
         span = -(-span // BINS) if span > 1 else 0
         if span == 1:

@@ -111,7 +111,7 @@ def mix(docs: DataFrame, key: str = "doc_id", **target) -> DataFrame:
     cut = spark.createDataFrame([], "node string, cut bigint")
     if goals:
         places = planned.select(F.col("s").alias("node"), _order(F.col("s"), F.col("block"), last).alias("v"), F.col("tokens").alias("w"))
-        cut = weighted_cuts(places, spark.createDataFrame(goals, "node string, lo bigint, hi bigint, need double"), PLACES)
+        cut = weighted_cuts(places, spark.createDataFrame(goals, "node string, lo bigint, hi bigint, need double"), PLACES, len(goals))
     turns = F.explode(F.sequence(F.lit(0), last)).alias("turn")
     cell = F.floor(F.col("at") / F.ceil(F.lit(PLACES) / F.col("cells"))).cast("int")
     laid = planned.select("s", "block", "tokens", "cells", turns).withColumn("at", _order(F.col("s"), F.col("block"), F.col("turn")))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cuts import weighted_cuts
+from .cuts import per_group, weighted_cuts
 from .shared import drop_shared, shared_table
 
 #: Positions along a dimension, and of the hash that orders equal values.
@@ -87,14 +87,14 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     if shards is None:
         shards = max(1, round(whole["bytes"] / target_bytes))
     rows = rows.withColumn("leaves", F.lit(shards))  # a node's first shard is its name; its leaves are the shards from there on
-    for _ in range((shards - 1).bit_length() if whole["rows"] else 0):
-        rows = split_level(rows)
+    for level in range((shards - 1).bit_length() if whole["rows"] else 0):
+        rows = split_level(rows, 1 << level)
     placed = rows.select("doc_id", "size", "text_crc32", F.col("node").alias("shard"))
     return _slots(placed, whole["rows"], shards)
 
 
-def split_level(rows: DataFrame) -> DataFrame:
-    """Every node of several leaves cut in two: the slim table with the children's node and leaves."""
+def split_level(rows: DataFrame, nodes: int) -> DataFrame:
+    """Every node of several leaves, of at most ``nodes``, cut in two: the slim table with the children's node and leaves."""
     names = [f"p{i}" for i in range(len(DIMS))]
     ends = lambda f: F.array(*[f(n) for n in names])
     boxes = rows.where("leaves > 1").groupBy("node").agg(F.first("leaves").alias("leaves"), F.sum("size").alias("w"), ends(F.min).alias("low"), ends(F.max).alias("high"))
@@ -102,10 +102,10 @@ def split_level(rows: DataFrame) -> DataFrame:
     dim = -F.array_max(width)["neg"]  # ties go to the first dimension
     at = lambda c: F.get(F.col(c), F.col("dim")).cast("bigint") * SPAN
     need = F.col("w") * F.expr("leaves div 2") / F.col("leaves")
-    goals = shared_table(boxes.withColumn("dim", dim.cast("int")).select("node", "dim", at("low").alias("lo"), (at("high") + SPAN).alias("hi"), need.alias("need")), "shard-goals")
+    goals = per_group(boxes.withColumn("dim", dim.cast("int")).select("node", "dim", at("low").alias("lo"), (at("high") + SPAN).alias("hi"), need.alias("need")), nodes, "shard-goals")
     v = F.get(F.array(*names), F.col("dim")).cast("bigint") * SPAN + F.col("tie")
     along = rows.select("node", "size", *names, "tie").join(goals.select("node", "dim"), "node").select("node", v.alias("v"), F.col("size").alias("w"))
-    cuts = shared_table(weighted_cuts(along, goals, SPAN * SPAN).join(goals.select("node", "dim"), "node"), "shard-cuts")
+    cuts = per_group(weighted_cuts(along, goals, SPAN * SPAN, nodes).join(goals.select("node", "dim"), "node"), nodes, "shard-cuts")
     right = F.coalesce(v >= F.col("cut"), F.lit(False))
     left = F.when(F.col("cut").isNull(), 0).otherwise(F.expr("cast(leaves div 2 as int)"))
     leaves = F.when(F.col("cut").isNull(), F.col("leaves")).when(right, F.col("leaves") - left).otherwise(left)
