@@ -95,6 +95,8 @@ DRUG_LEAD_INS = ["đang dùng", "thường dùng", "đã dùng", "tiếp tục d
 DRUG_INDICATIONS = ["điều trị", "cho", "dùng cho", "nếu", "khi cần"]
 DIAGNOSIS_MODIFIERS = [r"không đặc hiệu", r"không xác định", r"nguyên phát", r"thứ phát", r"nghi ngờ", r"theo dõi", r"chưa rõ nguyên nhân", r"mức độ \w+", r"giai đoạn \w+"]
 RRF_TERM_TYPES = ["IN", "PIN", "BN", "SCD", "SBD", "SCDC"]
+DOSING_WORDS = ["po", "iv", "im", "sc", "sl", "pr", "bid", "tid", "qid", "qd", "qhs", "qam", "qpm", "prn", "daily", r"q\d+h", r"x\d+", "hs", "ac", "pc", "oral", "suspension", "tablet", "cap", "caps"]
+ORAL_WORDS, WEIGHT_UNITS = ["po", "oral", "uống"], ["mg", "mcg", "g"]
 
 
 @dataclass(frozen=True)

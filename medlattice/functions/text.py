@@ -12,6 +12,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# --- fixed values: white space, line breaks, edge characters of spans, numbers and ranges --------------------------------
 WS = r"[\s\x1c-\x1f]"
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 #: Edge characters of spans: rules, dictionary tokens (left, right), de-noising (right edge, left edge).
@@ -20,6 +21,7 @@ TOKEN_LEFT, TOKEN_RIGHT = " \t([{\"'“‘", " \t,.;:)]}\"'”’"
 SPAN_RIGHT, SPAN_LEFT = " \t.,;:-–—)）]", " \t.,;:-–—(（["
 NUMBER = r"[+-]?(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+[.,]\d+|\d+)"
 RANGE = rf"(?U)([+-]?\d+(?:[.,]\d+)?){WS}*(?:-->|->|—|–){WS}*([+-]?\d+(?:[.,]\d+)?)"
+
 MATCHES = "array<struct<start:int,end:int,raw:string>>"
 
 
@@ -128,9 +130,33 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(normalize(c), f"(?U){WS}+", " "))
 
 
+@lru_cache(maxsize=1)
+def _compositions() -> list[tuple[str, str]]:
+    """Pairs of two characters and the letter that composes them, up to U+1EFF, from Unicode's tables; bases without marks first.
+
+    Marks of different classes may come in any order, so a letter with two marks is reached by either.
+    """
+    found: dict[str, str] = {}
+    for code in range(0xC0, 0x1F00):
+        c = chr(code)
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) > 1 and unicodedata.normalize("NFC", c) == c:
+            for i in range(1, len(parts)):
+                begun = unicodedata.normalize("NFC", parts[:i] + parts[i + 1 :])
+                if len(begun) == 1 and unicodedata.normalize("NFC", begun + parts[i]) == c:
+                    found[begun + parts[i]] = c
+    return sorted(found.items(), key=lambda x: (len(unicodedata.normalize("NFD", x[0])), x))
+
+
+def composed(c: Column) -> Column:
+    """Letters and their combining marks as single characters (for letters up to U+1EFF); other texts are left alone."""
+    table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _compositions()])
+    return F.when(c.rlike("[\\x{300}-\\x{36f}]"), F.aggregate(table, c, lambda acc, x: F.replace(acc, x["a"], x["b"]))).otherwise(c)
+
+
 def text_key(c: Column) -> Column:
-    """Key of exact-text alignment; texts are taken to be in composed form."""
-    return F.regexp_replace(F.lower(strip(c)), f"(?U){WS}+", " ")
+    """Key of exact-text alignment: composed, lower case, white space collapsed."""
+    return F.regexp_replace(F.lower(strip(composed(c))), f"(?U){WS}+", " ")
 
 
 def lookup(key: Column, table: dict[str, str]) -> Column:

@@ -1,6 +1,7 @@
 """Sequence labelling around a token model (Q1-Q5, Q7, Q8); the model itself is injected."""
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +13,7 @@ from .sections import line_table
 #: Label 0 is O; then B and I of each type in order.
 LABELS = ["O"] + [f"{p}-{t}" for t in TYPES for p in ("B", "I")]
 IGNORED = -100
-_RUN = 4096
+_RUNS = 512
 
 
 def label_name(label_id: Column) -> Column:
@@ -74,15 +75,20 @@ def predict_spans(docs: DataFrame, max_len: int, predict: Callable[[DataFrame],
 def fixed_blocks(tokens: DataFrame, block: int) -> DataFrame:
     """Q5: tokens (doc_id, i, token) in order, cut into blocks of ``block``; the remainder goes, but a short corpus is one short block.
 
-    ``doc_id`` is numeric and gives the order.  Global numbers come from two levels of counts: within runs of ``_RUN`` ids
-    by a window per run, and over the runs' sums, of which there is one row per ``_RUN`` ids.
+    ``doc_id`` is numeric and gives the order.  Global numbers come from two levels of counts: over ``_RUNS`` ranges of ids of
+    like size, of which the driver sees one number each, and within a range by a window.
     """
-    counts = tokens.groupBy("doc_id").agg(F.count("*").alias("n")).withColumn("run", F.expr(f"doc_id div {_RUN}"))
-    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = counts.withColumn("inside", before(Window.partitionBy("run").orderBy("doc_id"))).drop("n")
-    runs = counts.groupBy("run").agg(F.sum("n").alias("n"))
-    at = runs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    offsets = inside.join(runs.select("run", before(Window.partitionBy(F.lit(0)).orderBy("run")).alias("base")), "run").select("doc_id", (F.col("base") + F.col("inside")).alias("base"))
+    counts = tokens.groupBy("doc_id").agg(F.count("*").alias("n"))
+    bounds = counts.select(F.percentile_approx("doc_id", [i / _RUNS for i in range(1, _RUNS)], 20 * _RUNS)).first()[0]
+    bounds = sorted(set(bounds or []))
+    run = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
+    counts = counts.withColumn("run", run)
+    sizes = dict(sorted(tuple(r) for r in counts.groupBy("run").agg(F.sum("n")).collect()))
+    before = dict(zip(sizes, itertools.accumulate(sizes.values(), initial=0)))
+    at = sum(sizes.values())
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("run").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("run")).cast("bigint") if before else F.lit(0).cast("bigint")
+    offsets = counts.select("doc_id", (base + inside).alias("base"))
     whole = max(at // block * block, min(at, block))
     w = Window.partitionBy("doc_id").orderBy("i")
     placed = tokens.withColumn("k", F.row_number().over(w) - 1).join(offsets, "doc_id").withColumn("pos", F.col("base") + F.col("k")).where(F.col("pos") < whole)

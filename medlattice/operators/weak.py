@@ -42,23 +42,27 @@ def _by_code(kb: DataFrame) -> DataFrame:
 def distant_label(docs: DataFrame, index: DataFrame, max_words: int = 8) -> DataFrame:
     """Leftmost-longest, non-overlapping dictionary spans of texts (doc_id, raw).
 
-    Tokens are numbered with their offsets by one explode and one window per document; runs of up to ``max_words`` tokens
-    meet the dictionary in an equi-join; the few hits of a document are then folded in order.
+    Tokens are numbered with their offsets in one ordering of a document; only tokens that begin a dictionary term open runs
+    of up to ``max_words`` tokens, which meet the dictionary in an equi-join; the few hits of a document are then folded in
+    order, and its text is joined once to cut them out.
     """
-    toks = docs.select("doc_id", "raw", F.posexplode(F.split("raw", f"(?U)(?<=\\S)(?={WS})|(?<={WS})(?=\\S)", -1)).alias("n", "tok")).drop("raw")
-    before = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    placed = toks.withColumn("s", F.coalesce(F.sum(F.length("tok")).over(before), F.lit(0)).cast("int")).where(~F.col("tok").rlike(f"(?U)^{WS}*\\z"))
-    order = Window.partitionBy("doc_id").orderBy("s")
-    ahead = F.collect_list(F.struct("e", "norm")).over(order.rowsBetween(0, max_words - 1))
-    placed = placed.select("doc_id", "s", (F.col("s") + F.length("tok")).alias("e"), normalize(F.col("tok")).alias("norm"))
-    runs = placed.select("doc_id", "s", F.row_number().over(order).alias("i"), ahead.alias("ahead")).select("doc_id", "s", "i", F.posexplode("ahead").alias("w", "x"), "ahead")
-    # the key of a run from its tokens, edges trimmed; the raw text is cut for hits only
-    edges = f"^{char_class(TOKEN_LEFT)}+|{char_class(TOKEN_RIGHT)}+\\z"
-    key = F.regexp_replace(F.array_join(F.transform(F.slice("ahead", F.lit(1), F.col("w") + 1), lambda x: x["norm"]), " "), edges, "")
-    found = runs.select("doc_id", "s", "i", "w", "x.e", key.alias("norm")).where("norm <> ''").join(index, "norm").join(docs.select("doc_id", "raw"), "doc_id")
+    toks = docs.select("doc_id", F.posexplode(F.split("raw", f"(?U)(?<=\\S)(?={WS})|(?<={WS})(?=\\S)", -1)).alias("n", "tok"))
+    order = Window.partitionBy("doc_id").orderBy("n")
+    placed = toks.withColumn("s", F.coalesce(F.sum(F.length("tok")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")).where(~F.col("tok").rlike(f"(?U)^{WS}*\\z"))
+    placed = placed.select("doc_id", "n", "s", (F.col("s") + F.length("tok")).alias("e"), normalize(F.col("tok")).alias("norm"))
+    runs = placed.withColumn("ahead", F.collect_list(F.struct("e", "norm")).over(order.rowsBetween(0, max_words - 1)))
+    # the first word of a run's key is its first token without edges; a token of edges alone leaves it to the next
+    left, right = f"^{char_class(TOKEN_LEFT)}+", f"{char_class(TOKEN_RIGHT)}+\\z"
+    bare = F.regexp_replace("norm", left, "")
+    heads = index.select(F.split("norm", " ")[0].alias("head")).distinct()
+    opening = runs.withColumn("head", F.explode(F.array_distinct(F.array(bare, F.regexp_replace(bare, right, "")))))
+    opening = opening.where("head <> ''").join(heads, "head", "left_semi").unionByName(opening.where("head = ''")).drop("head", "norm")
+    key = F.regexp_replace(F.array_join(F.transform(F.slice("ahead", F.lit(1), F.col("w") + 1), lambda x: x["norm"]), " "), f"{left}|{right}", "")
+    found = opening.select("doc_id", "s", "n", F.posexplode("ahead").alias("w", "x"), "ahead").select("doc_id", "s", F.col("n").alias("i"), "w", "x.e", key.alias("norm")).where("norm <> ''").join(index, "norm")
+    best = found.groupBy("doc_id", "i").agg(F.max_by(F.struct("s", "e", "type", "code"), "w").alias("h"))
+    hits = best.select("doc_id", "i", "h.*").join(docs.select("doc_id", "raw"), "doc_id")
     text, start = trimmed(F.substring(F.col("raw"), F.col("s") + 1, F.col("e") - F.col("s")), F.col("s"), TOKEN_LEFT, TOKEN_RIGHT)
-    hits = found.select("doc_id", "i", "w", F.col("s").alias("tok_start"), start.alias("start"), text.alias("text"), "type", "code")
-    longest = hits.groupBy("doc_id", "i").agg(F.max_by(F.struct("tok_start", "start", "text", "type", "code"), "w").alias("h"))
+    longest = hits.select("doc_id", "i", F.struct(F.col("s").alias("tok_start"), start.alias("start"), text.alias("text"), "type", "code").alias("h"))
     per = longest.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("hits"))
     kind = per.schema["hits"].dataType.elementType["h"].dataType
     begin = F.struct(F.lit(0).alias("end"), F.array().cast(f"array<{kind.simpleString()}>").alias("out"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.config import RRF_TERM_TYPES
-from ..functions.text import NUMBER, WS, strip
+from ..functions.config import DOSING_WORDS, ORAL_WORDS, RRF_TERM_TYPES, WEIGHT_UNITS
+from ..functions.text import WS, strip
 
 LABELLED = "doc_id string, text string, concepts array<struct<text:string,type:string,position:array<int>,assertions:array<string>,candidates:array<string>>>"
 CONCEPT = "struct<text:string,type:string,start:int,end:int,assertions:array<string>,candidates:array<string>>"
@@ -44,8 +44,14 @@ def read_labelled(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _with_order(rows: DataFrame) -> DataFrame:
-    """Place of each row: file, then offset order within it; monotone ids follow the scan's order of splits."""
-    return rows.withColumn("ord", F.monotonically_increasing_id())
+    """``ord``: a row's place by file name, then by where in the file it stands, whatever order the splits are scanned in."""
+    path, begin = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    splits = sorted(tuple(r) for r in rows.select(path, begin).distinct().collect())  # a row for each split of the files
+    if not splits:
+        return rows.withColumn("ord", F.monotonically_increasing_id())
+    number = F.create_map(*[F.lit(x) for i, (p, b) in enumerate(splits) for x in (f"{p}|{b}", i)])
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # rows of a split keep their order in its task
+    return rows.withColumn("ord", F.element_at(number, F.concat_ws("|", path, begin.cast("string"))).cast("bigint") * (1 << 33) + within)
 
 
 def _clean(rows: DataFrame) -> DataFrame:
@@ -103,6 +109,16 @@ def read_disease_kb(spark: SparkSession, folder: str) -> DataFrame:
     return merge(*[read_kb_csv(spark, p) for p in found])
 
 
+def starter_kb(spark: SparkSession, name: str) -> DataFrame:
+    """Our own short list of common drugs (``rxnorm_seed``) or diseases (``icd10_seed``) in KB form, so that linking works out of the box."""
+    import csv
+    from importlib.resources import files
+
+    with files("medlattice").joinpath(f"data/{name}.csv").open(encoding="utf-8") as f:
+        rows = [(0, i, r["code"], r["term"]) for i, r in enumerate(csv.DictReader(f))]
+    return spark.createDataFrame(rows, "prio int, ord bigint, code string, term string")
+
+
 def reshape_icd_en(rows: DataFrame) -> DataFrame:
     """S14 over cells (array): rows of at least five; a dot after the code's third character; the long name, else the short."""
     c = F.col("cells")
@@ -139,12 +155,12 @@ def drug_mentions(concepts: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def clean_query(c: Column) -> Column:
-    """A mention without dosing words and punctuation; an oral drug with a dose asks for the tablet."""
-    low = F.lower(c)
-    oral = low.rlike(r"(?U)\b(?:po|oral|uống)\b")
-    bare = F.regexp_replace(low, r"(?U)\b(?:po|iv|im|sc|bid|tid|qid|qd|qhs|prn|daily|oral|uống|lần|ngày)\b", " ")
-    bare = strip(F.regexp_replace(F.regexp_replace(bare, r"[,;:()\[\]]", " "), f"(?U){WS}+", " "))
-    return F.when(oral & bare.rlike(NUMBER), F.concat(bare, F.lit(" oral tablet"))).otherwise(bare)
+    """A mention without dosing words, colons, brackets and dots, its case kept; an oral drug with a weight asks for the tablet."""
+    word = lambda options: rf"(?iU)\b(?:{'|'.join(options)})\b"
+    plain = F.regexp_replace(F.regexp_replace(c, "[:().]", " "), word(DOSING_WORDS), " ")
+    name = strip(F.regexp_replace(plain, f"(?U){WS}+", " "))
+    weighed = F.lower(c).rlike(rf"(?U)\d{WS}*(?:{'|'.join(WEIGHT_UNITS)})\b")
+    return F.when(F.lower(c).rlike(word(ORAL_WORDS)) & weighed, F.concat(name, F.lit(" oral tablet"))).otherwise(name)
 
 
 def parse_api(payload: Column) -> Column:

@@ -25,9 +25,31 @@ def write_labelled(docs: DataFrame, path: str) -> None:
     docs.select(F.to_json(F.struct("doc_id", "text", F.transform("concepts", c).alias("concepts"))).alias("value")).write.text(path)
 
 
-def write_json_files(records: DataFrame, path: str) -> None:
-    """A folder per document with its JSON array; written in parallel by the executors."""
-    records.select("doc_id", F.to_json("records").alias("value")).write.partitionBy("doc_id").text(path)
+def write_json_files(records: DataFrame, path: str) -> int:
+    """One ``<id>.json`` a document, its array with an indent of 2, written by the executors below ``path``; the number of files.
+
+    ``path`` is a URI that every executor can write or, in local mode only, a plain folder.
+    """
+    import json
+
+    import pyarrow as pa
+
+    if "://" not in path and not records.sparkSession.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("a cluster needs a URI that every executor can write")
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        store.create_dir(root)
+        for batch in batches:
+            for name, text in zip(*(c.to_pylist() for c in batch.columns)):
+                with store.open_output_stream(f"{root}/{name}.json") as f:
+                    f.write(json.dumps(json.loads(text), ensure_ascii=False, indent=2).encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    rows = records.select(F.col("doc_id").cast("string").alias("doc_id"), F.to_json("records").alias("v"))
+    return rows.mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def write_zip(records: DataFrame, path: str) -> int:

@@ -1,5 +1,6 @@
 """Sections, extraction, context, linking, weak supervision, sequences, scoring: small notes with results worked out by hand."""
 import itertools
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -254,7 +255,16 @@ def test_sources_and_sinks(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         readers.read_documents(spark, str(tmp_path / "none"))
     rec = writers.to_records(extract.extract(d), d)
-    writers.write_json_files(rec, str(tmp_path / "json"))
+    assert writers.write_json_files(rec, str(tmp_path / "json")) == 2
+    one = (tmp_path / "json" / "10.json").read_text(encoding="utf-8")
+    assert one.startswith('[\n  {\n    "text": ') and [x["text"] for x in json.loads(one)] == [r["text"] for r in rec.where("doc_id = '10'").first()["records"]]
+    (tmp_path / "many").mkdir()
+    for name, n in (("b.csv", 3), ("a.csv", 2000)):
+        (tmp_path / "many" / name).write_text("code,term\n" + "".join(f"{name}{i},t{i}\n" for i in range(n)), encoding="utf-8")
+    kept = [r["code"] for r in readers.read_kb_csv(spark, str(tmp_path / "many")).orderBy("ord").collect()]
+    assert kept == [f"a.csv{i}" for i in range(2000)] + [f"b.csv{i}" for i in range(3)]
+    for name in ("rxnorm_seed", "icd10_seed"):
+        assert readers.starter_kb(spark, name).where("code <> '' and term <> ''").count() >= 30
     assert writers.write_zip(rec, str(tmp_path / "o.zip")) == 2
     lab = d.select("doc_id", F.col("raw").alias("text")).join(score.nest(extract.extract(d), "concepts"), "doc_id", "left")
     writers.write_labelled(lab.na.fill("").withColumn("concepts", F.coalesce("concepts", F.array().cast(score.CONCEPTS))), str(tmp_path / "l"))
