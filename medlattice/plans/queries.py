@@ -155,11 +155,14 @@ def section_asof(spark, sf_dir):
     return sections.section_at(points, sections.segment(n))
 
 
-@query(o.with_notes(select="select count(*) as docs, cast(0 as bigint) as uncovered from notes"))
+@query(o.with_notes(o.lines_sql("notes"), o.headers_sql(), "heads as (select doc_id, count(*) as n, min(line_start) as lo from placed where kind is not null group by doc_id)", select="select n.doc_id, cast(coalesce(h.n, 0) + case when coalesce(h.lo, 1) > 0 then 1 else 0 end as bigint) as spans, cast(length(raw) as bigint) as covered, cast(0 as bigint) as uncovered from notes n left join heads h on n.doc_id = h.doc_id"))
 def cover_check(spark, sf_dir):
+    """Spans and covered characters of every document, and whether G5 finds a fault in it."""
     n = notes(spark, sf_dir)
-    bad = sections.cover_errors(n, sections.segment(n)).agg(F.count("*").alias("uncovered"))
-    return n.agg(F.count("*").alias("docs")).join(bad, how="cross")  # one row each
+    found = sections.segment(n)
+    per = found.groupBy("doc_id").agg(F.count("*").alias("spans"), F.sum(F.col("char_end") - F.col("char_start")).alias("covered"))
+    bad = sections.cover_errors(n, found).select("doc_id", F.lit(1).cast("bigint").alias("uncovered"))
+    return per.join(bad, "doc_id", "left").na.fill(0, ["uncovered"])
 
 
 # --- extraction and context
@@ -267,7 +270,15 @@ def kb_product_link(spark, sf_dir):
     return link.link_terms(m, kb, "drug", fuzzy=False).select("text", joined("codes").alias("codes"), "step")
 
 
-@query()
+#: Token-sort similarity of all pairs (k, t) of ``pairs``: rows of the subsequence table one after the other.
+_RATIO = """sorted_ as (select k, t, array_to_string(list_sort(list_filter(string_split(k, ' '), lambda x: x <> '')), ' ') as a, array_to_string(list_sort(list_filter(string_split(t, ' '), lambda x: x <> '')), ' ') as b from pairs),
+lcs_(k, t, a, b, i, prev) as (select k, t, a, b, 0, list_transform(range(0, length(b) + 1), lambda x: 0) from sorted_
+  union all select k, t, a, b, i + 1, list_prepend(0, list_transform(range(1, length(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda m: case when substr(a, i + 1, 1) = substr(b, m, 1) then prev[m] + 1 else prev[m + 1] end)))) from lcs_ where i < length(a)),
+ratio_ as (select k, t, 200.0 * prev[len(prev)] / (length(a) + length(b)) as score from lcs_ where i = length(a))"""
+_TYPO = "case when p_partkey % 3 = 0 then concat(p_name, 's') when p_partkey % 3 = 1 then {twice} else concat({second}, ' ', {first}) end"
+
+
+@query("with recursive " + _PART_KB + ", pos_ as (select lower(term) as t, arg_min(kb.code, {'h': head, 'o': ord}) as code, min({'h': head, 'o': ord}) as pos from kb join firsts on kb.code = firsts.code group by 1), m as (select distinct " + _TYPO.format(twice="regexp_replace(p_name, '^(.)(.)', '\\1\\2\\2')", second="string_split(p_name, ' ')[2]", first="string_split(p_name, ' ')[1]") + f" as text from part), pairs as (select distinct text as k, t from m, pos_), {_RATIO}, best_ as (select k, arg_min(code, {{'s': -score, 'p': pos}}) as code, max(score) as score from ratio_ join pos_ on ratio_.t = pos_.t group by k) select text, case when codes is not null then codes[1] when score >= 90 then best_.code else '' end as codes, case when codes is not null then 'exact' when score >= 90 then 'fuzzy' end as step from m left join idx on lower(text) = norm left join best_ on best_.k = m.text")
 def kb_fuzzy_link(spark, sf_dir):
     """Part names with a letter doubled or lost; tests hold the filter against all pairs."""
     t = F.expr("case when p_partkey % 3 = 0 then concat(p_name, 's') when p_partkey % 3 = 1 then regexp_replace(p_name, '^(.)(.)', '$1$2$2') else concat(split(p_name, ' ')[1], ' ', split(p_name, ' ')[0]) end")
@@ -335,19 +346,52 @@ def drug_mentions(spark, sf_dir):
     return readers.drug_mentions(extract.extract(notes(spark, sf_dir)), table(spark, sf_dir, "part").select(F.col("p_name").alias("term")))
 
 
-@query("with m as (select l_orderkey, l_linenumber, l_partkey, concat(upper(p_name), case when l_linenumber % 2 = 0 then ', 10 mg po bid' else ' (tab) bid' end) as t from lineitem join part on l_partkey = p_partkey) select l_orderkey, l_linenumber, l_partkey, case when l_linenumber % 2 = 0 then concat(lower(replace(t, ', 10 mg po bid', ' 10 mg')), ' oral tablet') else lower(replace(t, ' (tab) bid', ' tab')) end as cleaned from m")
+#: Mentions made from a name, and what is left of them, by hand.
+_CLEANED = [("{n} 10 mg po bid", "{n} 10 mg oral tablet"), ("{n} (tab) 5.5mg/ml IV q8h", "{n} tab 5 5mg/ml"), ("{n}; uống 2 lần/ngày", "{n}; uống 2 lần/ngày"), ("{n}: 500MCG  uống x30 caps", "{n} 500MCG uống oral tablet"),
+            ("{n} 20 ml PO hs", "{n} 20 ml"), ("{n} Suspension 1 g Oral", "{n} 1 g oral tablet"), ("{n}, [y] 3 mg qd", "{n}, [y] 3 mg"), (" pr  {n}\t.sl", "{n}")]
+
+
+def _cleaned(side: int) -> str:
+    arms = " ".join(f"when {i} then concat('" + c[side].replace("{n}", "', p_name, '") + "')" for i, c in enumerate(_CLEANED))
+    return f"case l_partkey % {len(_CLEANED)} {arms} end"
+
+
+@query(f"select l_orderkey, l_linenumber, l_partkey, {_cleaned(1)} as cleaned from lineitem join part on l_partkey = p_partkey")
 def clean_queries(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey"))
-    t = F.expr("concat(upper(p_name), case when l_linenumber % 2 = 0 then ', 10 mg po bid' else ' (tab) bid' end)")
-    return items.select("l_orderkey", "l_linenumber", "l_partkey", readers.clean_query(t).alias("cleaned"))
+    return items.select("l_orderkey", "l_linenumber", "l_partkey", readers.clean_query(F.expr(_cleaned(0))).alias("cleaned"))
 
 
 # --- weak supervision
 
 
-@query()
+_DICT = f"""kb as (select s_suppkey as ord, concat('S', cast(s_suppkey as varchar)) as code, {_FULL!r}[cast(s_suppkey % {len(_FULL)} + 1 as int)] as term from supplier),
+dx as (select {o.norm('term')} as norm, 'CHẨN_ĐOÁN' as type, arg_min(code, ord) as code from kb group by 1),
+pk as (select concat('P', cast(p_partkey % 500 as varchar)) as code, lower(p_name) as norm, min(p_partkey) as ord, min(min(p_partkey)) over (partition by concat('P', cast(p_partkey % 500 as varchar))) as head from part group by 1, 2),
+dg as (select norm, 'THUỐC' as type, arg_min(code, {{'h': head, 'o': ord}}) as code from pk group by norm),
+dict0 as (select * from dx union all select * from dg where norm not in (select norm from dx) union all select {o.norm('t')}, 'TRIỆU_CHỨNG', null from (values ('sốt'), ('ho khan'), ('khó thở')) as v(t)),
+dict as (select * from dict0 union all select a.ab, d.type, d.code from (select * from {_ABS} as t(ab, norm)) a join dict0 d on a.norm = d.norm where a.ab not in (select norm from dict0))"""
+_LEFT, _RIGHT = (" || ".join(["' '", "chr(9)", o.q(c.strip())]) for c in (text.TOKEN_LEFT, text.TOKEN_RIGHT))
+
+
+@query(
+    "with recursive " + o.with_notes(select="")[5:].strip() + f""", {_DICT},
+tk0 as (select doc_id, string_split_regex(raw, '\\s') as ts from notes),
+tk1 as (select doc_id, unnest(generate_series(1, len(ts))) as i, unnest(ts) as tok from tk0),
+tk2 as (select doc_id, i, tok, cast(sum(length(tok) + 1) over (partition by doc_id order by i) - length(tok) - 1 as int) as s from tk1),
+un as materialized (select tok, {o.norm('tok')} as norm from (select distinct tok from tk1)),
+tk as materialized (select doc_id, row_number() over (partition by doc_id order by i) as i, s, s + length(tk2.tok) as e, un.norm from tk2 join un on tk2.tok = un.tok where tk2.tok <> ''),
+ah as (select doc_id, i, s, list(norm) over w as ns, list(e) over w as es from tk window w as (partition by doc_id order by i rows between current row and 7 following)),
+rn as (select doc_id, i, s, unnest(generate_series(1, len(ns))) as w, ns, es from ah),
+ky as (select doc_id, i, s, w, es[w] as e, rtrim(ltrim(array_to_string(ns[1:w], ' '), {_LEFT}), {_RIGHT}) as norm from rn),
+ht as (select doc_id, i, s, arg_max(e, w) as e, arg_max(type, w) as type from ky join dict on ky.norm = dict.norm group by doc_id, i, s),
+cl as materialized (select h.doc_id, i, h.s, type, s + length(substr(raw, s + 1, e - s)) - length(ltrim(substr(raw, s + 1, e - s), {_LEFT})) as b, rtrim(ltrim(substr(raw, s + 1, e - s), {_LEFT}), {_RIGHT}) as text from ht h join notes n on h.doc_id = n.doc_id),
+kept(doc_id, i, upto) as (select doc_id, min(i), arg_min(b + length(text), i) from cl group by doc_id
+  union all select k.doc_id, x.i, x.upto from kept k join lateral (select min(c.i) as i, arg_min(c.b + length(c.text), c.i) as upto from cl c where c.doc_id = k.doc_id and c.s >= k.upto) x on true where x.i is not null)
+select c.doc_id, c.text, c.type, cast(c.b as int) as start, cast(c.b + length(c.text) as int) as end_ from kept k join cl c on k.doc_id = c.doc_id and k.i = c.i"""
+)
 def distant_labels(spark, sf_dir):
-    """Dictionary spans of the notes; tests hold the fold against a token-by-token version."""
+    """Dictionary spans of the notes."""
     none = spark.createDataFrame([], "ord bigint, term string")
     own = spark.createDataFrame([(0, "sốt"), (1, "ho khan"), (2, "khó thở")], "ord bigint, term string")
     kb = part_kb(spark, sf_dir)
@@ -371,9 +415,9 @@ def vote_spans(spark, sf_dir):
     return v.select("doc_id", "start", F.col("end").alias("end_"), "votes", joined("assertions").alias("assertions"))
 
 
-@query()
+@query(f"with recursive {_VOTES}, c as (select doc_id, start, a, count(*) as n, min({{'s': sample, 'o': ord}}) as at_ from first_ group by doc_id, start, a), v as (select doc_id, start, cast(start + 5 as int) as end_, cast(sum(n) as bigint) as votes, min(at_) as at_ from c group by doc_id, start having sum(n) >= 2), r as (select *, row_number() over (partition by doc_id order by votes desc, start, at_) as k from v), g(doc_id, k, kept) as (select doc_id, 1, [start] from r where k = 1 union all select r.doc_id, r.k, case when len(list_filter(kept, lambda x: abs(x - start) < 5)) = 0 then list_append(kept, start) else kept end from g join r on r.doc_id = g.doc_id and r.k = g.k + 1), l as (select doc_id, unnest(arg_max(kept, k)) as start from g group by doc_id) select l.doc_id, l.start, v.end_, v.votes from l join v on l.doc_id = v.doc_id and l.start = v.start")
 def resolved_spans(spark, sf_dir):
-    """Voted spans without overlaps; tests hold the fold against a loop."""
+    """Voted spans without overlaps."""
     v = weak.resolve_overlaps(weak.vote_counts(_votes(spark, sf_dir)))
     return v.select("doc_id", "start", F.col("end").alias("end_"), "votes")
 
@@ -393,9 +437,20 @@ def denoised_concepts(spark, sf_dir):
     return _flat(weak.clean_concepts(extract.extract(n), n)).drop("assertions")
 
 
-@query()
+def _packed(size: str, most: int) -> str:
+    """pk(doc_id, k, s, e): lines of ``ln`` (doc_id, k from 0, s, e, n) packed while their ``size`` fits; a longer line is alone."""
+    fits = f"{size} <= {most}"
+    return f"""st(doc_id, k, w, s, e, n) as (select doc_id, k, 0, s, e, n from ln where k = 0
+  union all select l.doc_id, l.k, case when {fits} then w else w + 1 end, case when {fits} then st.s else l.s end, l.e, case when {fits} then st.n + l.n else l.n end from st join ln l on l.doc_id = st.doc_id and l.k = st.k + 1),
+pk as (select doc_id, w as k, min(s) as s, max(e) as e from st group by doc_id, w)"""
+
+
+_LN = "ln as materialized (select l.doc_id, line_no as k, line_start as s, cast(coalesce(lead(line_start) over (partition by l.doc_id order by line_no), length(raw)) as int) as e, len(list_filter(string_split_regex(line, '\\s+'), lambda x: x <> '')) as n from lines l join notes t on l.doc_id = t.doc_id)"
+
+
+@query("with recursive " + o.with_notes(o.lines_sql("notes"), o.extract_sql(), _LN, _packed("l.e - st.s", 200), select="select p.doc_id, cast(p.k as int) as \"window\", substr(raw, p.s + 1, p.e - p.s) as text, cast(count(*) as int) as n from pk p join concepts c on p.doc_id = c.doc_id and c.start >= p.s and c.end_ <= p.e join notes t on p.doc_id = t.doc_id group by p.doc_id, p.k, p.s, p.e, raw")[5:])
 def labelled_windows(spark, sf_dir):
-    """Windows of 200 characters of the notes with their concepts; tests hold the packing against a loop."""
+    """Windows of 200 characters of the notes with their concepts."""
     n = notes(spark, sf_dir)
     w = weak.chunk_labelled(n, extract.extract(n), 200)
     return w.select("doc_id", "window", "text", F.size("concepts").alias("n"))
@@ -437,9 +492,9 @@ def fixed_blocks(spark, sf_dir):
     return b.select("block", F.size("tokens").cast("bigint").alias("n"), F.get("tokens", F.lit(0)).alias("first_token"), F.element_at("tokens", -1).alias("last_token"))
 
 
-@query()
+@query("with recursive " + o.with_notes(o.lines_sql("notes"), _LN, _packed("st.n + l.n", 30), select="select doc_id, cast(k as int) as chunk, s as start, e as end_ from pk")[5:])
 def token_chunks(spark, sf_dir):
-    """Lines of the notes packed to 30 tokens; tests hold the packing against a loop."""
+    """Lines of the notes packed to 30 tokens."""
     return sequence.chunk_lines(notes(spark, sf_dir), 32).withColumnRenamed("end", "end_")
 
 
@@ -490,6 +545,90 @@ def score_dataset(spark, sf_dir):
     return s.select(*[F.round(c, 6).alias(c) for c in ("final", "text_score", "assertions_score", "candidates_score")], "n")
 
 
+# --- small columns and examples
+
+
+@query("select p_partkey, concat('é ', lower(p_name), ' x ệ') as key from part")
+def text_keys(spark, sf_dir):
+    """Decomposed letters, two marks in either order, white space and case."""
+    marked = F.concat(F.lit("  E\u0301 "), "p_name", F.when(F.col("p_partkey") % 2 == 0, F.lit("\tX\u00a0 e\u0323\u0302\n")).otherwise(F.lit("\tX\u00a0 \u00ea\u0323 ")))
+    return table(spark, sf_dir, "part").select("p_partkey", text.text_key(marked).alias("key"))
+
+
+@query(r"select p_partkey, trim(regexp_replace(concat('da  ', lower(p_name), ' ', lower(p_type)), '\s+', ' ', 'g')) as norm from part")
+def collapsed_terms(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", text.collapse(F.concat(F.lit("  Đã \t"), F.upper("p_name"), F.lit("\n "), F.col("p_type"))).alias("norm"))
+
+
+@query("select event_id, cast(event_id % 2 = 0 as int) as negated, cast(event_id % 3 = 0 as int) as historical, cast(event_id % 5 = 0 as int) as family from events")
+def multi_hots(spark, sf_dir):
+    some = lambda n, name: F.when(F.col("event_id") % n == 0, name)
+    hot = text.multi_hot(F.array_compact(F.array(some(5, "isFamily"), some(2, "isNegated"), some(3, "isHistorical"))))
+    return table(spark, sf_dir, "events").select("event_id", *[F.get(hot, i).cast("int").alias(n) for i, n in enumerate(("negated", "historical", "family"))])
+
+
+@query(f"with {_DOCS}, n_ as (select doc_id, raw, {o.norm('raw')} as norm from docs_),{o.positions('hits', 'n_', 'doc_id', 'norm', o.q('de' + chr(92) + 's+la'), 'raw')} select doc_id, min(start) as start from hits where start >= 200 group by doc_id")
+def first_matches(spark, sf_dir):
+    """The first place of a phrase from the 200th character on."""
+    d = docs(spark, sf_dir)
+    return d.select("doc_id", text.first_match(text.find_all(F.col("raw"), "dé la"), 200)["start"].alias("start")).where("start is not null")
+
+
+@query("select distinct concat('P', cast(p_partkey % 500 as varchar)) as code, p_name as term from part")
+def distinct_terms(spark, sf_dir):
+    return readers.distinct_terms(part_kb(spark, sf_dir))
+
+
+def _gold(spark, sf_dir) -> DataFrame:
+    """Labelled documents: one a note, its drugs as the rules find them."""
+    n = notes(spark, sf_dir)
+    return n.select("doc_id", F.col("raw").alias("text")).join(score.nest(extract.extract(n), "concepts"), "doc_id")
+
+
+@query(o.with_notes(o.lines_sql("notes"), o.extract_sql(), select="select c.doc_id, concat(substr(raw, greatest(0, start - 300) + 1, start - greatest(0, start - 300)), ' [E] ', c.text, ' [/E] ', substr(raw, end_ + 1, 80)) as text, cast(contains(assertions, 'isNegated') as int) as negated, cast(contains(assertions, 'isHistorical') as int) as historical, cast(contains(assertions, 'isFamily') as int) as family from concepts c join notes n on c.doc_id = n.doc_id where type in ('TRIỆU_CHỨNG', 'CHẨN_ĐOÁN', 'THUỐC')").replace("select c.doc_id, concat", "select concat"))
+def assertion_examples(spark, sf_dir):
+    e = weak.assertion_examples(_gold(spark, sf_dir))
+    return e.select("text", *[F.get("y", i).cast("int").alias(n) for i, n in enumerate(("negated", "historical", "family"))])
+
+
+@query(o.with_notes(o.lines_sql("notes"), o.extract_sql(), select="select doc_id from concepts where end_ - start > 8 group by doc_id having count(*) >= 12"))
+def quality_notes(spark, sf_dir):
+    """Notes with at least twelve grounded concepts, where those of up to eight characters have a wrong place."""
+    n = notes(spark, sf_dir)
+    c = extract.extract(n)
+    moved = c.withColumn("start", F.when(F.col("end") - F.col("start") <= 8, F.col("start") + 1).otherwise(F.col("start")))
+    return weak.quality_filter(n, moved, 12).select("doc_id")
+
+
+@query("with t as (select distinct l_orderkey as doc_id from lineitem) select doc_id, p as sample, cast(i as int) as ord, t as text, cast(s as int) as start, cast(s + length(t) as int) as end_ from t, (values (0, 0, 'Đau  Bụng', 6), (0, 1, 'đau bụng', 22), (1, 0, 'ho', 18), (1, 1, 'Nhập', 0), (1, 2, 'Đau  Bụng', 6)) as v(p, i, t, s)")
+def grounded_samples(spark, sf_dir):
+    """A forward cursor, accents and spaces aside; what stands only before the cursor is found from the start; invented words go."""
+    raw = "Nhập: Đau  Bụng, (ho) đau bụng"
+    marked = F.when(F.col("sample") == 0, F.lit('<c type="TRIỆU_CHỨNG">dau bung</c> rồi <c type="TRIỆU_CHỨNG">đau bụng</c> <c type="THUỐC">aspirin</c>'))
+    marked = marked.otherwise(F.lit('ghi <c type="TRIỆU_CHỨNG">bịa</c> <c type="TRIỆU_CHỨNG">ho</c> <c type="CHẨN_ĐOÁN">nhap</c> <c type="TRIỆU_CHỨNG">đau bụng</c>'))
+    d = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id")).distinct().withColumn("sample", F.explode(F.array(F.lit(0), F.lit(1))))
+    g = weak.ground(d.select("doc_id", "sample", F.lit(raw).alias("raw"), marked.alias("marked")))
+    return g.select("doc_id", "sample", "ord", "text", "start", F.col("end").alias("end_"))
+
+
+@query("select l_orderkey as doc_id, l_linenumber as i, l_partkey, case when l_partkey % 3 = 2 then 'unknown words 5' else p_name end as text from lineitem join part on l_partkey = p_partkey")
+def kb_trimmed(spark, sf_dir):
+    """Names with words after them shrink to the name, linked names and unknown ones stay."""
+    items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey"))
+    t = F.expr("case when l_partkey % 3 = 0 then p_name when l_partkey % 3 = 1 then concat(p_name, ' so called thing') else 'unknown words 5' end")
+    kind = F.when(F.col("l_partkey") % 2 == 0, "THUỐC").otherwise("CHẨN_ĐOÁN")
+    rows = items.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("i"), "l_partkey", t.alias("text"), F.lit(0).alias("start"), kind.alias("type"))
+    return weak.kb_trim(rows, part_kb(spark, sf_dir), part_kb(spark, sf_dir), fuzzy=False).select("doc_id", "i", "l_partkey", "text")
+
+
+@query(f"with {_PART_KB}, m as (select distinct p_name as n, p_partkey % 4 as v from part), t as (select n, v, case v when 0 then concat(n, ', sau mổ') when 1 then concat('giai doan 2 ', n) when 2 then concat('new ', n, ' set') else upper(n) end as text from m) select text, codes[1] as codes, case v when 0 then 'part' when 3 then 'exact' else 'substring' end as step from t join idx on lower(n) = norm")
+def kb_aggressive_link(spark, sf_dir):
+    """The part before a comma, the longest term inside; modifiers have accents and so leave normalised text alone."""
+    p = table(spark, sf_dir, "part")
+    t = F.expr("case p_partkey % 4 when 0 then concat(p_name, ', sau mổ') when 1 then concat('giai doan 2 ', p_name) when 2 then concat('new ', p_name, ' set') else upper(p_name) end")
+    return link.link_terms(p.select(t.alias("text")), part_kb(spark, sf_dir), "disease", aggressive=True).select("text", joined("codes").alias("codes"), "step")
+
+
 # --- jobs
 
 
@@ -522,6 +661,34 @@ def link_coverage(spark, sf_dir):
     return jobs.diagnostics(n, linked)["coverage"]
 
 
+def _as_json(c: Column) -> Column:
+    record = lambda x: F.struct(x["text"], x["type"], F.array(x["start"], x["end"]).alias("position"), x["assertions"], x["candidates"])
+    return F.to_json(F.transform(c, record))
+
+
+@query(f"with {_SCORES}, t as (select avg(1 - wer) as x, avg(assertions) as a, sum(candidates * weight) / sum(weight) as c, count(*) as n from d) select round(0.3 * x + 0.3 * a + 0.4 * c, 6) as final, n from t")
+def json_scores(spark, sf_dir):
+    """The same pairs as JSON text."""
+    p = _pairs(spark, sf_dir).select("doc_id", _as_json(F.col("pred")).alias("pred"), _as_json(F.col("gold")).alias("gold"))
+    return score.score_json(p).select(F.round("final", 6).alias("final"), "n")
+
+
+@query(o.with_notes(o.lines_sql("notes"), o.extract_sql(), "per as (select doc_id, count(*) as n, count(*) filter (type <> 'THUỐC') as kept, count(*) filter (type in ('TRIỆU_CHỨNG', 'CHẨN_ĐOÁN', 'THUỐC')) as marks, count(*) filter (type in ('TRIỆU_CHỨNG', 'CHẨN_ĐOÁN')) as marks_kept, count(*) filter (type in ('CHẨN_ĐOÁN', 'THUỐC')) as codes, count(*) filter (type = 'CHẨN_ĐOÁN') as codes_kept from concepts group by doc_id)", select="select count(*) as n, round(avg(kept / n), 6) as text_score, round(avg(case when marks = 0 then 1 else marks_kept / marks end), 6) as assertions_score, round(sum(codes_kept) / sum(codes), 6) as candidates_score from per"))
+def evaluation(spark, sf_dir):
+    """A pipeline that misses all drugs, scored on notes labelled by the rules; what it finds is right."""
+    s = jobs.evaluate(_gold(spark, sf_dir), lambda d: extract.extract(d).where(F.col("type") != "THUỐC"))
+    return s.select("n", *[F.round(c, 6).alias(c) for c in ("text_score", "assertions_score", "candidates_score")])
+
+
+@query(o.with_notes(o.lines_sql("notes"), o.extract_sql(), _NAMES, r"k as (select doc_id, string_agg(concat(text, case when type = 'THUỐC' and regexp_replace(lower(text), '\s\d.*$', '') in (select lower(t) from names) then '+' else '' end), '|' order by start, end_, type) as texts, count(*) as records from concepts group by doc_id)", select="select doc_id, records, texts from k"))
+def predicted_records(spark, sf_dir):
+    """O2: extraction, linking and records in one job; + marks what has a code."""
+    n, kb = notes(spark, sf_dir), part_kb(spark, sf_dir)
+    r = jobs.predict_records(n, drug_kb=kb, disease_kb=kb.where("false"))
+    shown = F.transform("records", lambda x: F.concat(x["text"], F.when(F.size(F.coalesce(x["candidates"], F.array().cast("array<string>"))) > 0, F.lit("+")).otherwise("")))
+    return r.select("doc_id", F.size("records").cast("bigint").alias("records"), F.array_join(shown, "|").alias("texts"))
+
+
 @query("select t.threshold, count(*) as spans, count(distinct user_id) as docs from events, (values (cast(0.0 as double)), (0.6), (0.75), (0.85)) as t(threshold) where value / 30 >= t.threshold group by 1")
 def threshold_sweep(spark, sf_dir):
     return jobs.sweep(table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), (F.col("value") / 30).alias("conf")))
