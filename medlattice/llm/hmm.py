@@ -37,7 +37,7 @@ SAMPLE_TOKENS, SAMPLE_ROUNDS, CORPUS_ROUNDS = 200_000, 15, 3
 #: Tokens of the overall distribution that each state is given beforehand; they keep a small corpus from being learnt by heart.
 PRIOR = 100.0
 END = b""  # no word is empty
-_BLOCK_TOKENS = 400_000
+_BLOCK_TOKENS = 200_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -185,7 +185,7 @@ def count_words(texts: DataFrame) -> DataFrame:
             for t in part.column(0).to_pylist():
                 held.update(words_of(t))
             held[END] += part.num_rows
-            if len(held) > 400_000:
+            if len(held) > 150_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], schema=target)
                 held.clear()
         if held:
@@ -231,7 +231,7 @@ class _Symbols(dict):
 
     def __missing__(self, word: bytes) -> int:
         x = self.base + word_class(word)
-        if len(self) < 500_000:
+        if len(self) < self.base + 100_000:
             self[word] = x
         return x
 
@@ -243,7 +243,7 @@ def corpus_counts(symbols: DataFrame, model: Hmm) -> tuple[np.ndarray, np.ndarra
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, total = shipped.value, None
-        for part in _slices(it, 1024):
+        for part in _slices(it, 256):
             cut = pieces([np.frombuffer(x, np.uint16) for x in part.column(0).to_pylist()])
             if cut[0]:
                 start, move, emit = expected_counts(m, *cut)
@@ -315,7 +315,7 @@ def score(docs: DataFrame, states: int = STATES) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, log_size, base = shipped.value
-        for part in _slices(it, 1024):
+        for part in _slices(it, 256):
             seqs = [np.frombuffer(x, np.uint16) for x in part.column(len(names)).to_pylist()]
             ll = log_likelihoods(m, seqs) / math.log(10)
             within = np.array([log_size[s[s >= base] - base].sum() for s in seqs])
