@@ -2,7 +2,7 @@ r"""Chat formatting by a template compiler.
 
 ``compile_template`` parses a sandboxed template language into a syntax tree, folds constants (expressions and
 conditions without names, neighbouring text) and generates Python closures.  The language has text, ``{{ expression }}``,
-``{# comment #}``, ``{% for x in e %}`` with ``loop``, ``{% if %} / elif / else``, ``{% set %}`` and
+``{# comment #}``, hyphens that trim white space beside a tag, ``{% for x in e %}`` with ``loop``, ``{% if %} / elif / else``, ``{% set %}`` and
 ``{% generation %} ... {% endgeneration %}``, which marks what the model is to learn.  Expressions have literals, names,
 ``a.b`` and ``a['b']`` on mappings and lists only, comparison, ``in``, ``and or not``, ``+``, ``~`` and filters.  There is
 no access to attributes, calls or builtins, and loops run only over data.
@@ -13,7 +13,8 @@ whole output.  A conversation is one task's work: its output and digests are seq
 
 Control strings in texts are escaped reversibly: ``\`` becomes ``\\`` and ``<|`` becomes ``<\|``; in roles a line feed
 becomes ``\n``.  Defined results: null text or role counts as empty; rows with a null conversation id form one
-conversation; equal turn numbers are ordered by role, then text; repeated rows are repeated turns.
+conversation; equal turn numbers (ties) are ordered by role, then text; repeated rows are repeated turns; very long texts
+and conversations leave in parts; an empty table gives no conversations; other columns are not read and cannot clash.
 """
 from __future__ import annotations
 
@@ -53,7 +54,8 @@ FILTERS: dict[str, Callable] = {"guard": guard, "guard_line": guard_line, "trim"
 
 # --- syntax tree: tuples whose first item names the node
 
-_TAG = re.compile(r"\{\{(.*?)\}\}|\{%-?(.*?)-?%\}|\{#.*?#\}", re.S)
+_INNER = r"((?:'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|[^'\"])*?)"  # brackets inside a literal end no tag
+_TAG = re.compile(r"\{\{(-?)" + _INNER + r"(-?)\}\}|\{%(-?)" + _INNER + r"(-?)%\}|\{#(-?).*?(-?)#\}", re.S)
 _TOKEN = re.compile(r"\s*(?:(\d+)|('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|([A-Za-z_]\w*)|(==|!=|<=|>=|[<>+~|.\[\]()]))")
 _WORDS = {"true": True, "false": False, "none": None, "True": True, "False": False, "None": None}
 
@@ -154,17 +156,21 @@ class _Expression:
 
 def parse(source: str) -> list[tuple]:
     """The template's statements as a tree."""
-    parts, at = [], 0
+    parts, at, trim = [], 0, False
+
+    def plain(text: str, trim_end: bool) -> None:
+        text = text.lstrip() if trim else text
+        if text := text.rstrip() if trim_end else text:
+            parts.append(("text", text))
+
     for m in _TAG.finditer(source):
-        if m.start() > at:
-            parts.append(("text", source[at : m.start()]))
-        at = m.end()
-        if m[1] is not None:
-            parts.append(("show", _Expression(m[1]).whole()))
-        elif m[2] is not None:
-            parts.append(("tag", m[2].strip()))
-    if at < len(source):
-        parts.append(("text", source[at:]))
+        plain(source[at : m.start()], bool(m[1] or m[4] or m[7]))
+        at, trim = m.end(), bool(m[3] or m[6] or m[8])  # a hyphen at a tag's end takes the white space beside it
+        if m[2] is not None:
+            parts.append(("show", _Expression(m[2]).whole()))
+        elif m[5] is not None:
+            parts.append(("tag", m[5].strip()))
+    plain(source[at:], False)
     if bad := next((p[1] for p in parts if p[0] == "text" and ("{{" in p[1] or "{%" in p[1])), None):
         raise TemplateError(f"an open tag in {bad[:30]!r}")
     pos = 0
@@ -235,7 +241,10 @@ def fold(node: tuple) -> tuple:
         return node
     if kind == "filter":
         inner = fold(node[1])
-        return ("const", FILTERS[node[2]](inner[1])) if inner[0] == "const" else ("filter", inner, node[2])
+        try:
+            return ("const", FILTERS[node[2]](inner[1])) if inner[0] == "const" else ("filter", inner, node[2])
+        except TypeError:
+            return ("filter", inner, node[2])
     args = [fold(a) for a in node[1:]]
     if kind in ("and", "or") and args[0][0] == "const":
         return args[1] if bool(args[0][1]) == (kind == "and") else args[0]

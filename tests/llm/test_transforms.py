@@ -336,6 +336,10 @@ def test_template_language():
     assert out == "1,A2,NONE3C" and [out[a:b] for a, b in spans] == ["A", "NONE", "C"]
     assert chat.render("{% set x = a['b'][0] %}{{ x }}{{ x.__class__ }}", a={"b": ["q"]})[0] == "q"
     assert chat.render("{{ 'a' in x and x or 'n' }}", x="xa")[0] == "xa"
+    assert chat.render("a \n{%- if x -%}\n b {{- ' c}}d%} ' -}} e{# '}} #} f{%- endif %} g", x=1)[0] == "ab c}}d%} e f g"
+    assert chat.parse("{{ 5 | length }}") and chat.fold(("filter", ("const", 5), "length")) == ("filter", ("const", 5), "length")
+    with pytest.raises(TypeError):
+        chat.render("{{ 5 | length }}")
     for bad in ("{% for %}", "{{ a b }}", "{% if x %}", "{{ open('x') }}", "{{ x | nofilter }}", "{% import os %}", "{{ x", "{% endfor %}"):
         with pytest.raises(chat.TemplateError):
             chat.render(bad, x="")
