@@ -1,8 +1,6 @@
-"""Thresholds and lexical settings of the clinical operators, with a YAML loader for a site's own values."""
+"""Lexical values of the clinical operators; ``settings.py`` holds the thresholds and loads a site's own values."""
 from __future__ import annotations
 
-from dataclasses import dataclass, field, fields, replace
-
 # --- fixed values: the five concept types, their subsets, and the assertion names -------------------------------------
 SYMPTOM, LAB_NAME, LAB_RESULT, DIAGNOSIS, DRUG = "TRIỆU_CHỨNG", "TÊN_XÉT_NGHIỆM", "KẾT_QUẢ_XÉT_NGHIỆM", "CHẨN_ĐOÁN", "THUỐC"
 TYPES = [SYMPTOM, LAB_NAME, LAB_RESULT, DIAGNOSIS, DRUG]
@@ -97,41 +95,3 @@ DIAGNOSIS_MODIFIERS = [r"không đặc hiệu", r"không xác định", r"nguyê
 RRF_TERM_TYPES = ["IN", "PIN", "BN", "SCD", "SBD", "SCDC"]
 DOSING_WORDS = ["po", "iv", "im", "sc", "sl", "pr", "bid", "tid", "qid", "qd", "qhs", "qam", "qpm", "prn", "daily", r"q\d+h", r"x\d+", "hs", "ac", "pc", "oral", "suspension", "tablet", "cap", "caps"]
 ORAL_WORDS, WEIGHT_UNITS = ["po", "oral", "uống"], ["mg", "mcg", "g"]
-
-
-@dataclass(frozen=True)
-class Settings:
-    """Tunable thresholds; ``load`` reads ``section: {key: value}`` from YAML and keeps defaults for the rest."""
-
-    max_len: int = 120
-    max_words_symptom: int = 10
-    max_words_drug: int = 8
-    drug_min_ascii: int = 4
-    fuzz_threshold: float = 88
-    substr_coverage: float = 0.60
-    bare_conf: float = 0.95
-    neg_window: int = 35
-    fuzzy_threshold: float = 90
-    disease_fuzzy_threshold: float = 82
-    sections: dict = field(default_factory=lambda: SECTIONS)
-    cues: dict = field(default_factory=lambda: CUES)
-
-
-def load(thresholds: str | None = None, sections: str | None = None, cues: str | None = None) -> Settings:
-    """Settings from YAML files (driver side)."""
-    import yaml
-
-    def read(path):
-        with open(path, encoding="utf-8") as f:
-            return yaml.safe_load(f) or {}
-
-    out = Settings()
-    if thresholds:
-        known = {f.name for f in fields(Settings)}
-        values = {k: v for part in read(thresholds).values() for k, v in part.items() if k in known}
-        out = replace(out, **values)
-    if sections:
-        from .text import normalize_literal
-
-        out = replace(out, sections={k: [normalize_literal(p) for p in v] for k, v in read(sections).items()})
-    return replace(out, cues=CUES | read(cues)) if cues else out

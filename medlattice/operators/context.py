@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.config import ASSERTABLE, FAMILY, HISTORICAL, NEGATED, OTHER, Settings
+from ..functions.config import ASSERTABLE, FAMILY, HISTORICAL, NEGATED, OTHER
+from ..functions.settings import Settings
 from ..functions.text import WS
 
 

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.config import DIAGNOSIS, DRUG, DRUG_INDICATIONS, DRUG_LEAD_INS, LAB_NAME, LAB_RESULT, SECTION_TYPE, SYMPTOM, Settings
+from ..functions.config import DIAGNOSIS, DRUG, DRUG_INDICATIONS, DRUG_LEAD_INS, LAB_NAME, LAB_RESULT, SECTION_TYPE, SYMPTOM
+from ..functions.settings import Settings
 from ..functions.text import NUMBER, WS, bind, lookup, n_words, strip, trimmed
 from .context import assertions, leading_negation
 from .sections import BULLET, header_of, line_table, with_sections

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.config import OTHER, Settings
+from ..functions.config import OTHER
+from ..functions.settings import Settings
 from ..functions.fuzzy import ratio
 from ..functions.text import LINE_BREAK, WS, bind, lookup, normalize, strip
 

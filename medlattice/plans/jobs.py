@@ -6,7 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.config import ASSERTABLE, FAMILY, HISTORICAL, LINKABLE, NEGATED, TYPES, Settings
+from ..functions.config import ASSERTABLE, FAMILY, HISTORICAL, LINKABLE, NEGATED, TYPES
+from ..functions.settings import Settings
 from ..functions.text import is_grounded
 from ..operators.context import add_assertions
 from ..operators.extract import extract

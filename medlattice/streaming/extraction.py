@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.config import Settings
+from ..functions.settings import Settings
 from ..operators.extract import extract
 
 

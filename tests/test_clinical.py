@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from medlattice.functions.config import Settings
+from medlattice.functions.settings import Settings
 from medlattice.functions.fuzzy import ratio
 from medlattice.functions.text import is_grounded, normalize_literal
 from medlattice.operators import context, extract, link, score, sections, sequence, weak
