@@ -243,7 +243,7 @@ def corpus_counts(symbols: DataFrame, model: Hmm) -> tuple[np.ndarray, np.ndarra
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, total = shipped.value, None
-        for part in _slices(it, 256):
+        for part in _slices(it, 512):
             cut = pieces([np.frombuffer(x, np.uint16) for x in part.column(0).to_pylist()])
             if cut[0]:
                 start, move, emit = expected_counts(m, *cut)
@@ -315,7 +315,7 @@ def score(docs: DataFrame, states: int = STATES) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, log_size, base = shipped.value
-        for part in _slices(it, 256):
+        for part in _slices(it, 512):
             seqs = [np.frombuffer(x, np.uint16) for x in part.column(len(names)).to_pylist()]
             ll = log_likelihoods(m, seqs) / math.log(10)
             within = np.array([log_size[s[s >= base] - base].sum() for s in seqs])
