@@ -10,7 +10,7 @@ from ..functions import metrics, text
 from ..functions.config import ABBREVIATIONS, DRUG_SYNONYMS, FILLERS
 from ..functions.text import normalize_literal
 from ..operators import context, extract, link, score, sections, sequence, weak
-from ..sources import readers
+from ..sources import readers, writers
 from . import jobs, synth
 from . import oracle as o
 from .notes import notes, table
@@ -545,6 +545,58 @@ def score_dataset(spark, sf_dir):
     return s.select(*[F.round(c, 6).alias(c) for c in ("final", "text_score", "assertions_score", "candidates_score")], "n")
 
 
+# --- files: written to the shared folder, read back
+
+
+@query("select l_orderkey as doc_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) as i, p_name as text, 'isNegated' as assertions, cast(l_partkey as varchar) as candidates, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) * 100 as int) as start from lineitem join part on l_partkey = p_partkey")
+def labelled_round_trip(spark, sf_dir):
+    """Labelled documents as JSON lines."""
+    path = writers.scratch_path(spark, "labelled")
+    writers.write_labelled(_pairs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("note").alias("text"), F.col("gold").alias("concepts")), path)
+    back = readers.read_labelled(spark, path).select("doc_id", F.posexplode("concepts").alias("i", "c"))
+    return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.col("i") + 1).cast("bigint").alias("i"), "c.text", joined("c.assertions").alias("assertions"), joined("c.candidates").alias("candidates"), "c.start")
+
+
+def _write_kb(df: DataFrame, path: str, head: bool = True) -> None:
+    (df.write.option("header", True).csv(path) if head else df.write.text(path))
+
+
+@query("select cast(p_partkey as varchar) as code, p_name as term, case when p_partkey % 2 = 0 then 0 else 1 end as prio, 'drug' as kb from part where p_partkey % 4 <> 2 union all select concat('I', cast(s_suppkey as varchar)), s_name, cast(s_suppkey % 3 as int), 'disease' from supplier")
+def kb_folders(spark, sf_dir):
+    """Drugs from the full list, then the RRF file, the seed not being read beside them; diseases from all three files."""
+    folder = writers.scratch_path(spark, "kb")
+    p, s = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
+    pairs = p.select(F.concat(F.lit(" "), F.col("p_partkey").cast("string")).alias("code"), F.concat("p_name", F.lit(" ")).alias("term"), "p_partkey")
+    _write_kb(pairs.where("p_partkey % 4 = 0").drop("p_partkey"), f"{folder}/rxnorm_full.csv")
+    _write_kb(p.where("p_partkey % 2 = 1").select(F.concat_ws("|", F.col("p_partkey").cast("string"), F.lit("ENG"), *[F.lit("")] * 10, F.lit("SCD"), F.lit(""), F.col("p_name"), F.lit("")).alias("value")), f"{folder}/RXNCONSO.RRF", False)
+    _write_kb(pairs.where("p_partkey % 4 = 2").drop("p_partkey"), f"{folder}/rxnorm_seed.csv")
+    for i, name in enumerate(("icd10", "icd10_vi", "icd10_seed")):
+        _write_kb(s.where(F.col("s_suppkey") % 3 == i).select(F.concat(F.lit("I"), F.col("s_suppkey").cast("string")).alias("code"), F.col("s_name").alias("term")), f"{folder}/{name}.csv")
+    drugs, diseases = readers.read_drug_kb(spark, folder), readers.read_disease_kb(spark, folder)
+    return drugs.withColumn("kb", F.lit("drug")).unionByName(diseases.withColumn("kb", F.lit("disease"))).select("code", "term", "prio", "kb")
+
+
+@query("select cast(n_nationkey as varchar) as doc_id, case when n_nationkey % 2 = 0 then 2 else 1 end as records, concat('suy tim', case when n_nationkey % 2 = 0 then concat('|viêm phổi ', cast(n_nationkey as varchar)) else '' end) as texts, true as indented from nation")
+def json_files(spark, sf_dir):
+    """A JSON file a document."""
+    raw = F.concat(F.lit("Chẩn đoán: suy tim"), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit(", viêm phổi "), F.col("n_nationkey").cast("string"))).otherwise(""))
+    d, path = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("doc_id"), raw.alias("raw")), writers.scratch_path(spark, "records")
+    writers.write_json_files(writers.to_records(extract.extract(d), d), path)
+    files = spark.read.text(f"{path}/*.json", wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1).alias("doc_id"), "value")
+    items = F.from_json("value", "array<struct<text:string>>")
+    return files.select("doc_id", F.size(items).alias("records"), F.array_join(F.transform(items, lambda x: x["text"]), "|").alias("texts"), F.col("value").startswith("[\n  {\n    ").alias("indented"))
+
+
+@query("select c_custkey, case c_custkey % 3 when 0 then cast(c_custkey as varchar) when 1 then concat('A', cast(c_custkey as varchar)) end as code from customer")
+def api_answers(spark, sf_dir):
+    """An exact answer, an approximate one, none."""
+    k = F.col("c_custkey").cast("string")
+    exact = F.concat(F.lit('{"idGroup":{"rxnormId":["'), k, F.lit('","0"]},"approximateGroup":{"candidate":[{"rxcui":"x"}]}}'))
+    near = F.concat(F.lit('{"idGroup":{},"approximateGroup":{"candidate":[{"rxcui":"A'), k, F.lit('"},{"rxcui":"y"}]}}'))
+    answer = F.when(F.col("c_custkey") % 3 == 0, exact).when(F.col("c_custkey") % 3 == 1, near).otherwise(F.lit('{"idGroup":{"name":"none"}}'))
+    return table(spark, sf_dir, "customer").select("c_custkey", readers.parse_api(answer).alias("code"))
+
+
 # --- small columns and examples
 
 
@@ -579,8 +631,14 @@ def distinct_terms(spark, sf_dir):
     return readers.distinct_terms(part_kb(spark, sf_dir))
 
 
+@query(f"with {_DOCS} select doc_id, concat('Chép lại nguyên văn và đánh dấu mỗi khái niệm bằng <c type=\"LOẠI\" a=\"NHÃN\">...</c>:', chr(10), substr(raw, 1, 5000)) as prompt from docs_")
+def annotation_prompts(spark, sf_dir):
+    """The prompt holds the first 5,000 characters of a note, by contract."""
+    return docs(spark, sf_dir).select("doc_id", synth.annotation_prompt(F.col("raw")).alias("prompt"))
+
+
 def _gold(spark, sf_dir) -> DataFrame:
-    """Labelled documents: one a note, its drugs as the rules find them."""
+    """Labelled documents: the notes with the concepts that the rules find."""
     n = notes(spark, sf_dir)
     return n.select("doc_id", F.col("raw").alias("text")).join(score.nest(extract.extract(n), "concepts"), "doc_id")
 
@@ -611,6 +669,22 @@ def grounded_samples(spark, sf_dir):
     return g.select("doc_id", "sample", "ord", "text", "start", F.col("end").alias("end_"))
 
 
+@query(o.with_notes(o.lines_sql("notes"), o.extract_sql(), r"m as (select c.*, concat(substr(raw, greatest(0, start - 300) + 1, start - greatest(0, start - 300)), ' [E] ', c.text, ' [/E] ', substr(raw, end_ + 1, 80)) as marked from concepts c join notes n on c.doc_id = n.doc_id)", select="select doc_id, start, type, case when type in ('TRIỆU_CHỨNG', 'CHẨN_ĐOÁN', 'THUỐC') then concat_ws('|', case when contains(marked, 'không [E]') then 'isNegated' end, case when contains(marked, 'Tiền sử') then 'isHistorical' end, case when contains(marked, 'có người') then 'isFamily' end) else assertions end as assertions from m"))
+def learned_assertions(spark, sf_dir):
+    """A stand-in for a model, a function of the marked text that returns three probabilities."""
+    n = notes(spark, sf_dir)
+    c = extract.extract(n).join(n, "doc_id").withColumn("marked", text.mark(F.col("raw"), F.col("start"), F.col("end")))
+    model = lambda t: F.array(*[F.when(t.contains(w), 0.9).otherwise(0.1) for w in ("không [E]", "Tiền sử", "có người")])
+    return context.model_assertions(c, model).select("doc_id", "start", "type", joined("assertions").alias("assertions"))
+
+
+@query(o.with_notes(o.lines_sql("notes"), o.extract_sql(), "first_ as (select doc_id from notes order by doc_id limit 50)", select="select type, count(*) + count(*) filter (doc_id in (select doc_id from first_)) as n from concepts group by type"))
+def training_counts(spark, sf_dir):
+    """Q7, Q8: the labelled notes, and the first fifty of them once more."""
+    g = _gold(spark, sf_dir)
+    return sequence.concat_training(g, None, sequence.subset(g, "doc_id", 50))[1]
+
+
 @query("select l_orderkey as doc_id, l_linenumber as i, l_partkey, case when l_partkey % 3 = 2 then 'unknown words 5' else p_name end as text from lineitem join part on l_partkey = p_partkey")
 def kb_trimmed(spark, sf_dir):
     """Names with words after them shrink to the name, linked names and unknown ones stay."""

@@ -8,6 +8,16 @@ from ..functions.config import LINKABLE
 from ..functions.text import is_grounded
 
 
+def scratch_path(spark, name: str) -> str:
+    """A new path in the folder that all executors share (``spark.checkpoint.dir``), or in a local one where there is one process only."""
+    import uuid
+
+    folder, master = spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.master", "")
+    if not folder and master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(folder or 'file:///tmp/checkpoints/medlattice').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def to_records(concepts: DataFrame, docs: DataFrame) -> DataFrame:
     """O1: one row per document: doc_id, records (JSON objects in order of position, ungrounded ones dropped, no de-duplication).
 
@@ -40,7 +50,7 @@ def write_json_files(records: DataFrame, path: str) -> int:
     def run(batches):
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        store, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
         store.create_dir(root)
         for batch in batches:
             for name, text in zip(*(c.to_pylist() for c in batch.columns)):

@@ -106,3 +106,16 @@ def test_map_agrees_with_unicode_rules(spark):
     for c in "ạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ":
         base = unicodedata.normalize("NFD", c)[0]
         assert one(spark, text.normalize(lit(c))) == base
+
+
+def test_settings_from_files(tmp_path):
+    from medlattice.functions.config import CUES, SECTIONS
+    from medlattice.functions.settings import Settings, load
+
+    files = {"t": "rules:\n  max_len: 7\n  unknown: 1\nlink:\n  fuzzy_threshold: 80\n", "s": "SYMPTOM:\n  - Triệu chứng\n", "c": "isFamily:\n  - ông\n", "e": ""}
+    for name, body in files.items():
+        (tmp_path / name).write_text(body, encoding="utf-8")
+    got = load(*[str(tmp_path / n) for n in "tsc"])
+    assert (got.max_len, got.fuzzy_threshold, got.neg_window) == (7, 80, Settings().neg_window)
+    assert got.sections == {"SYMPTOM": ["trieu chung"]} and got.cues == CUES | {"isFamily": ["ông"]}
+    assert load() == Settings() and load(str(tmp_path / "e")).sections == SECTIONS
