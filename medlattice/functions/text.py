@@ -174,23 +174,42 @@ def expand_abbreviation(norm: Column, table: dict[str, str] | None = None) -> Co
 # --- T6-T8: search
 
 
+_RUN = 64
+
+
+def grown(acc: Column, item: Column) -> Column:
+    """``acc`` (struct of full, part) with one item more: parts of ``_RUN`` items are closed, so that a long list isn't copied for every item."""
+    part = F.concat(acc["part"], F.array(item))
+    whole = F.size(part) >= _RUN
+    return F.struct(F.when(whole, F.concat(acc["full"], F.array(part))).otherwise(acc["full"]).alias("full"), F.when(whole, F.slice(part, 1, 0)).otherwise(part).alias("part"))
+
+
+def no_items(kind: str) -> Column:
+    """The empty list to grow, of items of a type."""
+    return F.struct(F.array().cast(f"array<array<{kind}>>").alias("full"), F.array().cast(f"array<{kind}>").alias("part"))
+
+
+def items(acc: Column) -> Column:
+    return F.concat(F.flatten(acc["full"]), acc["part"])
+
+
 def match_positions(c: Column, pattern: Column | str, target: Column | None = None) -> Column:
-    """All matches with offsets, for texts of a few hundred matches: one fold over gaps and matches.
+    """All matches with offsets: one fold over gaps and matches.
 
     ``target`` is the text whose substrings are returned (the raw text when ``c`` is its normalised view).
     """
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
     found = F.regexp_extract_all(c, p, F.lit(0))
     gaps = F.transform(F.split(c, p, -1), lambda g: F.length(g))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    begin = F.struct(F.lit(0).alias("at"), no_items("struct<start:int,end:int>").alias("out"))
 
     def step(acc, x):
         s = acc["at"] + F.coalesce(x["g"], F.lit(0))
         e = s + F.length(x["m"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("start"), e.alias("end")))).alias("out"))
+        return F.struct(e.alias("at"), grown(acc["out"], F.struct(s.alias("start"), e.alias("end"))).alias("out"))
 
     pairs = F.filter(F.arrays_zip(found.alias("m"), gaps.alias("g")), lambda x: x["m"].isNotNull())
-    spans = F.aggregate(pairs, begin, step, lambda acc: acc["out"])
+    spans = F.aggregate(pairs, begin, step, lambda acc: items(acc["out"]))
     raw = c if target is None else target
     return F.transform(spans, lambda x: F.struct(x["start"], x["end"], F.substring(raw, x["start"] + 1, x["end"] - x["start"]).alias("raw")))
 

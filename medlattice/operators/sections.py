@@ -16,7 +16,7 @@ from pyspark.sql.functions import pandas_udf
 from ..functions.config import OTHER
 from ..functions.settings import Settings
 from ..functions.fuzzy import ratio
-from ..functions.text import LINE_BREAK, WS, bind, lookup, normalize, strip
+from ..functions.text import LINE_BREAK, WS, bind, grown, items, lookup, no_items, normalize, strip
 
 
 def line_table(docs: DataFrame, pattern: str = LINE_BREAK, whole: bool = False) -> DataFrame:
@@ -41,6 +41,21 @@ def newline_spans(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "line_no", F.col("line_start").alias("start"), F.coalesce(nxt, F.col("size")).cast("int").alias("end"), "size").where("size > 0").drop("size")
 
 
+def packed(lines: Column, fits) -> Column:
+    """Lines (start, end, n) in order joined to runs while ``fits(run, line)``; a line that fits into none is a run of its own."""
+    kind = "struct<start:int,end:int,n:int>"
+    begin = F.struct(F.lit(None).cast(kind).alias("run"), no_items(kind).alias("out"))
+    line = lambda x: F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"), x["n"].cast("int").alias("n"))
+
+    def step(acc, x):
+        run = acc["run"]
+        joins = run.isNotNull() & fits(run, x)
+        longer = F.struct(run["start"].alias("start"), x["end"].cast("int").alias("end"), (run["n"] + x["n"]).cast("int").alias("n"))
+        return F.struct(F.when(joins, longer).otherwise(line(x)).alias("run"), F.when(joins | run.isNull(), acc["out"]).otherwise(grown(acc["out"], run)).alias("out"))
+
+    return F.aggregate(lines, begin, step, lambda acc: F.concat(items(acc["out"]), F.array_compact(F.array(acc["run"]))))
+
+
 # --- G1: canonical section of a header text
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.config import TYPES
-from .sections import line_table
+from .sections import line_table, packed
 
 #: Label 0 is O; then B and I of each type in order.
 LABELS = ["O"] + [f"{p}-{t}" for t in TYPES for p in ("B", "I")]
@@ -48,18 +48,12 @@ def chunk_lines(docs: DataFrame, max_len: int, n_tokens: Callable[[Column], Colu
     """Q3: doc_id, chunk, start, end: lines packed while their tokens stay within max(8, max_len - 2); a longer line is alone."""
     budget = max(8, max_len - 2)
     count = n_tokens or (lambda c: F.size(F.filter(F.split(c, r"(?U)\s+"), lambda t: t != "")))
-    lines = line_table(docs)
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    lines = lines.join(docs.select("doc_id", F.length("raw").alias("size")), "doc_id").withColumn("end", F.coalesce(F.lead("line_start").over(w), F.col("size")).cast("int"))
-    per = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("line_start").alias("start"), "end", count(F.col("line")).cast("int").alias("n")))).alias("x"))
-
-    def step(acc, x):
-        last = F.try_element_at(acc, F.lit(-1))
-        grown = F.struct(last["start"].alias("start"), x["end"].alias("end"), (last["n"] + x["n"]).alias("n"))
-        fits = last.isNotNull() & (last["n"] + x["n"] <= budget)
-        return F.when(fits, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(x)))
-
-    return per.select("doc_id", F.posexplode(F.aggregate("x", F.slice("x", 1, 0), step)).alias("chunk", "c")).select("doc_id", "chunk", "c.start", "c.end")
+    lines = line_table(docs, whole=True).where("size > 0")
+    end = F.coalesce(F.lead("line_start").over(Window.partitionBy("doc_id").orderBy("line_no")), F.col("size")).cast("int")
+    line = F.struct(F.col("line_start").alias("start"), "end", count(F.col("line")).cast("int").alias("n"))
+    per = lines.withColumn("end", end).groupBy("doc_id").agg(F.array_sort(F.collect_list(line)).alias("x"))
+    cut = packed(F.col("x"), lambda run, x: run["n"] + x["n"] <= budget)
+    return per.select("doc_id", F.posexplode(cut).alias("chunk", "c")).select("doc_id", "chunk", "c.start", "c.end")
 
 
 def predict_spans(docs: DataFrame, max_len: int, predict: Callable[[DataFrame], DataFrame], min_prob: float = 0.0) -> DataFrame:

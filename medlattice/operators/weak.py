@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.config import ABBREVIATIONS, ASSERTABLE, DIAGNOSIS, DRUG, FILLERS, LAB_NAME, LINKABLE, SYMPTOM
 from ..functions.settings import Settings
 from ..functions.text import TOKEN_LEFT, TOKEN_RIGHT, WS, bind, char_class, collapse, find_all, first_match, mark, multi_hot, n_words, normalize, normalize_literal, parse_marked, strip, strip_span, trimmed, words
-from .sections import newline_spans
+from .sections import newline_spans, packed
 
 
 # --- W1, W2: dictionary labelling
@@ -128,16 +128,10 @@ def vote(samples: DataFrame, min_votes: int = 2) -> DataFrame:
 
 def windows(docs: DataFrame, target: int = 1200) -> DataFrame:
     """Line windows of at most ``target`` characters (one line at least): doc_id, window, w0, w1."""
-    per = newline_spans(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("lines"))
-    begin = F.slice("lines", 1, 0)
-
-    def step(acc, x):
-        last = F.try_element_at(acc, F.lit(-1))
-        grown = F.struct(last["start"].alias("start"), x["end"].alias("end"))
-        fits = last.isNotNull() & (x["end"] - last["start"] <= target)
-        return F.when(fits, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(x)))
-
-    return per.select("doc_id", F.posexplode(F.aggregate("lines", begin, step)).alias("window", "w")).select("doc_id", "window", F.col("w.start").alias("w0"), F.col("w.end").alias("w1"))
+    line = F.struct("start", "end", F.lit(1).alias("n"))
+    per = newline_spans(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    cut = packed(F.col("lines"), lambda run, x: x["end"] - run["start"] <= target)
+    return per.select("doc_id", F.posexplode(cut).alias("window", "w")).select("doc_id", "window", F.col("w.start").alias("w0"), F.col("w.end").alias("w1"))
 
 
 def chunk_labelled(docs: DataFrame, concepts: DataFrame, target: int = 1200) -> DataFrame:
