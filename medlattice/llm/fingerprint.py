@@ -179,7 +179,7 @@ def with_next(docs: DataFrame, key: str, text: str, rows_per_bucket: int = RANGE
     here = F.struct(F.col("b").alias("b"), F.lit(0).alias("spare"))
     there = F.struct(F.col("prior").alias("b"), F.lit(1).alias("spare"))
     dealt = placed.select("k", "t", "p", F.explode(F.when(F.col("p") == F.col("first"), F.array(here, there)).otherwise(F.array(here))).alias("x")).select("x.b", "x.spare", "k", "t", "p")
-    tasks = max(spark.sparkContext.defaultParallelism, -(-whole["bytes"] // TASK_BYTES))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-whole["bytes"] // TASK_BYTES))
     return dealt.repartition(tasks, "b").sortWithinPartitions("b", "spare", "p").select("b", "spare", "k", "t")
 
 
