@@ -130,7 +130,7 @@ def marked_context(spark, sf_dir):
     return d.select("doc_id", text.mark(F.col("raw"), F.col("s"), F.col("e")).alias("marked"))
 
 
-@query("select conv_id, turn, concat('Viết một bệnh án ngắn chuyên khoa ', (" + "['" + "','".join(synth.SPECIALTIES) + "']" + ")[cast(conv_id % 12 + 1 as int)], '. Đánh dấu mỗi khái niệm bằng <c type=\"LOẠI\" a=\"NHÃN\">...</c>.') as prompt from conversations")
+@query(f"select conv_id, turn, concat('Viết một bệnh án ngắn chuyên khoa ', {synth.SPECIALTIES!r}[cast(conv_id % 12 + 1 as int)], '.', chr(10), {o.q(synth.GENERATION_RULES)}, chr(10), {o.q(synth.MARKUP_RULES)}) as prompt from conversations")
 def generation_prompts(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", synth.generation_prompt(F.col("conv_id")).alias("prompt"))
 
@@ -631,7 +631,7 @@ def distinct_terms(spark, sf_dir):
     return readers.distinct_terms(part_kb(spark, sf_dir))
 
 
-@query(f"with {_DOCS} select doc_id, concat('Chép lại nguyên văn và đánh dấu mỗi khái niệm bằng <c type=\"LOẠI\" a=\"NHÃN\">...</c>:', chr(10), substr(raw, 1, 5000)) as prompt from docs_")
+@query(f"with {_DOCS} select doc_id, concat({o.q(synth.ANNOTATION_RULES)}, chr(10), {o.q(synth.MARKUP_RULES)}, chr(10), chr(10), substr(raw, 1, 5000)) as prompt from docs_")
 def annotation_prompts(spark, sf_dir):
     """The prompt holds the first 5,000 characters of a note, by contract."""
     return docs(spark, sf_dir).select("doc_id", synth.annotation_prompt(F.col("raw")).alias("prompt"))

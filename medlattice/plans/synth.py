@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.config import DIAGNOSIS, DRUG, FAMILY, HISTORICAL, LAB_NAME, LAB_RESULT, NEGATED, SYMPTOM
+from ..functions.config import ASSERTABLE, DIAGNOSIS, DRUG, FAMILY, HISTORICAL, LAB_NAME, LAB_RESULT, NEGATED, SYMPTOM, TYPES
 
 DRUGS = ["metformin 500 mg", "amlodipine 5 mg", "aspirin 81 mg", "losartan 50 mg", "atorvastatin 20 mg", "omeprazole 40 mg", "furosemide 20 mg", "prednisone 10 mg", "warfarin 2.5 mg", "insulin glargine"]
 DIAGNOSES = ["tăng huyết áp", "đái tháo đường type 2", "suy tim", "hen phế quản", "viêm phổi", "suy thận mạn", "rung nhĩ", "thiếu máu", "viêm gan b", "loét dạ dày"]
@@ -97,12 +97,30 @@ def train_dev(spark: SparkSession, n_train: int, n_dev: int) -> tuple[DataFrame,
 SPECIALTIES = ["tim mạch", "hô hấp", "tiêu hóa", "thận", "nội tiết", "thần kinh", "cơ xương khớp", "truyền nhiễm", "huyết học", "da liễu", "ung bướu", "cấp cứu"]
 
 
+#: What both prompts ask of the mark-up, in our own words.
+MARKUP_RULES = "\n".join([
+    'Đánh dấu mỗi khái niệm bằng <c type="LOẠI" a="NHÃN">...</c>.',
+    f"LOẠI là một trong: {', '.join(TYPES)}.",
+    f"NHÃN chỉ dùng cho {', '.join(ASSERTABLE)}: {NEGATED} nếu bị phủ định, {HISTORICAL} nếu thuộc tiền sử, {FAMILY} nếu nói về người thân; nhiều nhãn cách nhau bằng dấu phẩy, không có nhãn thì bỏ a.",
+    "Thẻ không lồng nhau, không ôm dấu câu ở hai đầu, và tên xét nghiệm tách khỏi kết quả của nó.",
+])
+GENERATION_RULES = "\n".join([
+    "Bệnh án có các mục đánh số: tiền sử bệnh, bệnh sử hiện tại, đánh giá tại bệnh viện; mỗi mục có gạch đầu dòng hoặc câu kể.",
+    "Có ít nhất bốn khái niệm, trong đó có thuốc kèm hàm lượng, xét nghiệm kèm kết quả và một triệu chứng bị phủ định.",
+    "Không bịa tên người, địa chỉ hay số giấy tờ. Chỉ trả về bệnh án đã đánh dấu.",
+])
+ANNOTATION_RULES = "\n".join([
+    "Chép lại nguyên văn bệnh án dưới đây, chỉ thêm thẻ: không sửa, thêm hay bớt một ký tự nào, kể cả lỗi chính tả và dấu cách.",
+    "Phần trong thẻ phải có nguyên trong bệnh án. Chỉ trả về bệnh án đã đánh dấu.",
+])
+
+
 def generation_prompt(i: Column) -> Column:
     """Asks for a marked note; specialties take turns."""
     topic = F.element_at(F.array(*[F.lit(s) for s in SPECIALTIES]), (F.pmod(i, F.lit(len(SPECIALTIES))) + 1).cast("int"))
-    return F.concat(F.lit("Viết một bệnh án ngắn chuyên khoa "), topic, F.lit('. Đánh dấu mỗi khái niệm bằng <c type="LOẠI" a="NHÃN">...</c>.'))
+    return F.concat(F.lit("Viết một bệnh án ngắn chuyên khoa "), topic, F.lit(f".\n{GENERATION_RULES}\n{MARKUP_RULES}"))
 
 
 def annotation_prompt(raw: Column, limit: int = 5000) -> Column:
     """Asks for the same note with mark-up; a note's first ``limit`` characters, which is this prompt's contract."""
-    return F.concat(F.lit('Chép lại nguyên văn và đánh dấu mỗi khái niệm bằng <c type="LOẠI" a="NHÃN">...</c>:\n'), F.substring(raw, 1, limit))
+    return F.concat(F.lit(f"{ANNOTATION_RULES}\n{MARKUP_RULES}\n\n"), F.substring(raw, 1, limit))
