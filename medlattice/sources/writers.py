@@ -15,7 +15,12 @@ def scratch_path(spark, name: str) -> str:
     folder, master = spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.master", "")
     if not folder and master != "local" and not master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(folder or 'file:///tmp/checkpoints/medlattice').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{(folder or 'file:///tmp/checkpoints/medlattice').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if "://" in path:
+        return path
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)  # a path without a scheme belongs to the default file system
+    whole = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(at).toString()
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 def to_records(concepts: DataFrame, docs: DataFrame) -> DataFrame:
