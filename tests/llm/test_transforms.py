@@ -324,6 +324,8 @@ def test_bpe_query(spark, both):
     assert len(got) == 5 and {r["n_tokens"] for r in got if r["doc_id"] in (2, 3)} == {0}
     assert next(r for r in got if r["doc_id"] == 4)["ids"] == both[1].encode("x" * 70000, add_special_tokens=False).ids
     assert bpe.encode(d.limit(0), TOKENIZER, ["doc_id"]).count() == 0
+    clash = bpe.encode(d, TOKENIZER, ["doc_id", "ids"])
+    assert clash.columns == ["doc_id", "ids", "ids_", "n_tokens", "ids_sha256", "decoded_sha256"] and {r["ids"] for r in clash.collect()} == {0}
 
 
 # --- chat
