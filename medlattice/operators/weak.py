@@ -25,7 +25,7 @@ def term_index(diseases: DataFrame, drugs: DataFrame, symptoms: DataFrame, labs:
     plain = drugs.where(~F.col("term").rlike(r"(?U)\d") & (n_words(F.col("term")) <= 3))
     every = source(0, _by_code(diseases), DIAGNOSIS, True).unionByName(source(1, _by_code(plain), DRUG, True)).unionByName(source(2, symptoms, SYMPTOM, False)).unionByName(source(3, labs, LAB_NAME, False))
     kept = every.where((F.length("norm") >= 3) & (F.size(words(F.col("norm"))) <= max_words))
-    index = kept.groupBy("norm").agg(F.min_by(F.struct("type", "code"), "at").alias("x")).select("norm", "x.type", "x.code")
+    index = kept.groupBy("norm").agg(F.min_by(F.struct("type", "code"), "at").alias("x")).select("norm", "x.type", "x.code").persist()  # as large as the dictionaries; read several times
     short = index.sparkSession.createDataFrame([(normalize_literal(a), normalize_literal(full)) for a, full in ABBREVIATIONS.items()], "ab string, norm string")
     inherited = short.join(index, "norm").select(F.col("ab").alias("norm"), "type", "code").join(index.select("norm"), "norm", "left_anti")
     return index.unionByName(inherited)
@@ -55,9 +55,10 @@ def distant_label(docs: DataFrame, index: DataFrame, max_words: int = 8) -> Data
     # the first word of a run's key is its first token without edges; a token of edges alone leaves it to the next
     left, right = f"^{char_class(TOKEN_LEFT)}+", f"{char_class(TOKEN_RIGHT)}+\\z"
     bare = F.regexp_replace("norm", left, "")
-    heads = index.select(F.split("norm", " ")[0].alias("head")).distinct()
+    none = index.sparkSession.createDataFrame([("",)], "head string")
+    heads = index.select(F.split("norm", " ")[0].alias("head")).union(none).distinct()
     opening = runs.withColumn("head", F.explode(F.array_distinct(F.array(bare, F.regexp_replace(bare, right, "")))))
-    opening = opening.where("head <> ''").join(heads, "head", "left_semi").unionByName(opening.where("head = ''")).drop("head", "norm")
+    opening = opening.join(heads, "head", "left_semi").drop("head", "norm")
     key = F.regexp_replace(F.array_join(F.transform(F.slice("ahead", F.lit(1), F.col("w") + 1), lambda x: x["norm"]), " "), f"{left}|{right}", "")
     found = opening.select("doc_id", "s", "n", F.posexplode("ahead").alias("w", "x"), "ahead").select("doc_id", "s", F.col("n").alias("i"), "w", "x.e", key.alias("norm")).where("norm <> ''").join(index, "norm")
     best = found.groupBy("doc_id", "i").agg(F.max_by(F.struct("s", "e", "type", "code"), "w").alias("h"))
