@@ -14,6 +14,8 @@ symbols numbers, at most 8 x 10,258, whatever the corpus.
 
 Training counts each token and each transition once, in pieces of ``PIECE`` tokens so that memory is bounded; a piece is
 read with ``CONTEXT`` tokens on both sides, which are not counted in it but let its states settle.  Scoring never splits.
+The recursions go through an Arrow batch's sequences side by side, so a step's cost is shared by as many as are that long;
+memory is bounded by ``_BLOCK_TOKENS``, in training by whole pieces, in scoring by windows of steps.
 Defined results: null and empty texts are only an end; very long texts are scored whole; without training rows every count
 is 0, the base score is 0 and all symbols are equally likely; repeated rows, null ids too, are scored alike; equal counts
 (ties) need no order; an empty table gives no rows; columns other than doc_id, held_out and text are not read.
@@ -24,6 +26,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,16 +40,22 @@ SAMPLE_TOKENS, SAMPLE_ROUNDS, CORPUS_ROUNDS = 200_000, 15, 3
 #: Tokens of the overall distribution that each state is given beforehand; they keep a small corpus from being learnt by heart.
 PRIOR = 100.0
 END = b""  # no word is empty
+#: Tokens that are computed side by side; a longer sequence is a block of its own.
 _BLOCK_TOKENS = 200_000
+#: Steps after which the forward recursion is scaled; between them it falls by no more than the smallest transition a step.
+_SCALED = 8
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """UTF-8 words, A-Z lower-cased, cut at ASCII white space: bytes know no other letters and spaces."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def words_of(text: bytes | None) -> list[bytes]:
+    """Words of a UTF-8 text, A-Z lower-cased, cut at ASCII white space: bytes know no other letters and spaces."""
+    return (text or b"").lower().split()
 
 
 def word_class(word: bytes) -> int:
-    return zlib.crc32(word.decode("utf-8", "replace")[-2:].encode()) % CLASSES
+    tail = word[-2:]
+    if not tail.isascii():
+        tail = word.decode("utf-8", "replace")[-2:].encode()
+    return zlib.crc32(tail) % CLASSES
 
 
 class Hmm:
@@ -75,43 +84,69 @@ class Hmm:
         return cls(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0), overall / overall.sum())
 
 
-def _padded(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sequences by falling length as a time-major matrix; the number alive at each time; their order."""
-    length = np.array([len(s) for s in seqs])
-    order = np.argsort(-length, kind="stable")
-    grid = np.zeros((length.max(), len(seqs)), np.uint16)
-    for column, i in enumerate(order):
-        grid[: length[i], column] = seqs[i]
-    alive = np.searchsorted(-length[order], -np.arange(length.max()), side="left")
-    return grid, alive, order
+class _Packed:
+    """Sequences side by side, by falling length, without padding: the symbols of all at time 0, then of all at time 1, and so on."""
+
+    def __init__(self, seqs: list[np.ndarray]):
+        length = np.array([len(s) for s in seqs])
+        self.order = np.argsort(-length, kind="stable")
+        self.length = length[self.order]
+        self.begin = np.cumsum(self.length) - self.length
+        self.flat = np.concatenate([seqs[i] for i in self.order])
+        self.alive = np.searchsorted(-self.length, -np.arange(self.length[0]), side="left")
+        self.at = np.concatenate(([0], np.cumsum(self.alive)))
+        rank = np.repeat(np.arange(len(seqs)), self.length)
+        self.time = np.arange(len(self.flat)) - self.begin[rank]
+        self.place = self.at[self.time] + rank
+
+    def packed(self, values: np.ndarray) -> np.ndarray:
+        """One value a token, sequence by sequence, in the packed order."""
+        out = np.empty_like(values)
+        out[self.place] = values
+        return out
 
 
 def in_blocks(seqs: list[np.ndarray], tokens: int = _BLOCK_TOKENS) -> Iterator[list[int]]:
-    """Indices in groups of like length, each of at most ``tokens`` cells when padded, or one sequence."""
-    held, longest = [], 0
+    """Indices in groups of like length, each of at most ``tokens`` tokens, or one sequence."""
+    held, size = [], 0
     for i in sorted(range(len(seqs)), key=lambda i: -len(seqs[i])):
-        if held and longest * (len(held) + 1) > tokens:
+        if held and size + len(seqs[i]) > tokens:
             yield held
-            held = []
-        longest = longest if held else len(seqs[i])
+            held, size = [], 0
         held.append(i)
+        size += len(seqs[i])
     if held:
         yield held
 
 
 def log_likelihoods(model: Hmm, seqs: list[np.ndarray]) -> np.ndarray:
-    """Natural log-likelihood of each symbol sequence: forward recursion, scaled at every step."""
-    out = np.zeros(len(seqs))
-    for block in in_blocks(seqs):
-        grid, alive, order = _padded([seqs[i] for i in block])
-        a, ll = np.repeat(model.start[None, :], len(block), axis=0), np.zeros(len(block))
-        for t in range(len(grid)):
-            n = alive[t]
-            a = (a[:n] @ model.move if t else a[:n]) * model.emit[grid[t, :n]]
-            c = a.sum(axis=1)
-            a /= c[:, None]
-            ll[:n] += np.log(c)
-        out[np.array(block)[order]] = ll
+    """Natural log-likelihood of each symbol sequence: forward recursion, scaled as it goes."""
+    length = np.array([len(s) for s in seqs], np.int64)
+    order = np.argsort(-length, kind="stable")
+    largest = model.emit.max(axis=1, keepdims=True)
+    emit, log_largest, one = model.emit / largest, np.log(largest[:, 0]), np.ones(len(model.start))
+    a, ll = np.repeat(model.start[None, :], len(seqs), axis=0), np.zeros(len(seqs))
+    moved, done, n = np.empty_like(a), 0, len(seqs)
+    while n:  # some steps of all sequences that are as long
+        steps = max(1, _BLOCK_TOKENS // n)
+        p = _Packed([seqs[i][done : done + steps] for i in order[:n]])
+        ahead, at = emit[p.packed(p.flat)], p.at.tolist()
+        ll[:n] += np.add.reduceat(log_largest[p.flat], p.begin)
+        for t in range(len(p.alive)):
+            now = ahead[at[t] : at[t + 1]]
+            alive = a[: len(now)]
+            if done + t:
+                np.multiply(np.matmul(alive, model.move, out=moved[: len(now)]), now, out=alive)
+            else:
+                alive *= now
+            if (done + t) % _SCALED == _SCALED - 1:
+                c = alive @ one
+                alive /= c[:, None]
+                ll[: len(now)] += np.log(c)
+        done += steps
+        n = int((length > done).sum())
+    out = np.empty(len(seqs))
+    out[order] = ll + np.log(a @ one)
     return out
 
 
@@ -121,37 +156,48 @@ def expected_counts(model: Hmm, seqs: list[np.ndarray], fresh: list[bool], spans
     Of each sequence the tokens within its span are counted, and the transitions into them; all of it without spans.
     """
     states, symbols = len(model.start), len(model.emit)
-    start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states))
+    start, pairs, emit = np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states))
     spans = spans or [(0, len(s)) for s in seqs]
+    share = model.emit / model.emit.max(axis=1, keepdims=True)  # a factor of all states at once leaves the counts as they are
+    back, one = np.ascontiguousarray(model.move.T), np.ones(states)
     for block in in_blocks(seqs):
-        grid, alive, order = _padded([seqs[i] for i in block])
-        new = np.array([fresh[block[i]] for i in order])
-        lo, hi = np.array([spans[block[i]] for i in order]).T
-        a = np.where(new[:, None], model.start, model.overall)
-        forward, scale = [], []
-        for t in range(len(grid)):
-            n = alive[t]
-            a = (a[:n] @ model.move if t else a[:n]) * model.emit[grid[t, :n]]
-            c = a.sum(axis=1)
-            a = a / c[:, None]
-            forward.append(a)
-            scale.append(c)
-        counted = [(lo[:n] <= t) & (t < hi[:n]) for t, n in enumerate(alive)]
-        b = np.ones((alive[-1], states))
-        gammas = [forward[-1] * counted[-1][:, None]]
-        for t in range(len(grid) - 2, -1, -1):
-            n, later = alive[t], alive[t + 1]
-            x = b * model.emit[grid[t + 1, :later]] / scale[t + 1][:, None]
-            move += (forward[t][:later].T @ (x * counted[t + 1][:, None])) * model.move
-            b = np.ones((n, states))
-            b[:later] = x @ model.move.T
-            gammas.append(forward[t] * b * counted[t][:, None])
-        start += gammas[-1][new].sum(axis=0)
-        symbol = np.concatenate([grid[t, : alive[t]] for t in range(len(grid) - 1, -1, -1)])
-        gamma = np.concatenate(gammas)
+        p = _Packed([seqs[i] for i in block])
+        symbol, at, last = p.packed(p.flat), p.at.tolist(), len(p.alive) - 1
+        new = np.array([fresh[block[i]] for i in p.order])
+        first, end = (np.repeat(x, p.length) for x in np.array([spans[block[i]] for i in p.order]).T)
+        counted = p.packed((first <= p.time) & (p.time < end))
+        whole = (np.add.reduceat(counted, p.at[:-1], dtype=np.int64) == p.alive).tolist()
+        x = share[symbol]  # emissions, later those times the backward values
+        f = np.empty_like(x)  # forward, later expected states
+        scale = {}
+        for t in range(last + 1):
+            here, now = f[at[t] : at[t + 1]], x[at[t] : at[t + 1]]
+            if t:
+                np.matmul(f[at[t - 1] : at[t - 1] + len(here)], model.move, out=here)
+                here *= now
+            else:
+                np.multiply(np.where(new[:, None], model.start, model.overall), now, out=here)
+            if t % _SCALED == _SCALED - 1:
+                scale[t] = (here @ one)[:, None]
+                here /= scale[t]
+        b = np.repeat(1 / (f[p.at[p.length - 1] + np.arange(len(block))] @ one)[:, None], states, axis=1)
+        for t in range(last, -1, -1):
+            here, now = f[at[t] : at[t + 1]], x[at[t] : at[t + 1]]
+            alive = b[: len(here)]
+            if t:
+                now *= alive
+                if t in scale:
+                    now /= scale[t]
+                into = now if whole[t] else now * counted[at[t] : at[t + 1], None]
+                pairs += f[at[t - 1] : at[t - 1] + len(here)].T @ into
+            here *= alive
+            if t:
+                np.matmul(now, back, out=alive)
+        start += (f[: at[1]] * counted[: at[1], None])[new].sum(axis=0)
+        kept = np.where(counted, symbol, symbols).astype(np.intp)
         for s in range(states):
-            emit[:, s] += np.bincount(symbol, weights=gamma[:, s], minlength=symbols)
-    return start, move, emit
+            emit[:, s] += np.bincount(kept, weights=f[:, s], minlength=symbols + 1)[:symbols]
+    return start, pairs * model.move, emit
 
 
 def pieces(seqs: list[np.ndarray]) -> tuple[list[np.ndarray], list[bool], list[tuple[int, int]]]:
@@ -175,6 +221,16 @@ def _slices(it: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]
             yield batch.slice(lo, rows)
 
 
+def _bytes(column: pa.Array) -> list[bytes | None]:
+    """Texts as their UTF-8 bytes."""
+    return column.cast(pa.large_binary()).to_pylist()
+
+
+def _sequences(column: pa.Array) -> list[np.ndarray]:
+    """Packed symbols as arrays that share the column's memory."""
+    return [np.frombuffer(x.as_buffer(), np.uint16) for x in column]
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """(word, c) over all ``texts`` (column text), the end among them; each task sends its distinct words, flushed at a bounded number."""
     target = pa.schema([("word", pa.string()), ("c", pa.int64())])
@@ -182,7 +238,7 @@ def count_words(texts: DataFrame) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
         for part in _slices(it, 256):
-            for t in part.column(0).to_pylist():
+            for t in _bytes(part.column(0)):
                 held.update(words_of(t))
             held[END] += part.num_rows
             if len(held) > 150_000:
@@ -206,34 +262,46 @@ def symbolise(docs: DataFrame, known: dict[bytes, int], head: dict[bytes, int])
         known, head = shipped.value
         uid = TaskContext.get().partitionId() << 36
         base = len(head)
-        symbol = _Symbols(head, base)
-        logs = {w: math.log10(c + 1) for w, c in known.items()}
+        names = list(known) + [w for w in head if w not in known]  # the end too, if there are no training rows
+        number = {w: i for i, w in enumerate(names)}
+        # of each number, and then of each class, which stands for all other words
+        symbol = np.array([head[w] if w in head else base + word_class(w) for w in names] + [base + k for k in range(CLASSES)], np.uint16)
+        logs = np.array([math.log10(known[w] + 1) if w in known else 0.0 for w in names] + [0.0] * CLASSES)
+        tail, tails = np.where(symbol >= base, logs, 0.0), _Tails()
         for part in _slices(it, 256):
-            out = []
-            for doc, held_out, text in zip(*(c.to_pylist() for c in part.columns)):
-                words = [*words_of(text), END]
-                s = np.fromiter(map(symbol.__getitem__, words), np.uint16, len(words))
-                own = [logs.get(w) for w in words]
-                rest = [w for w, x in zip(words, own) if x is None]
-                kept = [x for x in own if x is not None]
-                tail = sum(x for x, outside in zip(own, (s >= base).tolist()) if outside and x is not None)
-                out.append((uid, doc, held_out, s.tobytes(), len(words), len(kept), math.fsum(kept), tail, rest))
-                uid += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), target)], schema=target)
+            words, ends = [], []
+            for text in _bytes(part.column(2)):
+                words += words_of(text)
+                words.append(END)
+                ends.append(len(words))
+            n = np.fromiter(map(number.get, words, repeat(-1)), np.int64, len(words))
+            other = (n < 0) | (n >= len(known))
+            n[n < 0] = len(names) + np.array([tails.word_class(w) for w in compress(words, (n < 0).tolist())], np.int64)
+            begins = np.array([0, *ends])
+            others = np.concatenate(([0], np.cumsum(other)))[begins]
+            total = np.diff(begins)
+            out = [
+                pa.array(np.arange(uid, uid + part.num_rows)), *part.columns[:2],
+                pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((begins * 2).astype(np.int32)), pa.py_buffer(symbol[n])]),
+                pa.array(total), pa.array(total - np.diff(others)), pa.array(np.add.reduceat(logs[n], begins[:-1])), pa.array(np.add.reduceat(tail[n], begins[:-1])),
+                pa.ListArray.from_arrays(pa.array(others, pa.int32()), pa.array(list(compress(words, other.tolist())), pa.string())),
+            ]
+            uid += part.num_rows
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(out, target)], schema=target)
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, "uid bigint, doc_id bigint, held_out boolean, symbols binary, n_tokens bigint, known_n bigint, known_log double, known_tail double, rest array<string>")
 
 
-class _Symbols(dict):
-    def __init__(self, head: dict[bytes, int], base: int):
-        super().__init__(head)
-        self.base = base
+class _Tails(dict):
+    """Classes by the last two bytes, where those are characters; other words are looked at whole."""
 
-    def __missing__(self, word: bytes) -> int:
-        x = self.base + word_class(word)
-        if len(self) < self.base + 100_000:
-            self[word] = x
-        return x
+    def word_class(self, word: bytes) -> int:
+        found = self.get(word[-2:])
+        if found is None:
+            found = word_class(word)
+            if word[-2:].isascii():
+                self[word[-2:]] = found
+        return found
 
 
 def corpus_counts(symbols: DataFrame, model: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -243,8 +311,8 @@ def corpus_counts(symbols: DataFrame, model: Hmm) -> tuple[np.ndarray, np.ndarra
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, total = shipped.value, None
-        for part in _slices(it, 512):
-            cut = pieces([np.frombuffer(x, np.uint16) for x in part.column(0).to_pylist()])
+        for part in it:
+            cut = pieces(_sequences(part.column(0)))
             if cut[0]:
                 start, move, emit = expected_counts(m, *cut)
                 all_ = np.concatenate((start[None, :], move, emit))
@@ -315,10 +383,11 @@ def score(docs: DataFrame, states: int = STATES) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, log_size, base = shipped.value
-        for part in _slices(it, 512):
-            seqs = [np.frombuffer(x, np.uint16) for x in part.column(len(names)).to_pylist()]
+        size = np.concatenate((np.zeros(base), log_size))
+        for part in it:
+            seqs = _sequences(part.column(len(names)))
             ll = log_likelihoods(m, seqs) / math.log(10)
-            within = np.array([log_size[s[s >= base] - base].sum() for s in seqs])
+            within = np.array([size[s].sum() for s in seqs])
             yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(ll - within)], names=[*names, "forward"])
 
     scored = symbols.select(*names, "symbols").mapInArrow(run, "uid bigint, doc_id bigint, held_out boolean, n_tokens bigint, known_n bigint, known_log double, known_tail double, forward double")

@@ -166,6 +166,46 @@ def test_pieces_count_everything_once(monkeypatch):
     assert all(np.allclose(a, b, rtol=2e-3, atol=1e-2) for a, b in zip(whole, cut))
 
 
+class _CountedProducts(np.ndarray):
+    """A matrix that counts the products it takes part in."""
+
+    products = 0
+
+    def __array_ufunc__(self, ufunc, method, *args, out=None, **kwargs):
+        _CountedProducts.products += ufunc is np.matmul
+        plain = lambda x: x.view(np.ndarray) if isinstance(x, _CountedProducts) else x
+        return getattr(ufunc, method)(*map(plain, args), **({"out": tuple(map(plain, out))} if out else {}), **kwargs)
+
+
+def test_scoring_goes_once_over_the_longest_text():
+    """Texts of any lengths are scored side by side, in as many steps as the longest has; the result is that of each text alone."""
+    rng = np.random.default_rng(6)
+    s, v = 4, 50
+    norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
+    emit = norm(rng.random((v, s)) ** 40 + 1e-18, 0)  # some symbols are next to impossible
+    move = norm(rng.random((s, s)) * 1e-12 + np.eye(s), 1)
+    seqs = [rng.integers(0, v, n).astype(np.uint16) for n in rng.integers(1, 2500, 300)]
+    _CountedProducts.products = 0
+    got = hmm.log_likelihoods(hmm.Hmm(np.full(s, 1 / s), move.view(_CountedProducts), emit, np.full(s, 1 / s)), seqs)
+    assert 0 < _CountedProducts.products < 1.2 * max(map(len, seqs))
+    for x, ll in list(zip(seqs, got))[:20]:
+        a, want = np.full(s, 1 / s), 0.0
+        for t, y in enumerate(x):
+            a = (a @ move if t else a) * emit[y]
+            want += math.log(a.sum())
+            a = a / a.sum()
+        assert abs(ll - want) < 1e-9 * abs(want)
+
+
+def test_classes_by_tails():
+    """The class of a word is that of its last two characters, however many bytes these have."""
+    words = "a ab cab éab bé xbé é 日本 x日 日x z\u0301 \U0001f600b b\U0001f600".split() * 2
+    tails = hmm._Tails()
+    for w in words:
+        want = zlib.crc32(w[-2:].encode()) % hmm.CLASSES
+        assert hmm.word_class(w.encode()) == want and tails.word_class(w.encode()) == want
+
+
 def test_the_end_is_a_symbol_of_long_texts(spark):
     """Ends that are rarer than any frequent word keep a probability of their own; the model's distribution sums to one."""
     rng = random.Random(10)
