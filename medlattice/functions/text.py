@@ -67,8 +67,17 @@ def normalize(c: Column, lower: bool = True, deaccent: bool = True) -> Column:
 
 def normalize_literal(s: str) -> str:
     """The same for a driver-side string."""
-    src, dst = _alphabet(True, True)
-    return s.translate(str.maketrans(src, dst))
+    return normal_form(s)
+
+
+@lru_cache(maxsize=1)
+def _table() -> dict[int, int]:
+    return str.maketrans(*_alphabet(True, True))
+
+
+def normal_form(s: str) -> str:
+    """The same inside Arrow functions."""
+    return s.translate(_table())
 
 
 def char_view(raw: Column) -> Column:

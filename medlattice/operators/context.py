@@ -7,21 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.config import ASSERTABLE, FAMILY, HISTORICAL, NEGATED, OTHER
+from ..functions.config import ASSERTABLE, FAMILY, HISTORICAL, NEGATED
 from ..functions.settings import Settings
 from ..functions.text import WS
-
-
-def cue_pattern(cues: list[str]) -> str:
-    """One alternation of whole-word cues, accents kept."""
-    return r"(?U)\b(?:" + "|".join(re.escape(c.lower()).replace("\\ ", " ") for c in cues) + r")\b" if cues else r"(?!)"
-
-
-def _contains_any(c: Column, phrases: list[str]) -> Column:
-    out = F.lit(False)
-    for p in phrases:
-        out = out | c.contains(p.lower())
-    return out
+from .reader import marks_of
+from .sections import arrow_column
 
 
 def leading_negation(c: Column, settings: Settings = Settings()) -> Column:
@@ -35,35 +25,26 @@ def leading_negation(c: Column, settings: Settings = Settings()) -> Column:
     return F.when(exception, 0).otherwise(F.length(F.regexp_extract(low, cue, 0)))
 
 
-def assertions(kind: Column, line: Column, start: Column, section: Column | None = None, header: Column | None = None, doc_section: Column | None = None, by_prefix: Column | None = None, settings: Settings = Settings()) -> Column:
-    """A1-A4: the assertions of a concept that begins at ``start`` of ``line``, in order historical, negated, family."""
-    section, header = section if section is not None else F.lit(OTHER), header if header is not None else F.lit("")
-    doc_section, by_prefix = doc_section if doc_section is not None else F.lit(OTHER), by_prefix if by_prefix is not None else F.lit(False)
-    low, head, cues = F.lower(line), F.lower(header), settings.cues
-    begin = F.greatest(F.lit(0), start - settings.neg_window)
-    window = F.substring(low, begin + 1, start - begin)
-    hist = (section == "HISTORY_PAST") | (doc_section == "HISTORY_PAST") | _contains_any(head, cues["historical_section_headers"]) | low.rlike(cue_pattern(cues["isHistorical"]))
-    neg = by_prefix | (window.rlike(cue_pattern(cues["isNegated"])) & ~_contains_any(window, cues["negation_exceptions"]))
-    family = low.rlike(cue_pattern(cues["isFamily"])) | head.rlike(cue_pattern(cues["isFamily"]))
-    found = F.array_compact(F.array(F.when(hist, HISTORICAL), F.when(neg, NEGATED), F.when(family, FAMILY)))
-    return F.when(kind.isin(ASSERTABLE), found).otherwise(F.array().cast("array<string>"))
+def rule_assertions(raw: Column | str, starts: Column | str, types: Column | str, settings: Settings = Settings(), fuzzy: bool = True) -> Column:
+    """E9 as a column: the assertions of a text's concepts, an array for each, from arrays of their starts and types.
 
+    The line of a concept is the last one that begins at or before it; its section is the one open there.
+    """
+    return arrow_column(lambda texts, at, kinds, kind: marks_of(texts, at, kinds, settings, fuzzy, kind), "array<array<string>>", raw, starts, types)
 
-def add_assertions(concepts: DataFrame, placed: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Assertions of concepts (doc_id, text, type, start, end) by their line and section.
 
-    ``placed`` has the lines with sections; the line of a concept is the last one that begins at or before it, found by
-    carrying lines forward, not by a range join.
-    """
-    from pyspark.sql import Window
+def add_assertions(concepts: DataFrame, docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Assertions of concepts (doc_id, text, type, start, end) by their line and section in documents (doc_id, raw)."""
+    per = concepts.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in concepts.columns if c != "doc_id"])).alias("_c"))
+    return asserted(docs.select("doc_id", "raw").join(per, "doc_id"), "_c", settings).select(*dict.fromkeys([*concepts.columns, "assertions"]))
+
 
-    line = F.struct("line_start", "line", "section", "section_header", "doc_section")
-    a = concepts.select("doc_id", F.col("start").alias("_p"), F.lit(1).alias("_o"), F.struct(*concepts.columns).alias("_row"))
-    b = placed.select("doc_id", F.col("line_start").alias("_p"), F.lit(0).alias("_o"), line.alias("_line"))
-    w = Window.partitionBy("doc_id").orderBy("_p", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    rows = a.unionByName(b, allowMissingColumns=True).withColumn("_line", F.last("_line", ignorenulls=True).over(w)).where("_row is not null").select("_row.*", "_line")
-    made = assertions(F.col("type"), F.coalesce("_line.line", F.lit("")), F.col("start") - F.coalesce("_line.line_start", F.lit(0)), F.coalesce("_line.section", F.lit(OTHER)), F.coalesce("_line.section_header", F.lit("")), F.coalesce("_line.doc_section", F.lit(OTHER)), settings=settings)
-    return rows.withColumn("assertions", made).select(*dict.fromkeys([*concepts.columns, "assertions"]))
+def asserted(docs: DataFrame, name: str = "concepts", settings: Settings = Settings()) -> DataFrame:
+    """E9 for concepts that stand beside their text in an array: a row for each, doc_id and its fields with the assertions."""
+    marks = rule_assertions("raw", F.transform(name, lambda c: c["start"].cast("int")), F.transform(name, lambda c: c["type"]), settings)
+    rows = docs.select("doc_id", name, marks.alias("_a")).select("doc_id", F.explode(F.arrays_zip(F.col(name).alias("c"), F.col("_a").alias("a"))).alias("x"))
+    own = [f for f in docs.schema[name].dataType.elementType.names if f != "assertions"]
+    return rows.select("doc_id", *[F.col(f"x.c.{f}") for f in own], F.col("x.a").alias("assertions"))
 
 
 def model_assertions(concepts: DataFrame, predict: Callable, threshold: float = 0.5) -> DataFrame:

@@ -1,101 +1,41 @@
-"""Rule extraction of typed concepts from lines with sections (E1-E8), in one pass.
+"""Rule extraction of typed concepts (E1-E8), one pass a document.
 
-Every line is in at most one branch: symptoms and diagnoses, drugs, or labs.  The branch decides how the line is cut, split
-and trimmed within the same projections, so the lines are made and matched once whatever is extracted.  Concept rows are
-doc_id, ord, text, type, start, end, assertions, candidates; every one satisfies substring(raw, start, end) = text.
+Concept rows are doc_id, ord, text, type, start, end, assertions, candidates; every one satisfies
+substring(raw, start, end) = text.  ``concepts`` is the same as an array beside the document, so that what needs the text and
+its concepts together reads the documents once and shuffles nothing.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.config import DIAGNOSIS, DRUG, DRUG_INDICATIONS, DRUG_LEAD_INS, LAB_NAME, LAB_RESULT, SECTION_TYPE, SYMPTOM
 from ..functions.settings import Settings
-from ..functions.text import NUMBER, WS, bind, lookup, n_words, strip, trimmed
-from .context import assertions, leading_negation
-from .sections import BULLET, header_of, line_table, with_sections
+from .reader import CONCEPTS, concepts_of
+from .sections import arrow_column
 
-_LABELLED = rf"(?U)^{WS}*[^:\n]{{3,60}}?{WS}*:{WS}*"
-_LEAD_IN = rf"(?iU)^{WS}*(?:{'|'.join(DRUG_LEAD_INS)}){WS}+"
-_INDICATION = rf"(?iU){WS}+(?:{'|'.join(DRUG_INDICATIONS)})\b.*$"
-_BRACKET = rf"(?U){WS}*\([^)]*\)?{WS}*$"
 
+def concepts(raw: Column | str, settings: Settings = Settings(), fuzzy: bool = True, types: list[str] | None = None) -> Column:
+    """All concepts of a text (of ``types`` only, if given) as an array in document order."""
+    return arrow_column(lambda texts, kind: concepts_of(texts, settings, fuzzy, types, kind), CONCEPTS, raw)
 
-def _size(c: Column, pattern: str) -> Column:
-    return F.length(F.regexp_extract(c, pattern, 0))
 
+def annotate(docs: DataFrame, settings: Settings = Settings(), fuzzy: bool = True) -> DataFrame:
+    """Documents (doc_id, raw and others) with their concepts."""
+    return docs.withColumn("concepts", concepts("raw", settings, fuzzy))
 
-def data_lines(placed: DataFrame) -> DataFrame:
-    """Lines of typed sections and of lab sections (``lab``), each with content, at (its offset) and split."""
-    line, kind = F.col("line"), F.col("kind")
-    keep = [c for c in placed.columns if c not in ("kind", "header", "canonical")]
-    bullet = line.rlike(BULLET)
-    listed = kind.isNull() & bullet
-    lab = (F.col("section") == "LAB") & (kind.isNull() | (kind == "colon"))
-    rows = bind(placed.where(strip(line) != ""), type=lookup(F.col("section"), SECTION_TYPE), lab=lab).where("lab or type is not null")
 
-    cut = F.when(kind == "colon", _size(line, rf"(?U)^[^:]*:{WS}*")).when(listed, _size(line, BULLET)).when(kind.isNull() & line.rlike(_LABELLED), _size(line, _LABELLED))
-    head = F.when(bullet, _size(line, BULLET)).otherwise(0)
-    body = F.substring(line, head + 1, F.length(line))
-    inner = F.when(strip(body) != "", head + F.when(kind == "colon", _size(body, _LABELLED)).otherwise(0))
-    rows = bind(rows, _c=F.when(F.col("lab"), inner).otherwise(cut))
-    rows = rows.where((F.col("_c") < F.length(line)) | (~F.col("lab") & listed))
-    return rows.select(*keep, "type", "lab", F.substring(line, F.col("_c") + 1, F.length(line)).alias("content"), (F.col("line_start") + F.col("_c")).alias("at"), (~listed).alias("split"))
+def flat(annotated: DataFrame) -> DataFrame:
+    """Concept rows of documents with concepts."""
+    return annotated.select("doc_id", F.explode("concepts").alias("c")).select("doc_id", "c.*")
 
 
-def parts(rows: DataFrame, pieces: Column) -> DataFrame:
-    """The pieces of ``content`` (begins at ``at``), which one character separates; adds part_no, part, part_start.
-
-    Offsets come from a window within the line; its partitioning is the document's, so nothing is shuffled.
-    """
-    split = rows.select("*", F.posexplode(pieces).alias("part_no", "part"))
-    before = Window.partitionBy("doc_id", "line_no").orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
-    return split.withColumn("part_start", (F.col("at") + F.coalesce(F.sum(F.length("part") + 1).over(before), F.lit(0))).cast("int"))
-
-
-def extract_placed(placed: DataFrame, settings: Settings = Settings(), types: list[str] | None = None) -> DataFrame:
-    """E4, E5, E6 and E8 from lines with sections; of ``types`` only, if given."""
-    t, s, lab, kind = F.col("_t"), F.col("_s"), F.col("lab"), F.col("type")
-    rows = data_lines(placed)
-    if types is not None:
-        rows = rows.where(kind.isin(types) | (lab & F.lit(bool({LAB_NAME, LAB_RESULT} & set(types)))))
-    spoken, drug = kind.isin(SYMPTOM, DIAGNOSIS), F.coalesce(kind == DRUG, F.lit(False))
-    pieces = F.when(lab, F.split("content", ";", -1)).when(F.col("split") & ~drug, F.split("content", "[,;]", -1)).otherwise(F.array("content"))
-    text, start = trimmed(F.col("part"), F.col("part_start"))
-    rows = bind(parts(rows, pieces), _t=text, _s=start).where((t != "") & (~lab | t.rlike(NUMBER)))
-
-    # What stands before a colon, without a leading negation
-    before = F.when(spoken, F.regexp_replace(t, "(?s):.*$", "")).otherwise(t)
-    rows = bind(rows, _t=before, _n=F.when(spoken, leading_negation(before, settings)).otherwise(0))
-    text, start = trimmed(F.substring(t, F.col("_n") + 1, F.length(t)), s + F.col("_n"))
-    rows = bind(rows, _t=F.when(spoken, text).otherwise(t), _s=F.when(spoken, start).otherwise(s))
-    # E5: one concept a line, without lead-in, indication and trailing bracket
-    for pattern in (_LEAD_IN, _INDICATION, _BRACKET):
-        text, start = trimmed(F.regexp_replace(t, pattern, ""), s + (_size(t, _LEAD_IN) if pattern is _LEAD_IN else F.lit(0)))
-        hit = drug & t.rlike(pattern)
-        rows = bind(rows, _t=F.when(hit, text).otherwise(t), _s=F.when(hit, start).otherwise(s))
-    # The name before the first number, the result from there; parts without a number were left out
-    at = F.when(lab, F.length(F.regexp_extract(t, rf"(?s)^(.*?){NUMBER}", 1))).otherwise(0)
-    name, name_start = trimmed(F.substring(t, F.lit(1), F.col("_at")), s)
-    value, value_start = trimmed(F.substring(t, F.col("_at") + 1, F.length(t)), s + F.col("_at"))
-    one = lambda i, text, start, kind: F.struct(F.lit(i).alias("sub"), text.alias("t"), start.alias("s"), kind.alias("k"))
-    both = F.array(one(0, name, name_start, F.lit(LAB_NAME)), one(1, value, value_start, F.lit(LAB_RESULT)))
-    rows = bind(rows.withColumn("_at", at), _c=F.when(lab, both).otherwise(F.array(one(0, t, s, kind))))
-    fits = (t != "") & (F.length(t) <= settings.max_len)
-    fits_drug = fits & (n_words(t) <= settings.max_words_drug) & t.rlike(f"[A-Za-z]{{{settings.drug_min_ascii},}}")
-    head = F.get("_c", 0)["t"]
-    rows = rows.where(F.when(lab, (head != "") & (F.length(head) <= 60)).when(drug, fits_drug).otherwise(fits & (n_words(t) <= settings.max_words_symptom)))
-    rows = rows.withColumn("_c", F.explode("_c")).where("_c.t <> ''")
-    if types is not None:
-        rows = rows.where(F.col("_c.k").isin(types))
-    text, start = F.col("_c.t"), F.col("_c.s")
-    marks = assertions(F.col("_c.k"), F.col("line"), start - F.col("line_start"), F.col("section"), F.col("section_header"), F.col("doc_section"), F.col("_n") > 0, settings)
-    return rows.select(
-        "doc_id", F.struct("line_no", "part_no", "_c.sub").alias("ord"), text.alias("text"), F.col("_c.k").alias("type"), start.cast("int").alias("start"),
-        (start + F.length(text)).cast("int").alias("end"), marks.alias("assertions"), F.array().cast("array<string>").alias("candidates"),
-    )
+def extract(docs: DataFrame, settings: Settings = Settings(), fuzzy: bool = True, types: list[str] | None = None) -> DataFrame:
+    """All concepts of documents (doc_id, raw), in document order within ``ord``."""
+    return flat(docs.select("doc_id", concepts("raw", settings, fuzzy, types).alias("concepts")))
 
 
-def extract(docs: DataFrame, settings: Settings = Settings(), fuzzy: bool = True) -> DataFrame:
-    """All concepts of documents (doc_id, raw), in document order within ``ord``."""
-    return extract_placed(with_sections(header_of(line_table(docs), settings, fuzzy)), settings)
+def beside(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Documents with the concept rows of a table (doc_id, ord and others) as an array in order of ``ord``, as ``annotate`` has them."""
+    own = [c for c in rows.columns if c not in ("doc_id", "ord")]
+    per = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", *own))).alias("concepts"))
+    return docs.drop("concepts").join(per, "doc_id", "left").withColumn("concepts", F.coalesce("concepts", F.array().cast(per.schema["concepts"].dataType)))

@@ -110,6 +110,11 @@ def score_dataset(pairs: DataFrame, cfg: ScorerConfig = ScorerConfig()) -> DataF
     return out.select((WEIGHTS[0] * F.col("text_score") + WEIGHTS[1] * F.col("assertions_score") + WEIGHTS[2] * F.col("candidates_score")).alias("final"), "*")
 
 
+def plain(concepts: Column | str) -> Column:
+    """Concepts of an array in the scorer's form, without their places in the document's order."""
+    return F.transform(concepts, lambda c: F.struct(c["text"].alias("text"), c["type"].alias("type"), c["start"].cast("int").alias("start"), c["end"].cast("int").alias("end"), c["assertions"].alias("assertions"), c["candidates"].alias("candidates")))
+
+
 def nest(concepts: DataFrame, name: str) -> DataFrame:
     """Concept rows to one array a document, in order of ``ord``."""
     c = F.struct("text", "type", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "assertions", "candidates")

@@ -1,22 +1,20 @@
 """Line tables and sections.
 
-A document is exploded to lines once; all windows below are partitioned by ``doc_id``, so one shuffle serves offsets,
-carry-forward and spans.  Header candidates are matched inside the row against the constant pattern list; only short
-candidates that need the fuzzy tier have a value in the Arrow function, which remembers what it has scored.
+Headers and sections come from one pass over each document (``reader.py``), so they need no shuffle; the plain line tables
+are expressions.
 """
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import ArrowUDFType, arrow_udf
 
-from ..functions.config import OTHER
 from ..functions.settings import Settings
-from ..functions.fuzzy import ratio
-from ..functions.text import LINE_BREAK, WS, bind, grown, items, lookup, no_items, normalize, strip
+from ..functions.text import LINE_BREAK, grown, items, no_items
+from .reader import LINES, SPANS, arrow_type, lines_of, reader, spans_of
 
 
 def line_table(docs: DataFrame, pattern: str = LINE_BREAK, whole: bool = False) -> DataFrame:
@@ -59,33 +57,13 @@ def packed(lines: Column, fits) -> Column:
 # --- G1: canonical section of a header text
 
 
-def _patterns(settings: Settings) -> list[tuple[int, str, str]]:
-    return [(i, canon, p) for i, (canon, p) in enumerate((c, p) for c, ps in settings.sections.items() for p in ps)]
+def arrow_column(f: Callable, kind: str, *columns: Column | str) -> Column:
+    """An Arrow function of columns that also gets its result's Arrow type.
 
-
-def _fuzzy(settings: Settings):
-    """Arrow function: normalised header -> number of the best pattern and its score, by token-sort similarity."""
-    own = [(i, " ".join(sorted(p.split()))) for i, _, p in _patterns(settings)]
-    least = settings.fuzz_threshold / (200 - settings.fuzz_threshold)
-
-    known: dict = {None: (None, 0.0)}
-
-    @pandas_udf("ord int, score double")
-    def best(h: pd.Series) -> pd.DataFrame:
-        out = []
-        for text in h:
-            if text not in known:
-                if len(known) > 50_000:
-                    known.clear()
-                s, top = " ".join(sorted((text or "").split())), (None, 0.0)
-                for i, p in own:
-                    if min(len(s), len(p)) >= least * max(len(s), len(p)) and (r := ratio(s, p)) > top[1]:
-                        top = (i, r)
-                known[text] = top
-            out.append(known[text])
-        return pd.DataFrame({"ord": pd.array([o for o, _ in out], dtype="Int32"), "score": [s for _, s in out]})
-
-    return best
+    It is declared not to be deterministic only so that no filter is pushed through it, which would run it twice.
+    """
+    made = arrow_type(kind)
+    return arrow_udf(lambda *c: f(*c, kind=made), kind, ArrowUDFType.SCALAR).asNondeterministic()(*columns)
 
 
 def match_canonical(texts: DataFrame, header: str = "header", settings: Settings = Settings(), fuzzy: bool = True) -> DataFrame:
@@ -94,87 +72,38 @@ def match_canonical(texts: DataFrame, header: str = "header", settings: Settings
     Tiers: equal; the longest pattern inside that covers enough; the most similar pattern above the threshold; any
     pattern inside.  Ties go to the first pattern in order.
     """
-    patterns = _patterns(settings)
-    table = F.lit(None) if not patterns else F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(c).alias("canonical"), F.lit(p).alias("p")) for i, c, p in patterns])
-    h = F.col("_h")
-    rows = bind(texts, _h=strip(normalize(F.col(header))))
-    first = {p: c for _, c, p in reversed(patterns)}  # equal patterns: the first in order
-    exact = lookup(h, first) if first else F.lit(None).cast("string")
-    # most lines hold no pattern at all: one scan tells, before the patterns are looked at one by one
-    some = h.rlike("|".join(re.escape(p) for _, _, p in patterns if p)) if first else F.lit(False)
-    inside = F.filter(table, lambda x: (x["p"] != "") & h.contains(x["p"]))
-    longest = F.array_min(F.transform(inside, lambda x: F.struct((-F.length(x["p"])).alias("neg"), x["ord"].alias("ord"), x["canonical"].alias("canonical"))))
-    rows = rows.withColumn("_exact", F.when(h != "", exact)).withColumn("_in", F.when((h != "") & F.col("_exact").isNull() & some, longest))
-    covers = -F.col("_in.neg") >= settings.substr_coverage * F.length(h)
-    open_ = (h != "") & F.col("_exact").isNull() & ~F.coalesce(covers, F.lit(False))
-    if fuzzy:
-        longest_pattern = max((len(p) for _, _, p in patterns), default=0)
-        reach = longest_pattern * (200 - settings.fuzz_threshold) / settings.fuzz_threshold
-        short = F.length(h) <= reach  # longer headers cannot reach the threshold
-        rows = rows.withColumn("_f", _fuzzy(settings)(F.when(open_ & short, h)))
-        by_ord = F.create_map(*[F.lit(x) for i, c, _ in patterns for x in (i, c)])
-        near = F.when(open_ & (F.col("_f.score") >= settings.fuzz_threshold), F.try_element_at(by_ord, F.col("_f.ord")))
-        score = F.col("_f.score") / 100.0
-    else:
-        near, score = F.lit(None).cast("string"), F.lit(0.0)
-    canonical = F.when(F.col("_exact").isNotNull(), F.col("_exact")).when(F.coalesce(covers, F.lit(False)), F.col("_in.canonical")).otherwise(F.coalesce(near, F.col("_in.canonical")))
-    confidence = F.when(F.col("_exact").isNotNull(), 1.0).when(F.coalesce(covers, F.lit(False)), 0.99).when(near.isNotNull(), score).when(F.col("_in").isNotNull(), 0.60).otherwise(0.0)
-    return rows.withColumn("canonical", canonical).withColumn("confidence", confidence).drop("_h", "_exact", "_in", *(["_f"] if fuzzy else []))
+    def match(texts: pa.Array, kind: pa.DataType) -> pa.Array:
+        r = reader(settings, fuzzy)
+        known = {t: r.canonical(t) for t in texts.unique().to_pylist()}
+        found = [known[t] for t in texts.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([f[i] for f in found], t.type) for i, t in enumerate(kind)], fields=list(kind))
+
+    rows = texts.withColumn("_m", arrow_column(match, "struct<canonical:string,confidence:double>", header))
+    return rows.select(*texts.columns, "_m.canonical", "_m.confidence")
 
 
 # --- G2, G3
 
-_NUMBERED = rf"(?U)^{WS}*\d+{WS}*[.)]{WS}*(.+?){WS}*$"
-BULLET = rf"(?U)^{WS}*[-*•]{WS}*"
-_LABEL = rf"(?U)^{WS}*([^:\n]{{3,60}}?){WS}*:{WS}*(.*)$"
 
+def placed_lines(docs: DataFrame, settings: Settings = Settings(), fuzzy: bool = True) -> DataFrame:
+    """G2, and the open section along the lines: doc_id, line_no, line_start, line, kind (num, colon, bare or null), header, canonical, section, section_header, doc_section."""
+    lines = arrow_column(lambda raw, kind: lines_of(raw, settings, fuzzy, kind), LINES, "raw")
+    return docs.select("doc_id", F.explode(lines).alias("x")).select("doc_id", "x.*")
 
-def header_of(lines: DataFrame, settings: Settings = Settings(), fuzzy: bool = True) -> DataFrame:
-    """Adds kind (num, colon, bare or null), header, canonical to a table with ``line``.
 
-    Kinds are exclusive, so each line has one candidate text, matched within its row: no join and no shuffle.
-    """
-    line = F.col("line")
-    body = F.regexp_replace(line, BULLET, "")
-    kind = F.when(line.rlike(_NUMBERED), "num").when(body.rlike(_LABEL), "colon").otherwise("bare")
-    text = F.when(F.col("_k") == "num", F.regexp_extract(line, _NUMBERED, 1)).when(F.col("_k") == "colon", F.regexp_extract(body, _LABEL, 1)).otherwise(strip(body))
-    longest = max((len(p) for ps in settings.sections.values() for p in ps), default=0)
-    # a bare header must be equal to a pattern, be covered by one, or be similar enough: none of these can be much longer
-    reach = longest / min(settings.substr_coverage, settings.bare_conf / (2 - settings.bare_conf))
-    rows = bind(lines.withColumn("_k", kind), _k=F.col("_k"), _h=text)
-    may = (F.col("_h") != "") & ((F.col("_k") != "bare") | (F.length("_h") <= reach)) & (strip(line) != "")
-    rows = bind(rows, _h=F.when(may, F.col("_h")))
-    joined = match_canonical(rows.withColumnRenamed("_h", "_m"), "_m", settings, fuzzy)
-    k, c = F.col("_k"), F.col("canonical")
-    is_header = F.when(k == "num", F.col("_m").isNotNull()).when(k == "colon", c.isNotNull()).otherwise(c.isNotNull() & (F.col("confidence") >= settings.bare_conf))
-    return joined.select(*lines.columns, F.when(is_header, k).alias("kind"), F.when(is_header, F.col("_m")).alias("header"), F.when(is_header, F.coalesce(c, F.lit(OTHER))).alias("canonical"))
-
-
-def with_sections(headed: DataFrame) -> DataFrame:
-    """Carry the open section along the lines: adds section, section_header, doc_section; G4 for line starts."""
-    upto = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    carry = lambda c: F.last(c, ignorenulls=True).over(upto)
-    numbered = F.when(F.col("kind") == "num", F.col("canonical"))
-    return headed.select(
-        "*",
-        F.coalesce(carry("canonical"), F.lit(OTHER)).alias("section"),
-        F.coalesce(carry("header"), F.lit("")).alias("section_header"),
-        F.coalesce(carry(numbered), F.lit(OTHER)).alias("doc_section"),
-    )
+def spans(raw: Column | str, settings: Settings = Settings(), fuzzy: bool = True) -> Column:
+    """G3 as an array beside the text: its sections in order."""
+    return arrow_column(lambda texts, kind: spans_of(texts, settings, fuzzy, kind), SPANS, raw)
 
 
 def segment(docs: DataFrame, settings: Settings = Settings(), fuzzy: bool = True) -> DataFrame:
     """doc_id, canonical, char_start, char_end, header_text, doc_section; contiguous, covering each document."""
-    placed = with_sections(header_of(line_table(docs, whole=True), settings, fuzzy))
-    fields = lambda *c: F.struct(*[x.alias(n) for n, x in zip(("char_start", "canonical", "header_text", "doc_section"), c)])
-    first = fields(F.lit(-1), F.lit(OTHER), F.lit(""), F.when(F.col("size") > 0, OTHER).otherwise(""))  # what stands before any header
-    opening = fields(F.col("line_start"), F.col("section"), F.col("section_header"), F.col("doc_section"))
-    begin, opens = F.col("line_no") == 0, F.col("kind").isNotNull()
-    here = F.when(begin & opens, F.array(first, opening)).when(begin, F.array(first)).otherwise(F.array(opening))
-    w = Window.partitionBy("doc_id").orderBy("char_start")
-    spans = placed.where(begin | opens).select("doc_id", "size", F.explode(here).alias("s")).select("doc_id", "size", "s.*")
-    spans = spans.withColumn("char_end", F.coalesce(F.lead("char_start").over(w), F.col("size")).cast("int")).withColumn("char_start", F.greatest("char_start", F.lit(0)))
-    return spans.where("char_end > char_start or size = 0").select("doc_id", "canonical", "char_start", "char_end", "header_text", "doc_section")
+    return docs.select("doc_id", F.explode(spans("raw", settings, fuzzy)).alias("x")).select("doc_id", "x.*")
+
+
+def span_at(spans: Column, pos: Column) -> Column:
+    """The last section that begins at or before a position, or null."""
+    return F.try_element_at(F.filter(spans, lambda s: s["char_start"] <= pos), F.lit(-1))
 
 
 def section_at(points: DataFrame, spans: DataFrame, pos: str = "pos") -> DataFrame:
@@ -189,8 +118,14 @@ def _span_type(spans: DataFrame) -> str:
     return "struct<canonical:string,header_text:string,doc_section:string>"
 
 
+def covers(raw: Column, spans: Column) -> Column:
+    """Whether a text's sections begin at 0, end at its end and touch; none or null do not."""
+    begin = F.struct(F.lit(0).alias("at"), F.lit(True).alias("ok"))
+    walk = F.aggregate(spans, begin, lambda acc, s: F.struct(s["char_end"].cast("int").alias("at"), (acc["ok"] & (s["char_start"] == acc["at"])).alias("ok")))
+    return F.coalesce((F.size(spans) > 0) & walk["ok"] & (walk["at"] == F.length(raw)), F.lit(False))
+
+
 def cover_errors(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_ids whose spans do not begin at 0, end at the text's end or touch."""
-    w = Window.partitionBy("doc_id").orderBy("char_start")
-    gaps = spans.withColumn("prev", F.lag("char_end").over(w)).groupBy("doc_id").agg(F.min("char_start").alias("lo"), F.max("char_end").alias("hi"), F.count_if(F.col("prev") != F.col("char_start")).alias("gaps"))
-    return docs.select("doc_id", F.length("raw").alias("n")).join(gaps, "doc_id", "left").where("lo is null or lo <> 0 or hi <> n or gaps > 0").select("doc_id")
+    per = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("char_start", "char_end"))).alias("_s"))
+    return docs.select("doc_id", "raw").join(per, "doc_id", "left").where(~covers(F.col("raw"), F.col("_s"))).select("doc_id")

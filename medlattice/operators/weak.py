@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.config import ABBREVIATIONS, ASSERTABLE, DIAGNOSIS, DRUG, FILLERS, LAB_NAME, LINKABLE, SYMPTOM
 from ..functions.settings import Settings
-from ..functions.text import TOKEN_LEFT, TOKEN_RIGHT, WS, bind, char_class, collapse, find_all, first_match, mark, multi_hot, n_words, normalize, normalize_literal, parse_marked, strip, strip_span, trimmed, words
-from .sections import newline_spans, packed
+from ..functions.text import TOKEN_LEFT, TOKEN_RIGHT, WS, bind, char_class, collapse, find_all, first_match, is_grounded, mark, multi_hot, n_words, normalize, normalize_literal, parse_marked, strip, strip_span, trimmed, words
+from .extract import beside, flat
+from .reader import TIDIED, WINDOWS, tidied, windows_of
+from .sections import arrow_column, newline_spans, packed
 
 
 # --- W1, W2: dictionary labelling
@@ -135,12 +137,24 @@ def windows(docs: DataFrame, target: int = 1200) -> DataFrame:
     return per.select("doc_id", F.posexplode(cut).alias("window", "w")).select("doc_id", "window", F.col("w.start").alias("w0"), F.col("w.end").alias("w1"))
 
 
+def labelled_chunks(annotated: DataFrame, target: int = 1200) -> DataFrame:
+    """W7 for documents with their concepts beside them: nothing is joined or shuffled."""
+    inside = arrow_column(lambda raw, starts, ends, kind: windows_of(raw, starts, ends, target, kind), WINDOWS, "raw", *_bounds())
+    rows = annotated.select("doc_id", "raw", "concepts", inside.alias("w")).select("doc_id", "raw", "concepts", F.explode("w").alias("w"))
+    w0, w1 = F.col("w.w0"), F.col("w.w1")
+    none = F.array().cast("array<string>")
+    made = lambda c: F.struct((c["start"] - w0).alias("start"), (c["end"] - w0).alias("end"), c["text"].alias("text"), c["type"].alias("type"), c["assertions"].alias("assertions"), none.alias("candidates"))
+    own = F.transform("w.members", lambda i: made(F.get("concepts", i)))
+    return rows.select("doc_id", F.col("w.window").alias("window"), F.substring(F.col("raw"), w0 + 1, w1 - w0).alias("text"), own.alias("concepts"))
+
+
 def chunk_labelled(docs: DataFrame, concepts: DataFrame, target: int = 1200) -> DataFrame:
     """Windows with at least one concept wholly inside: doc_id, window, text, concepts (rebased, candidates cleared)."""
-    own = concepts.join(windows(docs, target), "doc_id").where("start >= w0 and end <= w1")
-    c = F.struct((F.col("start") - F.col("w0")).alias("start"), (F.col("end") - F.col("w0")).alias("end"), "text", "type", "assertions", F.array().cast("array<string>").alias("candidates"))
-    per = own.groupBy("doc_id", "window", "w0", "w1").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", c.alias("c")))), lambda x: x["c"]).alias("concepts"))
-    return per.join(docs.select("doc_id", "raw"), "doc_id").select("doc_id", "window", F.substring(F.col("raw"), F.col("w0") + 1, F.col("w1") - F.col("w0")).alias("text"), "concepts")
+    return labelled_chunks(beside(docs.select("doc_id", "raw"), concepts), target)
+
+
+def _bounds() -> list[Column]:
+    return [F.transform("concepts", lambda c: c["start"].cast("int")), F.transform("concepts", lambda c: c["end"].cast("int"))]
 
 
 # --- W8-W13
@@ -152,19 +166,34 @@ def is_garbage(text: Column) -> Column:
     return (F.length(t) <= 2) | t.rlike(r"(?U)^[\W\d_]+\z") | normalize(t).isin(sorted({normalize_literal(x) for x in FILLERS}))
 
 
+def cleaned(annotated: DataFrame) -> DataFrame:
+    """W10 for documents with their concepts beside them, without knowledge bases; other columns are kept."""
+    kinds = F.transform("concepts", lambda c: c["type"])
+    left = arrow_column(lambda raw, starts, ends, types, kind: tidied(raw, starts, ends, types, True, kind), TIDIED, "raw", *_bounds(), kinds)
+    return annotated.withColumn("_t", left).withColumn("concepts", _tidy(annotated)).drop("_t")
+
+
+def _tidy(annotated: DataFrame) -> Column:
+    changed = {"text", "start", "end"}
+    names = annotated.schema["concepts"].dataType.elementType.names
+
+    def one(t):
+        c = F.get("concepts", t["i"])
+        return F.struct(*[(t if n in changed else c)[n].alias(n) for n in names])
+
+    return F.transform("_t", one)
+
+
 def clean_concepts(concepts: DataFrame, docs: DataFrame, drug_kb: DataFrame | None = None, disease_kb: DataFrame | None = None, settings: Settings = Settings(), fuzzy: bool = True) -> DataFrame:
     """W10 (and W9 if knowledge bases are given): strip, drop empty and garbage, one of equal (start, end, type), the first by ``ord``."""
-    rows = concepts.join(docs.select("doc_id", "raw"), "doc_id")
-    span = F.substring(F.col("raw"), F.col("start") + 1, F.col("end") - F.col("start"))
-    text, start = strip_span(span, F.col("start"))
-    rows = bind(rows, text=text, start=start)
+    texts = docs.select("doc_id", "raw")
+    annotated = beside(texts, concepts)
     if drug_kb is not None:
-        rows = kb_trim(rows, drug_kb, disease_kb, settings, fuzzy)
-        text, start = strip_span(F.col("text"), F.col("start"))
-        rows = bind(rows, text=text, start=start)
-    rows = rows.where((F.col("text") != "") & ~is_garbage(F.col("text"))).withColumn("end", F.col("start") + F.length("text"))
-    w = Window.partitionBy("doc_id", "start", "end", "type").orderBy("ord")
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*concepts.columns)
+        kinds = F.transform("concepts", lambda c: c["type"])
+        left = arrow_column(lambda raw, starts, ends, types, kind: tidied(raw, starts, ends, types, False, kind), TIDIED, "raw", *_bounds(), kinds)
+        stripped = flat(annotated.withColumn("_t", left).withColumn("concepts", _tidy(annotated)))
+        annotated = beside(texts, kb_trim(stripped, drug_kb, disease_kb, settings, fuzzy).withColumn("end", F.col("start") + F.length("text")))
+    return flat(cleaned(annotated)).select(*concepts.columns)
 
 
 def kb_trim(rows: DataFrame, drug_kb: DataFrame, disease_kb: DataFrame, settings: Settings = Settings(), fuzzy: bool = True) -> DataFrame:
@@ -188,12 +217,16 @@ def kb_trim(rows: DataFrame, drug_kb: DataFrame, disease_kb: DataFrame, settings
     return out
 
 
+def well_grounded(annotated: DataFrame, least: int = 4) -> DataFrame:
+    """W11 for documents with their concepts beside them."""
+    good = F.filter("concepts", lambda c: is_grounded(F.col("raw"), c["text"], c["start"], c["end"]))
+    return annotated.where(F.size(good) >= least)
+
+
 def quality_filter(notes: DataFrame, concepts: DataFrame, least: int = 4) -> DataFrame:
     """Notes (doc_id, raw) with at least ``least`` grounded concepts."""
-    from ..functions.text import is_grounded
-
-    good = concepts.join(notes.select("doc_id", "raw"), "doc_id").where(is_grounded(F.col("raw"), F.col("text"), F.col("start"), F.col("end")))
-    return notes.join(good.groupBy("doc_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= least), "doc_id", "left_semi")
+    own = concepts.select("doc_id", F.lit(0).alias("ord"), "text", "start", "end")
+    return well_grounded(beside(notes, own), least).select(*notes.columns)
 
 
 def assertion_examples(labelled: DataFrame) -> DataFrame:

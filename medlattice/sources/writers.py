@@ -23,15 +23,28 @@ def scratch_path(spark, name: str) -> str:
     return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
+def records(annotated: DataFrame) -> DataFrame:
+    """O1 for documents with their concepts beside them."""
+    good = F.filter("concepts", lambda c: is_grounded(F.col("raw"), c["text"], c["start"], c["end"]))
+    ordered = F.array_sort(F.transform(good, lambda c: F.struct(c["start"], c["end"], c["ord"], c.alias("c"))))
+
+    def record(x):
+        c = x["c"]
+        return F.struct(c["text"].alias("text"), F.array(c["start"], c["end"]).alias("position"), c["type"].alias("type"), c["assertions"].alias("assertions"), F.when(c["type"].isin(LINKABLE), c["candidates"]).alias("candidates"))
+
+    made = annotated.select("doc_id", F.transform(ordered, record).alias("records"))
+    return made.select("doc_id", F.coalesce("records", F.array().cast(made.schema["records"].dataType)).alias("records"))
+
+
 def to_records(concepts: DataFrame, docs: DataFrame) -> DataFrame:
     """O1: one row per document: doc_id, records (JSON objects in order of position, ungrounded ones dropped, no de-duplication).
 
     ``candidates`` is a key only of linkable types: null fields are left out of JSON.
     """
-    rows = concepts.join(docs.select("doc_id", "raw"), "doc_id").where(is_grounded(F.col("raw"), F.col("text"), F.col("start"), F.col("end")))
-    record = F.struct("text", F.array("start", "end").alias("position"), "type", "assertions", F.when(F.col("type").isin(LINKABLE), F.col("candidates")).alias("candidates"))
-    ordered = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "ord", record.alias("r")))).alias("x"))
-    return docs.select("doc_id").join(ordered, "doc_id", "left").select("doc_id", F.coalesce(F.transform("x", lambda x: x["r"]), F.array().cast(rows.select(F.array(record)).schema[0].dataType)).alias("records"))
+    from ..operators.extract import beside
+
+    own = concepts.select("doc_id", "ord", "text", "type", "start", "end", "assertions", "candidates")
+    return records(beside(docs.select("doc_id", "raw"), own))
 
 
 def write_labelled(docs: DataFrame, path: str) -> None:
