@@ -7,6 +7,7 @@ kept, so lines that come again cost a look-up; what is kept is bounded between A
 from __future__ import annotations
 
 import re
+import zlib
 from bisect import bisect_right
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from ..functions.config import ASSERTABLE, DIAGNOSIS, DRUG, DRUG_INDICATIONS, DRUG_LEAD_INS, FAMILY, FILLERS, HISTORICAL, LAB_NAME, LAB_RESULT, NEGATED, OTHER, SECTION_TYPE, SYMPTOM
 from ..functions.fuzzy import ratio
 from ..functions.settings import Settings
-from ..functions.text import NUMBER, SPAN_LEFT, SPAN_RIGHT, TRIM, normal_form
+from ..functions.text import NUMBER, SPAN_LEFT, SPAN_RIGHT, TOKEN_LEFT, TOKEN_RIGHT, TRIM, normal_form
 
 CONCEPTS = "array<struct<ord:struct<line_no:int,part_no:int,sub:int>,text:string,type:string,start:int,end:int,assertions:array<string>,candidates:array<string>>>"
 LINES = "array<struct<line_no:int,line_start:int,line:string,kind:string,header:string,canonical:string,section:string,section_header:string,doc_section:string>>"
@@ -25,6 +26,9 @@ SPANS = "array<struct<canonical:string,char_start:int,char_end:int,header_text:s
 TIDIED = "array<struct<i:int,text:string,start:int,end:int>>"
 WINDOWS = "array<struct<window:int,w0:int,w1:int,members:array<int>>>"
 
+#: Runs of tokens from token ``i``, characters s to e, and their dictionary key.
+RUNS = "array<struct<i:int,s:int,e:int,norm:string>>"
+
 #: Lines and characters that are kept between batches.
 _LINES, _CHARS = 100_000, 16_000_000
 
@@ -472,3 +476,49 @@ def windows_of(texts: pa.Array, starts: pa.Array, ends: pa.Array, target: int, k
                     members.setdefault(v, []).append(i)
         out.append([{"window": v, "w0": begins[v], "w1": bounds[v + 1], "members": m} for v, m in sorted(members.items())])
     return pa.array(out, kind)
+
+
+# --- W2: runs of tokens that may be terms
+
+
+def runs_of(texts: pa.Array, heads: bytes, terms: bytes, max_words: int, kind: pa.DataType) -> pa.Array:
+    """The runs of up to ``max_words`` tokens whose first word and whose key are in the bitmaps."""
+    def among(text: str, bits: bytes) -> bool:
+        at = zlib.crc32(text.encode()) % (8 * len(bits))
+        return bits[at >> 3] >> (at & 7) & 1 == 1
+
+    known: dict[str, tuple[str, bool]] = {}
+    keys: dict[tuple, str | None] = {}
+    counts, first, begins, ends, norms = [], [], [], [], []
+    for raw in texts.to_pylist():
+        toks, own, n = [], [], 0
+        for m in re.finditer(r"\S+", raw or ""):
+            t = m[0]
+            if (x := known.get(t)) is None:
+                if len(known) > _LINES:
+                    known.clear()
+                norm = normal_form(t)
+                # the first word of a run's key is its first token without edges; a token of edges alone leaves it to the next
+                bare = norm.lstrip(TOKEN_LEFT)
+                x = known[t] = (norm, any(h == "" or among(h, heads) for h in (bare, bare.rstrip(TOKEN_RIGHT))))
+            if x[1]:
+                own.append(len(toks))
+            toks.append((m.start(), m.end(), x[0]))
+        for i in own:
+            words = tuple(t[2] for t in toks[i : i + max_words])
+            for w in range(1, len(words) + 1):
+                run = words[:w]
+                if run not in keys:
+                    if len(keys) > _LINES:
+                        keys.clear()
+                    key = " ".join(run).lstrip(TOKEN_LEFT).rstrip(TOKEN_RIGHT)
+                    keys[run] = key if key and among(key, terms) else None
+                if (key := keys[run]) is not None:
+                    first.append(i)
+                    begins.append(toks[i][0])
+                    ends.append(toks[i + w - 1][1])
+                    norms.append(key)
+                    n += 1
+        counts.append(n)
+    values = _struct(kind.value_type, [pa.array(first, pa.int32()), pa.array(begins, pa.int32()), pa.array(ends, pa.int32()), pa.array(norms, pa.string())])
+    return _lists(counts, values, kind)

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.config import ABBREVIATIONS, ASSERTABLE, DIAGNOSIS, DRUG, FILLERS, LAB_NAME, LINKABLE, SYMPTOM
 from ..functions.settings import Settings
-from ..functions.text import TOKEN_LEFT, TOKEN_RIGHT, WS, bind, char_class, collapse, find_all, first_match, is_grounded, mark, multi_hot, n_words, normalize, normalize_literal, parse_marked, strip, strip_span, trimmed, words
+from ..functions.text import TOKEN_LEFT, TOKEN_RIGHT, WS, bind, collapse, find_all, first_match, is_grounded, mark, multi_hot, n_words, normalize, normalize_literal, parse_marked, strip, strip_span, trimmed, words
 from .extract import beside, flat
-from .reader import TIDIED, WINDOWS, tidied, windows_of
+from .reader import RUNS, TIDIED, WINDOWS, runs_of, tidied, windows_of
 from .sections import arrow_column, newline_spans, packed
 
 
@@ -42,41 +42,43 @@ def _by_code(kb: DataFrame) -> DataFrame:
     return kb.withColumn("_h", head).select(F.col("_h.ord").alias("prio"), "ord", "code", "term")
 
 
+def _bits(texts: DataFrame, size: int) -> bytes:
+    """A set of texts as a bitmap of their checksums: of bounded size whatever there is, and never without a text that is in it."""
+    at = F.col("_x") % size
+    words = texts.select(F.crc32(F.col("_x").cast("binary")).alias("_x")).select((at / 32).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % 32).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    out = bytearray(size // 8)
+    for w, b in words.collect():
+        out[4 * w : 4 * w + 4] = b.to_bytes(4, "little")
+    return bytes(out)
+
+
 def distant_label(docs: DataFrame, index: DataFrame, max_words: int = 8) -> DataFrame:
     """Leftmost-longest, non-overlapping dictionary spans of texts (doc_id, raw).
 
-    Tokens are numbered with their offsets in one ordering of a document; only tokens that begin a dictionary term open runs
-    of up to ``max_words`` tokens, which meet the dictionary in an equi-join; the few hits of a document are then folded in
-    order, and its text is joined once to cut them out.
+    Runs of up to ``max_words`` tokens are looked up beside their text in a bitmap of the dictionary, which loses none; only
+    those that pass meet the dictionary itself in an equi-join.  The few hits of a document are then folded in order, and its
+    text is joined once to cut them out.
     """
-    toks = docs.select("doc_id", F.posexplode(F.split("raw", f"(?U)(?<=\\S)(?={WS})|(?<={WS})(?=\\S)", -1)).alias("n", "tok"))
-    order = Window.partitionBy("doc_id").orderBy("n")
-    placed = toks.withColumn("s", F.coalesce(F.sum(F.length("tok")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")).where(~F.col("tok").rlike(f"(?U)^{WS}*\\z"))
-    placed = placed.select("doc_id", "n", "s", (F.col("s") + F.length("tok")).alias("e"), normalize(F.col("tok")).alias("norm"))
-    runs = placed.withColumn("ahead", F.collect_list(F.struct("e", "norm")).over(order.rowsBetween(0, max_words - 1)))
-    # the first word of a run's key is its first token without edges; a token of edges alone leaves it to the next
-    left, right = f"^{char_class(TOKEN_LEFT)}+", f"{char_class(TOKEN_RIGHT)}+\\z"
-    bare = F.regexp_replace("norm", left, "")
-    none = index.sparkSession.createDataFrame([("",)], "head string")
-    heads = index.select(F.split("norm", " ")[0].alias("head")).union(none).distinct()
-    opening = runs.withColumn("head", F.explode(F.array_distinct(F.array(bare, F.regexp_replace(bare, right, "")))))
-    opening = opening.join(heads, "head", "left_semi").drop("head", "norm")
-    key = F.regexp_replace(F.array_join(F.transform(F.slice("ahead", F.lit(1), F.col("w") + 1), lambda x: x["norm"]), " "), f"{left}|{right}", "")
-    found = opening.select("doc_id", "s", "n", F.posexplode("ahead").alias("w", "x"), "ahead").select("doc_id", "s", F.col("n").alias("i"), "w", "x.e", key.alias("norm")).where("norm <> ''").join(index, "norm")
-    best = found.groupBy("doc_id", "i").agg(F.max_by(F.struct("s", "e", "type", "code"), "w").alias("h"))
-    hits = best.select("doc_id", "i", "h.*").join(docs.select("doc_id", "raw"), "doc_id")
-    text, start = trimmed(F.substring(F.col("raw"), F.col("s") + 1, F.col("e") - F.col("s")), F.col("s"), TOKEN_LEFT, TOKEN_RIGHT)
-    longest = hits.select("doc_id", "i", F.struct(F.col("s").alias("tok_start"), start.alias("start"), text.alias("text"), "type", "code").alias("h"))
-    per = longest.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("hits"))
-    kind = per.schema["hits"].dataType.elementType["h"].dataType
-    begin = F.struct(F.lit(0).alias("end"), F.array().cast(f"array<{kind.simpleString()}>").alias("out"))
-
-    def step(acc, x):
-        h = x["h"]
-        take = h["tok_start"] >= acc["end"]
-        return F.struct(F.when(take, h["start"] + F.length(h["text"])).otherwise(acc["end"]).alias("end"), F.when(take, F.concat(acc["out"], F.array(h))).otherwise(acc["out"]).alias("out"))
-
-    kept = per.select("doc_id", F.posexplode(F.aggregate("hits", begin, step, lambda acc: acc["out"])).alias("ord", "c"))
+    heads = _bits(index.select(F.split("norm", " ")[0].alias("_x")), 1 << 20)
+    terms = _bits(index.select(F.col("norm").alias("_x")), 1 << 22)
+    runs = arrow_column(lambda raw, kind: runs_of(raw, heads, terms, max_words, kind), RUNS, "raw")
+    found = docs.select("doc_id", F.explode(runs).alias("x")).select("doc_id", "x.*").join(index, "norm")
+    per = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", F.col("s"), (-F.col("e")).alias("neg"), "type", "code"))).alias("hits"))
+    rows = docs.select("doc_id", "raw").join(per, "doc_id")
+
+    def cut(x):
+        text, start = trimmed(F.substring(F.col("raw"), x["s"] + 1, -x["neg"] - x["s"]), x["s"], TOKEN_LEFT, TOKEN_RIGHT)
+        return F.struct(x["i"].alias("i"), x["s"].alias("tok_start"), start.alias("start"), text.alias("text"), x["type"].alias("type"), x["code"].alias("code"))
+
+    rows = rows.select("doc_id", F.transform("hits", cut).alias("hits"))
+    kind = rows.schema["hits"].dataType.elementType
+    begin = F.struct(F.lit(-1).alias("i"), F.lit(0).alias("end"), F.array().cast(f"array<{kind.simpleString()}>").alias("out"))
+
+    def step(acc, h):  # of the runs from one token the longest comes first and alone counts
+        take = (h["i"] != acc["i"]) & (h["tok_start"] >= acc["end"])
+        return F.struct(h["i"].alias("i"), F.when(take, h["start"] + F.length(h["text"])).otherwise(acc["end"]).alias("end"), F.when(take, F.concat(acc["out"], F.array(h))).otherwise(acc["out"]).alias("out"))
+
+    kept = rows.select("doc_id", F.posexplode(F.aggregate("hits", begin, step, lambda acc: acc["out"])).alias("ord", "c"))
     codes = F.when(F.col("c.code").isNotNull(), F.array("c.code")).otherwise(F.array().cast("array<string>"))
     return kept.select("doc_id", "ord", "c.text", "c.type", "c.start", (F.col("c.start") + F.length("c.text")).alias("end"), F.array().cast("array<string>").alias("assertions"), codes.alias("candidates"))
 

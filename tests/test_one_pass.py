@@ -36,3 +36,14 @@ def test_beside_and_rows_agree(spark):
     bad = d.join(sections.cover_errors(d, sections.segment(d)), "doc_id")
     assert bad.count() == 0 and sections.cover_errors(d, sections.segment(d).where("char_start > 0 or doc_id = 1")).count() == 3
     assert a.where(F.size("concepts") > 0).count() == 3
+
+
+def test_labelling_shuffles_candidates_only(spark):
+    """Runs meet the dictionary by their whole key; no token is ordered in a window, and the bitmap loses no term."""
+    none = spark.createDataFrame([], "ord bigint, term string")
+    terms = spark.createDataFrame([(i, f"bệnh số{i} x") for i in range(500)], "ord bigint, term string")
+    kb = spark.createDataFrame([], "prio int, ord bigint, code string, term string")
+    d = spark.createDataFrame([(i, f"có (Bệnh  số{i} x), rồi bệnh số{i}") for i in range(500)], "doc_id bigint, raw string")
+    got = weak.distant_label(d, weak.term_index(kb, kb, terms, none))
+    assert "ahead" not in plan(got)  # the list of tokens ahead, once carried and shuffled with every token
+    assert rows(got, "doc_id", "start", "text") == [(i, 4, f"Bệnh  số{i} x") for i in range(500)]
