@@ -9,9 +9,12 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import arrow_column, lists, struct
+
 # --- fixed values: white space, line breaks, edge characters of spans, numbers and ranges --------------------------------
 WS = r"[\s\x1c-\x1f]"
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
@@ -22,6 +25,9 @@ SPAN_RIGHT, SPAN_LEFT = " \t.,;:-–—)）]", " \t.,;:-–—(（["
 NUMBER = r"[+-]?(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+[.,]\d+|\d+)"
 RANGE = rf"(?U)([+-]?\d+(?:[.,]\d+)?){WS}*(?:-->|->|—|–){WS}*([+-]?\d+(?:[.,]\d+)?)"
 
+_NUMBER = re.compile(NUMBER, re.ASCII)
+_THOUSANDS = re.compile(r"[+-]?\d{1,3}(?:,\d{3})+(?:\.\d+)?", re.ASCII)
+
 MATCHES = "array<struct<start:int,end:int,raw:string>>"
 
 
@@ -320,7 +326,25 @@ def number_value(token: Column) -> Column:
 
 def find_numbers(c: Column) -> Column:
     """Array of (start, end, raw, kind, value)."""
-    return F.transform(match_positions(c, NUMBER), lambda m: F.struct(m["start"], m["end"], m["raw"], number_kind(m["raw"]).alias("kind"), number_value(m["raw"]).alias("value")))
+    return arrow_column(numbers_of, "array<struct<start:int,end:int,raw:string,kind:string,value:double>>", c)
+
+
+def numbers_of(texts: pa.Array, kind: pa.DataType) -> pa.Array:
+    """The numbers of each text, field by field."""
+    counts, start, end, raw, kinds, value = [], [], [], [], [], []
+    for text in texts.to_pylist():
+        before = len(raw)
+        for m in _NUMBER.finditer(text or ""):
+            t = m[0]
+            start.append(m.start())
+            end.append(m.end())
+            raw.append(t)
+            many = _THOUSANDS.fullmatch(t) is not None
+            kinds.append("thousands" if many else "decimal" if "." in t or "," in t else "int")
+            value.append(float(t.replace(",", "" if many else ".")))
+        counts.append(None if text is None else len(raw) - before)
+    columns = [pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(raw, pa.string()), pa.array(kinds, pa.string()), pa.array(value, pa.float64())]
+    return lists(counts, struct(kind.value_type, columns), kind)
 
 
 def find_ranges(c: Column) -> Column:

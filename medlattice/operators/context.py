@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrow import arrow_column
 from ..functions.config import ASSERTABLE, FAMILY, HISTORICAL, NEGATED
 from ..functions.settings import Settings
 from ..functions.text import WS
 from .reader import marks_of
-from .sections import arrow_column
 
 
 def leading_negation(c: Column, settings: Settings = Settings()) -> Column:

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrow import arrow_column
 from ..functions.settings import Settings
 from .reader import CONCEPTS, concepts_of
-from .sections import arrow_column
 
 
 def concepts(raw: Column | str, settings: Settings = Settings(), fuzzy: bool = True, types: list[str] | None = None) -> Column:

@@ -13,6 +13,8 @@ from bisect import bisect_right
 import numpy as np
 import pyarrow as pa
 
+from ..functions.arrow import lists as _lists
+from ..functions.arrow import struct as _struct
 from ..functions.config import ASSERTABLE, DIAGNOSIS, DRUG, DRUG_INDICATIONS, DRUG_LEAD_INS, FAMILY, FILLERS, HISTORICAL, LAB_NAME, LAB_RESULT, NEGATED, OTHER, SECTION_TYPE, SYMPTOM
 from ..functions.fuzzy import ratio
 from ..functions.settings import Settings
@@ -281,26 +283,6 @@ def reader(settings: Settings, fuzzy: bool) -> Reader:
 # --- Arrow batches
 
 
-def arrow_type(kind: str) -> pa.DataType:
-    """Type of the array that a function returns; made on the driver, as parsing needs its session."""
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import _parse_datatype_string
-
-    return to_arrow_type(_parse_datatype_string(kind))
-
-
-def _lists(counts: list[int | None], values: pa.Array, kind: pa.DataType) -> pa.Array:
-    """A list a document; null where the count is null."""
-    n = np.array([c or 0 for c in counts], np.int32)
-    ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-    missing = pa.array([c is None for c in counts]) if any(c is None for c in counts) else None
-    return pa.ListArray.from_arrays(pa.array(ends), values, type=kind, mask=missing)
-
-
-def _struct(kind: pa.DataType, columns: list[pa.Array]) -> pa.Array:
-    return pa.StructArray.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, kind)], fields=list(kind))
-
-
 def concepts_of(texts: pa.Array, settings: Settings, fuzzy: bool, types: list[str] | None, kind: pa.DataType) -> pa.Array:
     """The concepts of each text, in order."""
     r = reader(settings, fuzzy)

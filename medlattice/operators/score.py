@@ -9,9 +9,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrow import arrow_column
 from ..functions.config import ASSERTABLE, LINKABLE
 from ..functions.text import text_key
-from .sections import arrow_column
 
 CONCEPTS = "array<struct<text:string,type:string,start:int,end:int,assertions:array<string>,candidates:array<string>>>"
 #: Shares of text, assertions and candidates in the final score.

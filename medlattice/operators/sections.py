@@ -5,16 +5,14 @@ are expressions.
 """
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import ArrowUDFType, arrow_udf
 
+from ..functions.arrow import arrow_column
 from ..functions.settings import Settings
 from ..functions.text import LINE_BREAK, grown, items, no_items
-from .reader import LINES, SPANS, arrow_type, lines_of, reader, spans_of
+from .reader import LINES, SPANS, lines_of, reader, spans_of
 
 
 def line_table(docs: DataFrame, pattern: str = LINE_BREAK, whole: bool = False) -> DataFrame:
@@ -57,15 +55,6 @@ def packed(lines: Column, fits) -> Column:
 # --- G1: canonical section of a header text
 
 
-def arrow_column(f: Callable, kind: str, *columns: Column | str) -> Column:
-    """An Arrow function of columns that also gets its result's Arrow type.
-
-    It is declared not to be deterministic only so that no filter is pushed through it, which would run it twice.
-    """
-    made = arrow_type(kind)
-    return arrow_udf(lambda *c: f(*c, kind=made), kind, ArrowUDFType.SCALAR).asNondeterministic()(*columns)
-
-
 def match_canonical(texts: DataFrame, header: str = "header", settings: Settings = Settings(), fuzzy: bool = True) -> DataFrame:
     """G1 for a table of header texts: adds canonical and confidence (null and 0.0 without a match).
 

@@ -7,12 +7,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrow import arrow_column
 from ..functions.config import ABBREVIATIONS, ASSERTABLE, DIAGNOSIS, DRUG, FILLERS, LAB_NAME, LINKABLE, SYMPTOM
 from ..functions.settings import Settings
 from ..functions.text import TOKEN_LEFT, TOKEN_RIGHT, WS, bind, collapse, find_all, first_match, is_grounded, mark, multi_hot, n_words, normalize, normalize_literal, parse_marked, strip, strip_span, trimmed, words
 from .extract import beside, flat
 from .reader import RUNS, TIDIED, WINDOWS, runs_of, tidied, windows_of
-from .sections import arrow_column, newline_spans, packed
+from .sections import newline_spans, packed
 
 
 # --- W1, W2: dictionary labelling

@@ -47,3 +47,10 @@ def test_labelling_shuffles_candidates_only(spark):
     got = weak.distant_label(d, weak.term_index(kb, kb, terms, none))
     assert "ahead" not in plan(got)  # the list of tokens ahead, once carried and shuffled with every token
     assert rows(got, "doc_id", "start", "text") == [(i, 4, f"Bệnh  số{i} x") for i in range(500)]
+
+
+def test_numbers_are_found_without_a_fold(spark):
+    d = notes(spark, "a -1,234.50 b 3,5; +7 x١", "", "1,000 12,34")
+    got = queries._spans(d, queries.text.find_numbers(F.col("raw")))
+    assert "aggregate(" not in plan(got)
+    assert rows(got, "doc_id", "start", "end_", "kind", "value") == [(0, 2, 11, "thousands", -1234.5), (0, 14, 17, "decimal", 3.5), (0, 19, 21, "int", 7.0), (2, 0, 5, "thousands", 1000.0), (2, 6, 11, "decimal", 12.34)]
